@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Run = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("normalization",
-            )
+_MODULES = ("normalization", "transformation", "computations")
 
 
 class Query(NamedTuple):

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.gold import windowed_average
 from ..operators.normalize import (add_enrichment_metadata, lower_columns, rules_frame,
                                    to_union)
 
@@ -98,3 +99,38 @@ def devices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         DEVICES, "ingestion_id string, name string, enabled boolean, sensitivity string, "
                  "retention_days int")
+
+
+# ---------------------------------------------------------------- gold and derived sets
+
+def hourly_averages(spark: SparkSession, sf: str) -> DataFrame:
+    return windowed_average(enriched(spark, sf), window="1 hour")
+
+
+# the mean of decimals: DuckDB's decimal division, rounded twice, is exact to the cent
+MEAN = ("CAST(round((CAST(sum(CAST({0} AS DECIMAL(18,4))) AS DECIMAL(30,8)) / count({0}))"
+        "::DECIMAL(38,10), 2) AS DOUBLE)")
+HOUR = "time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01')"
+
+AVERAGES = ENRICHED + f""",
+gold AS (
+  SELECT sensor_id AS "sensorId", {HOUR} AS time_start, {MEAN.format('temperature')} AS avg_temp,
+         min(ts) AS min_enrichment_ts
+  FROM en WHERE temperature IS NOT NULL GROUP BY ALL)"""
+
+
+def alert_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The alert log users search: one row per reading over 30."""
+    return table(spark, sf, "events").where("value > 30").select(
+        F.col("event_id").alias("id"),
+        F.when(F.col("value") > 100, "critical").otherwise("warning").alias("level"),
+        F.concat(F.lit("sensor_"), F.col("user_id").cast("string"),
+                 F.when(F.col("value") > 100, " overheated at ").otherwise(" is warm at "),
+                 F.col("value").cast("string")).alias("message"),
+        "ts")
+
+
+ALERT_MESSAGES = """alerts AS (
+  SELECT event_id AS id, CASE WHEN value > 100 THEN 'critical' ELSE 'warning' END AS level,
+         'sensor_' || user_id || CASE WHEN value > 100 THEN ' overheated at ' ELSE ' is warm at ' END || CAST(value AS VARCHAR) AS message, ts
+  FROM events WHERE value > 30)"""
