@@ -83,7 +83,7 @@ def field_coverage(df: DataFrame) -> DataFrame:
 def data_quality(df: DataFrame) -> DataFrame:
     """One row: sources, readings, fields seen, fields normalised, share of the two."""
     fields = field_coverage(df).agg(
-        F.count("*").alias("fields_with_data"), F.count_if("normalized > 0").alias("fields_normalized"))
+        F.count("*").alias("fields_with_data"), F.count_if(F.col("normalized") > 0).alias("fields_normalized"))
     counts = source_counts(df).agg(F.count("*").alias("unique_ingestion_ids"),
                                    F.coalesce(F.sum("readings"), F.lit(0)).alias("readings"))
     with_data, normalized = (fields.select(c).scalar() for c in ("fields_with_data", "fields_normalized"))
