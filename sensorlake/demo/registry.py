@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Run = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("normalization", "transformation", "computations", "profiling", "operations", "ranking")
+_MODULES = ("normalization", "transformation", "computations", "profiling", "operations", "ranking", "graphs")
 
 
 class Query(NamedTuple):

@@ -19,10 +19,8 @@ def top_per_group(df: DataFrame, keys: Iterable[str], order: Iterable[Column], n
     """
     keys, order = list(keys), list(order)
     if n > _TRIMMED_IN_TASKS:
-        # any spread will do as long as a retried task repeats it: salt by content
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[
-            F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]),
-            F.lit(_SALTS)))
+        # by task, not by content: copies of one row must not end up in one part
+        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
         part = W.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= n) \
             .drop("_place", "_salt")
