@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 Run = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("normalization", "transformation", "computations", "profiling", "operations", "ranking", "graphs")
+_MODULES = ("normalization", "transformation", "computations", "profiling", "operations", "ranking", "graphs",
+            "ingest")
 
 
 class Query(NamedTuple):
