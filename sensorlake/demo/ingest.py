@@ -88,8 +88,9 @@ def _(spark, sf):
 # ---------------------------------------------------------------- bronze files
 
 def _written(spark, sf):
+    """A month of thin sources: one directory a day, not one an hour."""
     path = fresh_path(spark, "bronze")
-    ly.write_bronze(lower_columns(v.bronze(spark, sf)), path)
+    ly.write_bronze(lower_columns(v.bronze(spark, sf)), path, partitions=("ingestion_id", "date"))
     return path
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Run = Callable[[SparkSession, str], DataFrame]
 
 _MODULES = ("normalization", "transformation", "computations", "profiling", "operations", "ranking", "graphs",
-            "ingest")
+            "ingest", "streams")
 
 
 class Query(NamedTuple):

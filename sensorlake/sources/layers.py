@@ -1,6 +1,6 @@
 """Reading and writing the lake: bronze partitions, silver and gold tables, retention."""
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,14 +31,15 @@ def bronze_columns(df: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 
 def write_bronze(df: DataFrame, path: str, as_of: Column | None = None, mode: str = "append",
-                 max_records_per_file: int = 5_000_000) -> None:
+                 partitions: Sequence[str] = PARTITIONS, max_records_per_file: int = 5_000_000) -> None:
     """Append readings under ``ingestion_id=/date=/hour=``.
 
     Rows are rebalanced by partition first: adaptive execution splits a busy source over several
-    tasks and merges small ones, so there are neither giant nor tiny files.
+    tasks and merges small ones, so there are neither giant nor tiny files. Leave ``hour`` out of
+    ``partitions`` where sources send too little to fill a file an hour.
     """
-    (bronze_columns(df, as_of).hint("rebalance", *PARTITIONS)
-     .write.mode(mode).partitionBy(*PARTITIONS)
+    (bronze_columns(df, as_of).hint("rebalance", *partitions)
+     .write.mode(mode).partitionBy(*partitions)
      .option("compression", "snappy").option("maxRecordsPerFile", max_records_per_file).parquet(path))
 
 
@@ -48,9 +49,12 @@ def read_bronze(spark: SparkSession, base: str, ingestion_id: str | None = None,
     without it Spark has to read the footers of all files."""
     reader = spark.read.option("basePath", base)
     df = (reader.schema(schema) if schema is not None else reader.option("mergeSchema", "true")).parquet(base)
-    for name, value in (("ingestion_id", ingestion_id), ("date", date), ("hour", hour)):
-        if value is not None:
-            df = df.where(F.col(name) == F.lit(value).cast(df.schema[name].dataType))
+    if ingestion_id is not None:
+        df = df.where(F.col("ingestion_id") == ingestion_id)
+    if date is not None:
+        df = df.where(F.col("date") == F.lit(date).cast("date"))
+    if hour is not None:  # a number where it is a directory, two digits where it is a column
+        df = df.where(F.col("hour").cast("int") == int(hour))
     return df
 
 
