@@ -8,7 +8,8 @@ from ..operators import rank as rk
 from ..plans.gold import threshold_alerts, windowed_average
 from ..plans.reprocess import reprocess
 from ..streaming.control import read_table, start, stream_progress, write_table
-from ..streaming.enrich import SilverWriter, enrich, enrichment_stream
+from ..sources.layers import stream_layer
+from ..streaming.enrich import SilverWriter, enrichment_stream
 from ..streaming.latest import LatestTable
 from ..storage import fresh_path
 from . import views as v
@@ -30,7 +31,8 @@ def _as_readings(events):
 
 
 def _enriched_stream(spark, sf):
-    return enrich(_as_readings(event_stream(spark, sf)), v.rules(spark), as_of=F.col("timestamp"))
+    """The silver table as a stream, as the gold queries read it."""
+    return stream_layer(spark, v.silver_path(spark, sf), v.SILVER)
 
 
 def _run(spark, writer, kind):

@@ -29,13 +29,13 @@ def _temperature(df):
 @query("transform_chain", f"""WITH {v.ENRICHED} SELECT event_id, ingestion_id, temperature * 1.8e0 + 32 AS temperature,
   CAST(temperature AS VARCHAR) AS raw FROM en WHERE temperature * 1.8e0 + 32 BETWEEN 0 AND 200""")
 def _(spark, sf):
-    return _temperature(vt.apply_transformations(v.normalized(spark, sf), _CHAIN))
+    return _temperature(vt.apply_transformations(v.enriched(spark, sf), _CHAIN))
 
 
 @query("transform_chain_keep", f"""WITH {v.ENRICHED} SELECT event_id, ingestion_id, temperature * 1.8e0 + 32 AS temperature,
   CAST(temperature AS VARCHAR) AS raw FROM en WHERE temperature IS NULL OR temperature * 1.8e0 + 32 BETWEEN 0 AND 200""")
 def _(spark, sf):
-    return _temperature(vt.apply_transformations(v.normalized(spark, sf), _CHAIN, on_missing="keep"))
+    return _temperature(vt.apply_transformations(v.enriched(spark, sf), _CHAIN, on_missing="keep"))
 
 
 @query("vt_source_rule", f"""WITH {v.ENRICHED} SELECT event_id, ingestion_id,
@@ -44,7 +44,7 @@ def _(spark, sf):
 def _(spark, sf):
     rules = [_rule("humidity", "convert", {"operation": "mathematical", "math_operation": "divide", "operand": 100}, ingestion_id="src_view"),
              _rule("humidity", "filter", {"operator": ">=", "value": 20}, ingestion_id="src_click")]
-    df = vt.apply_transformations(v.normalized(spark, sf), rules)
+    df = vt.apply_transformations(v.enriched(spark, sf), rules)
     return df.select("event_id", "ingestion_id", F.col("normalized_data")["humidity"].alias("humidity"))
 
 
@@ -54,7 +54,7 @@ def _(spark, sf):
     rules = [_rule("temperature", "filter", {"operator": ">", "value": 25.5}),
              _rule("humidity", "filter", {"operator": "<=", "value": 80}),
              _rule("humidity", "filter", {"operator": "!=", "value": 50})]
-    df = vt.apply_transformations(v.normalized(spark, sf), rules)
+    df = vt.apply_transformations(v.enriched(spark, sf), rules)
     return df.select("event_id", extract_field("temperature").alias("temperature"),
                      extract_field("humidity").alias("humidity"))
 
@@ -64,7 +64,7 @@ def _(spark, sf):
 def _(spark, sf):
     rules = [_rule("sensorId", "filter", {"operator": "contains", "value": "SOR_1"}),
              _rule("sensorId", "filter", {"operator": "contains", "value": "2", "case_sensitive": True})]
-    df = vt.apply_transformations(v.normalized(spark, sf), rules)
+    df = vt.apply_transformations(v.enriched(spark, sf), rules)
     return df.select("event_id", F.col("sensor_data")["sensorId"].alias("sensorId"))
 
 
@@ -72,7 +72,7 @@ def _(spark, sf):
   WHERE regexp_matches(sensor_id, '^sensor_[0-9]{{2}}$')""")
 def _(spark, sf):
     rules = [_rule("sensorId", "filter", {"operator": "regex", "value": "^sensor_[0-9]{2}$"})]
-    df = vt.apply_transformations(v.normalized(spark, sf), rules)
+    df = vt.apply_transformations(v.enriched(spark, sf), rules)
     return df.select("event_id", F.col("sensor_data")["sensorId"].alias("sensorId"))
 
 
@@ -117,7 +117,7 @@ def _(spark, sf):
     CASE WHEN humidity <> 0 THEN temp / humidity END AS divided, CASE WHEN humidity <> 0 THEN fmod(temp, humidity) END AS remainder,
     pow(humidity, 2) AS squared FROM en""")
 def _(spark, sf):
-    df = v.normalized(spark, sf).select("event_id", extract_field("humidity").alias("h"), extract_field("temp").alias("t"))
+    df = v.enriched(spark, sf).select("event_id", extract_field("humidity").alias("h"), extract_field("temp").alias("t"))
 
     def math(a, operation, b):
         return vt.calculated(a, {"math_operation": operation}, b)
@@ -131,7 +131,7 @@ _CHECKS = [{"rule": "range", "params": {"min": 5, "max": 60}}, {"rule": "not_nul
 
 
 def _validated(spark, sf, on_fail, checks=_CHECKS):
-    return vt.apply_transformations(v.normalized(spark, sf), [
+    return vt.apply_transformations(v.enriched(spark, sf), [
         _rule("temperature", "validate", {"validation_rules": checks, "on_fail": on_fail})])
 
 
@@ -159,7 +159,7 @@ def _(spark, sf):
 @query("vt_validate_enum_regex", f"""WITH {v.ENRICHED} SELECT event_id FROM en
   WHERE humidity IN (10, 20, 30) AND regexp_matches(sensor_id, '[02468]$')""")
 def _(spark, sf):
-    df = vt.apply_transformations(v.normalized(spark, sf), [
+    df = vt.apply_transformations(v.enriched(spark, sf), [
         _rule("humidity", "validate", {"validation_rules": [{"rule": "enum", "params": {"values": [10, 20, 30]}}], "on_fail": "drop"}),
         _rule("sensorId", "validate", {"validation_rules": [{"rule": "regex", "params": {"pattern": "[02468]$"}}], "on_fail": "drop"})])
     return df.select("event_id")
@@ -170,7 +170,7 @@ def _(spark, sf):
     max(temperature) AS temperature_max, CAST(count(temperature) AS BIGINT) AS temperature_count
   FROM en WHERE temperature IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
-    df = v.normalized(spark, sf)
+    df = v.enriched(spark, sf)
     config = {"window": "1 hour", "group_by": ["sensorId"]}
     top = vt.vt_aggregate(df, "temperature", {**config, "function": "max"})
     n = vt.vt_aggregate(df, "temperature", {**config, "function": "count"})
@@ -179,7 +179,7 @@ def _(spark, sf):
 
 @query("vt_write_back", f"""WITH {v.ENRICHED} SELECT event_id, temperature * 2 AS temperature, humidity, CAST(3 AS BIGINT) AS n_keys FROM en""")
 def _(spark, sf):
-    df = v.normalized(spark, sf).withColumn("temperature", extract_field("temperature") * 2)
+    df = v.enriched(spark, sf).withColumn("temperature", extract_field("temperature") * 2)
     df = vt.write_back(df, ["temperature"])
     return df.select("event_id", F.col("normalized_data")["temperature"].alias("temperature"),
                      F.col("normalized_data")["humidity"].alias("humidity"),

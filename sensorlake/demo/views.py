@@ -2,10 +2,14 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.gold import windowed_average
+from .. import schema
 from ..operators.normalize import (add_enrichment_metadata, lower_columns, rules_frame,
                                    to_union)
+from ..plans.gold import windowed_average
+from ..sources.layers import read_layer
+from ..storage import fresh_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -64,9 +68,25 @@ def normalized(spark: SparkSession, sf: str) -> DataFrame:
     return to_union(lower_columns(bronze(spark, sf)), keep=["event_id"], rules=rules(spark))
 
 
+SILVER = T.StructType([*schema.ENRICHED.fields, T.StructField("event_id", T.LongType())])
+
+_silver_paths: dict[tuple[str, str], str] = {}
+
+
+def silver_path(spark: SparkSession, sf: str) -> str:
+    """Folder of the silver table, written on first use and scanned by every query after that."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _silver_paths:
+        path = fresh_path(spark, "silver")
+        # a reading arrives the moment it is taken
+        rows = add_enrichment_metadata(normalized(spark, sf), as_of=F.col("timestamp"))
+        rows.hint("rebalance", "ingestion_id").write.partitionBy("ingestion_id").parquet(path)
+        _silver_paths[key] = path
+    return _silver_paths[key]
+
+
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    """Normalised readings with metadata; a reading arrives the moment it is taken."""
-    return add_enrichment_metadata(normalized(spark, sf), as_of=F.col("timestamp"))
+    return read_layer(spark, silver_path(spark, sf), SILVER)
 
 
 ENRICHED = BRONZE + """,
