@@ -59,11 +59,12 @@ def _(spark, sf):
     return v.ntz(mt.bytes_rate(v.table(spark, sf, "events"), "ts", "props", F.col("user_id"), "1 hour"))
 
 
-@query("latency_percentiles", f"""WITH {_LOG} SELECT source_type, quantile_cont(delay, 0.5) AS p50, quantile_cont(delay, 0.95) AS p95, quantile_cont(delay, 0.99) AS p99
-  FROM log WHERE delay >= 0 GROUP BY 1""")
+@query("latency_percentiles", f"""WITH {_LOG} SELECT source_type, round(quantile_cont(delay, 0.5), 6) AS p50, round(quantile_cont(delay, 0.95), 6) AS p95,
+  round(quantile_cont(delay, 0.99), 6) AS p99 FROM log WHERE delay >= 0 GROUP BY 1""")
 def _(spark, sf):
     delay = mt.seconds_between("event_time", "ingest_time")
-    return mt.latency_percentiles(message_log(spark, sf).where(delay >= 0), delay, ["source_type"])
+    out = mt.latency_percentiles(message_log(spark, sf).where(delay >= 0), delay, ["source_type"])
+    return out.select("source_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
 @query("value_percentiles", """SELECT round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95,
