@@ -200,19 +200,16 @@ def _(spark, sf):
     return out.join(counts, "column")
 
 
-@query("check_rules", f"""WITH {v.BRONZE}, names AS (SELECT DISTINCT 'src_' || event_type AS raw FROM events), r AS (
+@query("check_rules", f"""WITH {v.BRONZE}, names AS (SELECT 'src_' || event_type AS raw, 10 + min(event_id) AS id FROM events GROUP BY 1), r AS (
     SELECT 1 AS id, 'temp' AS raw_key, 'temperature' AS canonical_key UNION ALL SELECT 2, 'pressure', 'temperature' UNION ALL SELECT 3, 'humidity', ' '
-    UNION ALL SELECT 3 + row_number() OVER (ORDER BY raw), raw, raw FROM names)
+    UNION ALL SELECT id, raw, raw FROM names)
   SELECT CAST(id AS BIGINT) AS id, raw_key, canonical_key, raw_key IN ('temp', 'humidity') AS raw_key_found, trim(canonical_key) <> '' AS has_name,
     canonical_key = 'temperature' AS name_shared, raw_key = 'temp' AS valid FROM r""")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-
     df = v.bronze(spark, sf)
     fixed = spark.createDataFrame([(1, "Temp", "temperature"), (2, "pressure", "temperature"), (3, "humidity", " ")],
                                   "id long, raw_key string, canonical_key string")
     # and a mistaken rule per source: somebody entered source ids as raw keys
-    sources = df.select(F.col("ingestion_id").alias("raw_key")).distinct()
-    wrong = sources.select((F.lit(3) + F.row_number().over(W.orderBy("raw_key"))).cast("long").alias("id"), "raw_key",
-                           F.col("raw_key").alias("canonical_key"))
+    wrong = df.groupBy(F.col("ingestion_id").alias("raw_key")).agg((F.min("event_id") + 10).alias("id")) \
+        .select("id", "raw_key", F.col("raw_key").alias("canonical_key"))
     return pv.check_rules(fixed.unionByName(wrong), df)

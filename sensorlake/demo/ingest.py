@@ -143,7 +143,7 @@ def _(spark, sf):
 
 @query("sample_latest")
 def _(spark, sf):
-    return fl.sample_latest_files(ly.read_bronze(spark, _written(spark, sf)))
+    return fl.sample_latest_files(spark, _written(spark, sf))
 
 
 @query("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50")

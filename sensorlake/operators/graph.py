@@ -41,11 +41,9 @@ def _sensor_buildings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def sensor_context(nodes: DataFrame, edges: DataFrame, sensors: DataFrame | None = None) -> DataFrame:
     """Every sensor with whatever of its location is known; ``sensors`` (``sensor``) restricts."""
-    found = _of(nodes, SENSOR, "_sensor", sensor="sensorId")
-    kind = nodes.where(F.col("label") == SENSOR).select(
-        F.col("id").alias("_sensor"),
+    found = nodes.where(F.col("label") == SENSOR).select(
+        F.col("id").alias("_sensor"), F.col("props")["sensorId"].alias("sensor"),
         F.coalesce(F.get(F.filter("labels", lambda x: x != SENSOR), 0), F.lit(SENSOR)).alias("sensor_type"))
-    found = found.join(kind, "_sensor")
     if sensors is not None:
         found = found.join(sensors, "sensor", "left_semi")
     placed = _sensor_buildings(nodes, edges).join(building_locations(nodes, edges), "_building")

@@ -45,13 +45,13 @@ def preview(df: DataFrame, n: int = 50) -> tuple[list[tuple[str, str]], DataFram
     return df.dtypes, df.limit(n)
 
 
-def sample_latest_files(df: DataFrame, max_files: int = 10, limit: int = 100) -> DataFrame:
-    """Up to ``limit`` rows of the newest files (by path, as directories carry date and hour).
-
-    The file list is already in the plan; only the chosen files are read.
-    """
-    newest = sorted(df.inputFiles(), reverse=True)[:max_files]
+def sample_latest_files(spark: SparkSession, root: str, max_files: int = 10, limit: int = 100) -> DataFrame:
+    """Up to ``limit`` rows of the newest Parquet files below ``root`` (by path, as directories
+    carry date and hour). Only the chosen files are read."""
+    newest = list_files(spark, root).where(F.endswith("path", F.lit(".parquet"))) \
+        .orderBy(F.desc("path")).limit(max_files).collect()
+    if not newest:
+        raise ValueError(f"no Parquet files below {root}")
     path = F.col("_metadata.file_path")
-    rows = df.sparkSession.read.parquet(*newest) if newest else df.limit(0)
-    return rows.select("*", path.alias("_source_file"),
+    return spark.read.parquet(*[f.path for f in newest]).select("*", path.alias("_source_file"),
                        F.regexp_extract(path, "ingestion_id=([^/]+)", 1).alias("_ingestion_id")).limit(limit)

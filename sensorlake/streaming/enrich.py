@@ -2,6 +2,7 @@
 
 from collections.abc import Callable, Iterable, Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -30,6 +31,15 @@ def accept(df: DataFrame, devices: DataFrame | None, transformations: Iterable[M
     return apply_transformations(known, transformations, on_missing=on_missing)
 
 
+def _counted(observation: Observation) -> int | None:
+    """The observed count, or None if the counter is gone: a filter known to keep nothing (no
+    device registered) removes its whole input from the plan."""
+    try:
+        return observation.get["n"]
+    except Py4JJavaError:
+        return None
+
+
 class SilverWriter:
     """foreachBatch target: re-reads devices and value rules, filters, transforms, writes.
 
@@ -47,7 +57,8 @@ class SilverWriter:
         rows = batch.observe(received, F.count("*").alias("n"))
         rows = accept(rows, self.devices(), self.transformations(), self.on_missing)
         write_silver(rows.observe(written, F.count("*").alias("n")), self.path, batch_id)
-        self.batches.append({"batch_id": batch_id, "received": received.get["n"], "written": written.get["n"]})
+        self.batches.append({"batch_id": batch_id, "received": _counted(received),
+                             "written": _counted(written) or 0})
 
 
 def enrichment_stream(raw: DataFrame, rules: DataFrame | Mapping[str, str] | None, writer: SilverWriter,

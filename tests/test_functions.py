@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sensorlake.functions import (infer_type, merged_type, normalize_event_time, numeric_or_null, overlay,
                                   overlay_keys, parse_timestamp, path_source_id, sensor_id,
-                                  stable_ingestion_id, topic_source_id, valid_reading)
+                                  stable_avg, stable_ingestion_id, topic_source_id, valid_reading)
 
 
 def column(spark, values, kind, make):
@@ -66,6 +66,12 @@ def test_types(spark):
     assert {r.k: r.t for r in df.collect()} == {"a": "string", "b": "uuid", "c": "double", "d": "string"}
 
 
+def test_mean_of_huge_values(spark):
+    df = spark.createDataFrame([(1, 1e20), (1, 3e20), (2, 0.125), (2, 0.125)], "k int, v double")
+    got = {r.k: r.m for r in df.groupBy("k").agg(stable_avg(F.col("v")).alias("m")).collect()}
+    assert got == {1: 2e20, 2: 0.13}
+
+
 def test_sensor_id_and_validity(spark):
     df = spark.createDataFrame([({"sensorid": "a", "sensor_id": "b"}, "s"), ({"x": "1"}, "s")],
                                "sensor_data map<string,string>, ingestion_id string")

@@ -45,7 +45,7 @@ def test_bronze_layout_and_pruning(spark, raw):
     one = ly.read_bronze(spark, path, "s1", "2024-05-01", 10)
     assert one.count() == 10
     assert "PartitionFilters: [isnotnull(ingestion_id" in one._jdf.queryExecution().toString()
-    assert set(fl.sample_latest_files(df, 2, 100).select("_ingestion_id").distinct().toPandas()["_ingestion_id"]) == {"s2"}
+    assert set(fl.sample_latest_files(spark, path, 2, 100).select("_ingestion_id").distinct().toPandas()["_ingestion_id"]) == {"s2"}
     assert fl.file_inventory(spark, path, suffix="parquet", page_size=2).count() == 2
 
 
@@ -147,6 +147,16 @@ def test_streamed_lake_equals_reprocessed_lake(spark, raw):
     assert made["alerts"].count() > 0
 
 
+def test_nothing_registered_writes_nothing(spark, raw):
+    bronze, silver = fresh_path(spark, "bronze"), fresh_path(spark, "silver")
+    raw.write.parquet(bronze)
+    nobody = spark.createDataFrame([], "ingestion_id string, enabled boolean")
+    writer = SilverWriter(silver, lambda: nobody)
+    stream = ly.stream_bronze(spark, bronze, raw.schema)
+    start(enrichment_stream(stream, {"temp": "temperature"}, writer), "nobody", fresh_path(spark, "ck")).awaitTermination()
+    assert [b["written"] for b in writer.batches] == [0]
+
+
 def test_a_repeated_batch_replaces_itself(spark, raw):
     path = fresh_path(spark, "silver")
     from sensorlake.streaming.enrich import enrich
