@@ -128,7 +128,7 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- the shipped examples
 
-def _example(name, df, *tie_break, order=None):
+def _example(name, df, *tie_break):
     """An example with a unique tie-break, so that its top-k is one fixed set of rows."""
     dataset, definition = EXAMPLES[name]
     definition = {**definition, "orderBy": definition["orderBy"] + [{"col": c} for c in tie_break]}

@@ -33,6 +33,15 @@ def compact_map(entries: Mapping[str, Column], value_type: str) -> Column:
         for key, value in entries.items()])
 
 
+def last_wins(m: Column) -> Column:
+    """A map column without repeated keys (JSON may repeat them), the last value staying. Rows
+    without repeats, nearly all, are only checked."""
+    keys = F.map_keys(m)
+    last = F.filter(F.map_entries(m), lambda e, i: ~F.array_contains(
+        F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(last)).otherwise(m)
+
+
 def overlay(base: Column, over: Column) -> Column:
     """Merge two map columns, ``over`` winning on shared keys, whatever the session's dedup policy.
 

@@ -1,8 +1,7 @@
 """Sensitivity labels: of a computation, from the devices it reads; and who may see them."""
 
-from collections.abc import Iterable, Mapping
-
 import re
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ def level_name(rank: Column) -> Column:
     return F.get(F.array(*[F.lit(name) for name in LEVELS]), rank)
 
 
-def _names_device(text: Column | str):
+def _names_device(text: str) -> bool:
     return "ingestion_id" in text.lower() or "sensor_id" in text.lower()
 
 

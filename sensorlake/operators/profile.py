@@ -36,14 +36,18 @@ def payload_fields(messages: DataFrame) -> DataFrame:
 def dataset_profile(messages: DataFrame) -> DataFrame:
     """Per source: topic, readings, first and last seen, distinct sensors, payload bytes.
 
-    Grouped by sensor first, so no source has its sensors gathered in one place.
+    Grouped by sensor first, so no source has its sensors gathered in one place; and by topic, so
+    that the pass over all messages only counts and compares numbers, which hashes without sorting.
     """
     sensor = F.coalesce(F.get_json_object("value", "$.sensor_id"), F.get_json_object("value", "$.sensorId"))
-    by_sensor = (messages.select("ingestion_id", "topic", "ts", sensor.alias("_sensor"),
-                                 F.octet_length("value").alias("_bytes"))
-                 .groupBy("ingestion_id", "_sensor")
-                 .agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"),
-                      F.sum("_bytes").alias("bytes"), F.min(F.struct("ts", "topic")).alias("_topic")))
+    by_topic = (messages.select("ingestion_id", "topic", "ts", sensor.alias("_sensor"),
+                                F.octet_length("value").alias("_bytes"))
+                .groupBy("ingestion_id", "_sensor", "topic")
+                .agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+                     F.sum("_bytes").alias("bytes")))
+    by_sensor = by_topic.groupBy("ingestion_id", "_sensor").agg(
+        F.sum("n").alias("n"), F.min(F.struct("first", "topic")).alias("_topic"), F.min("first").alias("first"),
+        F.max("last").alias("last"), F.sum("bytes").alias("bytes"))
     return by_sensor.groupBy("ingestion_id").agg(
         F.min("_topic")["topic"].alias("topic"), F.sum("n").alias("record_count"),
         F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
@@ -57,9 +61,10 @@ def field_profile(messages: DataFrame) -> DataFrame:
     anything is shuffled, so a busy source costs a few rows per task.
     """
     fields = payload_fields(messages)
-    types = fields.groupBy("ingestion_id", "field").agg(
-        merged_type(F.col("type"), F.col("ts")).alias("type"), F.count("*").alias("uses"),
-        F.count_if(F.col("type") == "null").alias("nulls"))
+    types = _first_seen(fields, "ingestion_id", "field").groupBy("ingestion_id", "field").agg(
+        F.sum("uses").alias("uses"),
+        F.sum(F.when(F.col("type") == "null", F.col("uses")).otherwise(0)).alias("nulls"),
+        merged_type(F.col("type"), F.col("first_seen")).alias("type"))
     earliest = W.partitionBy("ingestion_id", "field").orderBy("ts", "text")
     ranked = fields.where("text is not null").select("ingestion_id", "field", "ts", "text") \
         .withColumn("_rank", F.row_number().over(earliest)).where(F.col("_rank") <= _SAMPLED_READINGS)
@@ -71,13 +76,20 @@ def field_profile(messages: DataFrame) -> DataFrame:
 
 def schema_evolution(messages: DataFrame) -> DataFrame:
     """First time each (source, field, type) was seen, oldest first."""
-    return payload_fields(messages).groupBy("ingestion_id", "field", "type").agg(
-        F.min("ts").alias("first_seen")).orderBy("first_seen", "ingestion_id", "field", "type")
+    return _first_seen(payload_fields(messages), "ingestion_id", "field").drop("uses") \
+        .orderBy("first_seen", "ingestion_id", "field", "type")
+
+
+def _first_seen(fields: DataFrame, *keys: str) -> DataFrame:
+    """Uses and first time of each type, the only pass over all fields; types merge afterwards."""
+    return fields.groupBy(*keys, "type").agg(F.count("*").alias("uses"), F.min("ts").alias("first_seen"))
 
 
 def merge_types(fields: DataFrame, keys: Iterable[str]) -> DataFrame:
     """The most general ``type`` per key of rows ``(keys..., type, ts)``."""
-    return fields.groupBy(*keys).agg(merged_type(F.col("type"), F.col("ts")).alias("type"))
+    keys = list(keys)
+    return _first_seen(fields, *keys).groupBy(*keys).agg(
+        merged_type(F.col("type"), F.col("first_seen")).alias("type"))
 
 
 def stored_type(name: Column) -> Column:

@@ -198,10 +198,11 @@ def apply_transformations(df: DataFrame, rules: Iterable[Mapping], ingestion_id:
     """Run every rule, field by field in rule order, as one lazy plan.
 
     ``on_missing`` says what a filter (or a dropping validation) does to rows without the field:
-    'drop' removes them, 'keep' lets other devices' rows pass.
+    'drop' removes them, 'keep' lets other devices' rows pass, 'skip' ignores the rule if no row
+    of the whole (batch) frame has the field and drops otherwise.
     """
-    if on_missing not in ("drop", "keep"):
-        raise ValueError("on_missing is 'drop' or 'keep'")
+    if on_missing not in ("drop", "keep", "skip"):
+        raise ValueError("on_missing is 'drop', 'keep' or 'skip'")
     by_field: dict[str, list[dict]] = {}
     for rule in order_rules(rules, ingestion_id):
         by_field.setdefault(rule["field_name"], []).append(rule)
@@ -233,9 +234,11 @@ def _apply(df: DataFrame, field: str, rule: Mapping, untouched: bool,
     text = _field_text(df, field, untouched)
 
     def keep_where(condition: Column) -> DataFrame:
+        present = value.isNotNull() if text is None else value.isNotNull() | text.isNotNull()
         if on_missing == "keep":
-            present = value.isNotNull() if text is None else value.isNotNull() | text.isNotNull()
             condition = condition | ~present
+        elif on_missing == "skip":
+            condition = condition | ~F.coalesce(df.agg(F.bool_or(present)).scalar(), F.lit(False))
         return df.where(condition if only is None else ~only | only.isNull() | condition)
 
     def assign(new: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import normalize_event_time
-from ..functions.fields import overlay
+from ..functions.fields import last_wins, overlay
 
 _TEXT_MAP = "map<string,string>"
 
@@ -16,7 +16,8 @@ def parse_messages(df: DataFrame, value: str = "value", content_type: Column | N
     text = F.col(value)
     mark = (F.lit("raw"), F.lit("true")) if content_type is None else (F.lit("content_type"), content_type)
     plain = F.create_map(F.lit("content"), text, *mark)
-    return df.withColumn("data", F.coalesce(F.from_json(text, _TEXT_MAP), plain))
+    return df.withColumn("data", F.coalesce(F.from_json(text, _TEXT_MAP), plain)) \
+        .withColumn("data", last_wins(F.col("data")))
 
 
 def extract_records(df: DataFrame, path: str = "", value: str = "value") -> DataFrame:

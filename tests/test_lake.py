@@ -1,8 +1,10 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from sensorlake.functions import overlay
 from sensorlake.operators.normalize import rules_frame
 from sensorlake.plans.gold import threshold_alerts, windowed_average
 from sensorlake.plans.reprocess import reprocess
@@ -12,7 +14,7 @@ from sensorlake.sources import layers as ly
 from sensorlake.sources.messages import build_bronze, extract_records, parse_messages, payload_columns
 from sensorlake.sources.sensor_csv import as_messages, read_sensor_csv, sensor_slice
 from sensorlake.storage import fresh_path, materialize, shared_dir
-from sensorlake.streaming.control import find_query, read_table, start, stop, stream_progress, write_table
+from sensorlake.streaming.control import find_query, rate_source, read_table, start, stop, stream_progress, write_table
 from sensorlake.streaming.enrich import SilverWriter, enrichment_stream
 from sensorlake.streaming.latest import LatestTable
 
@@ -70,6 +72,8 @@ def test_retention(spark):
 
 
 def test_messages(spark):
+    twice = parse_messages(spark.createDataFrame([('{"a": 1, "b": 2, "a": 3}',)], "value string"))
+    assert twice.select(overlay(F.col("data"), F.create_map(F.lit("b"), F.lit("4"))).alias("m")).collect()[0].m == {"a": "3", "b": "4"}
     df = spark.createDataFrame([('{"a": 1}',), ("oops",), ("[1]",)], "value string")
     assert [r.data for r in parse_messages(df).collect()] == [
         {"a": "1"}, {"content": "oops", "raw": "true"}, {"content": "[1]", "raw": "true"}]
@@ -179,6 +183,19 @@ def test_latest_table_forgets_silent_sources(spark):
     assert sorted((r.ingestion_id, r.v) for r in table.read(spark).collect()) == [("b", 4), ("b", 5), ("c", 6)]
 
 
+def test_generated_stream(spark):
+    path = fresh_path(spark, "rate")
+    counts = rate_source(spark, 50).groupBy().count()
+    query = start(write_table(counts, path, "complete"), "rate", fresh_path(spark, "ck"), "1 second")
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and not any(p["numInputRows"] for p in query.recentProgress):
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert read_table(spark, path, "complete").collect()[0][0] > 0
+
+
 def test_queries_are_found_by_name(spark, raw):
     path = fresh_path(spark, "bronze")
     raw.write.parquet(path)

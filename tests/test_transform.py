@@ -58,6 +58,10 @@ def test_missing_fields(spark):
     rules = [rule("t", "filter", {"operator": ">", "value": 10})]
     assert vt.apply_transformations(df, rules).count() == 1
     assert vt.apply_transformations(df, rules, on_missing="keep").count() == 2
+    assert vt.apply_transformations(df, rules, on_missing="skip").count() == 1
+    absent = [rule("nobody_has_it", "filter", {"operator": ">", "value": 10})]
+    assert vt.apply_transformations(df, absent, on_missing="skip").count() == 3
+    assert vt.apply_transformations(df, absent).count() == 0
 
 
 def test_validation_flag_keeps_null(spark):
