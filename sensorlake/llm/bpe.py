@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: distinct words whose tokens a task keeps at a time
-CACHED_WORDS = 800_000
+CACHED_WORDS = 250_000
 #: longer words are encoded but not kept
 CACHED_LENGTH = 64
 #: looked-up arcs that are kept
-KEPT_ARCS = 1_000_000
+KEPT_ARCS = 400_000
 #: prefixes of words whose path is kept
-WALKED_PREFIXES = 400_000
+WALKED_PREFIXES = 200_000
 
 
 class Automaton:
@@ -248,6 +248,10 @@ def bpe_tokens(docs: DataFrame, tokenizer: str, text: str = "text", into: str =
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def tokens(texts: pa.Array) -> pa.Array:
         encoder = _encoder(spec.value)
+        parts = [part(encoder, texts.slice(at, 256)) for at in range(0, len(texts), 256)]
+        return pa.concat_arrays(parts or [part(encoder, texts)])
+
+    def part(encoder: Encoder, texts: pa.Array) -> pa.Array:
         rows = [encoder.encode(t or "") for t in texts.to_pylist()]
         offsets = np.zeros(len(rows) + 1, np.int32)
         np.cumsum([len(r) for r in rows], out=offsets[1:])
