@@ -119,6 +119,7 @@ def repeated_lines(docs: DataFrame, least: int, in_documents: int, bits: int = F
     lines = materialize(lines, "suspect-lines")
     confirmed = (lines.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_key").alias("keeper"))
                  .where(F.col("n") >= in_documents).select("key", "keeper"))
+    confirmed = materialize(confirmed, "repeated-lines")  # so that the join below may split a frequent key
     return (lines.join(confirmed, "key").where(F.col("doc_key") != F.col("keeper"))
             .groupBy("doc_key").agg(F.collect_list("key").alias("drops")))
 
