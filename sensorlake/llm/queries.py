@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, line_dedup
+from . import bpe, chat, decontamination, language_id, line_dedup, quality, topk
+from .common import hash_mod
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -62,6 +63,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("lines.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, hash_mod("doc_id", 3) != 1)
+    made = language_id.identify(docs.select("doc_id", "text"), model)
+    return made.select("doc_id", (hash_mod("doc_id", 3) == 1).alias("held_out"), "language.lang_pred", "language.score")
+
+
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -98,6 +107,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "found.*")
 
 
+_TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query("op8_top_k", _TOP_K_SQL)
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled().alias("vector"))
+    return topk.exact_top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
 @query("op9_chat")
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
@@ -105,3 +132,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    "conv_id long, turn long, role string, text string")
     conversations = table(spark, sf_dir, "conversations").select(*tricky.columns).unionByName(tricky)
     return chat.read_back(chat.format_conversations(conversations))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), hash_mod("doc_id", 5) != 0)
+    made = quality.score_quality(docs, model)
+    return made.select("doc_id", (hash_mod("doc_id", 5) == 0).alias("held_out"), "quality_score.*")
