@@ -80,21 +80,28 @@ def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: flo
 
 
 def train(docs: DataFrame, labelled: Column, sample: int = SAMPLE) -> dict | None:
-    """Fits on at most `sample` rows where `labelled` holds and lang and text are given, even over languages; rows
+    """Fits on about `sample` rows, no more, where `labelled` holds and lang and text are given, even over languages; rows
     are chosen by the hash of their ids. Only presence bits reach the driver, DIMENSION / 8 bytes a row."""
     rows = docs.where(labelled & F.col("lang").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
-    names = rows.select("lang").distinct().count()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_of"))
+    names = counts.count()
     if not names:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    each = max(1, sample // names)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    # about twice the wanted rows of a language by their hash, whatever its size; then the first of these
+    near = (rows.select("doc_id", "lang", "text", place.alias("_hash"))
+            .join(F.broadcast(counts) if names <= 10_000 else counts, "lang")
+            .where(F.col("_hash").cast("double") * F.col("_of") < float(2 * each * (1 << 30))))
+    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
 
     @F.arrow_udf("binary")
     def bits(texts: pa.Array) -> pa.Array:
         found = [row.tobytes() for part in _slices(texts) for row in np.packbits(presence(part), axis=1)]
         return pa.array(found, pa.binary())
 
-    chosen = (rows.select("doc_id", "lang", "text").withColumn("_place", F.row_number().over(order))
-              .where(F.col("_place") <= max(1, sample // names)).select("lang", bits("text").alias("bits")))
+    chosen = (near.select("doc_id", "lang", "_hash", bits("text").alias("bits"))
+              .withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= each).select("lang", "bits"))
     rows = sorted((r["lang"], r["bits"]) for r in chosen.toArrow().to_pylist())
     x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in rows]), axis=1).view(bool)
     return fit(x, [lang for lang, _ in rows])

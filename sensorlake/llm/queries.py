@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, language_id, line_dedup, quality, topk
+from . import bpe, chat, decontamination, language_id, line_dedup, pii, quality, topk
 from .common import hash_mod
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "found.*")
 
 
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", *[pii.count_of(F.col("pii.base"), k).alias(f"n_{k}") for k in pii.KINDS],
+                       F.sha2(pii.span_text(F.col("pii.base")).cast("binary"), 256).alias("base_sha256"),
+                       pii.span_text(F.concat("pii.base", "pii.added")).alias("spans"))
+
+
 _TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
