@@ -41,13 +41,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_codes(lower: bool = True, blank: np.ndarray | None = None) -> np.ndarray:
-    """A random 64-bit code per byte; A-Z as a-z if wanted, bytes of `blank` as 0."""
+def byte_codes(lower: bool = True) -> np.ndarray:
+    """A random 64-bit code per byte; A-Z as a-z if wanted."""
     codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_POWER_BASE))
     if lower:
         codes[65:91] = codes[97:123]
-    if blank is not None:
-        codes[blank] = 0
     return codes
 
 
@@ -107,7 +105,7 @@ class Words:
             place = np.arange(len(data), dtype=np.int32) - self.start.astype(np.int32)[np.maximum(number, 0)]
             place[~inside] = 0
             longest = int((self.end - self.start).max())
-            terms = codes[data] * powers(longest + 1)[place]
+            terms = np.where(separators, np.uint64(0), codes)[data] * powers(longest + 1)[place]
             self.hash = mix(np.add.reduceat(terms, self.start) + np.uint64(0x632BE59BD9B4E019))
         else:
             self.hash = np.zeros(0, np.uint64)
