@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 from .common import BLANK, NULL_ID, Words, byte_codes, chunks, flat, id_key, mix
 
-#: counters of the table that tells long lists from short ones
-COUNTERS = 1 << 18
+#: counters of the table that orders lists by length; more counters tell shorter lists apart, the result is the same
+COUNTERS = 1 << 22
 #: members of a pivot that are compared in one block
 BLOCK = 1000
-_PIECE = 1 << 14
+_PIECE = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,43 +65,52 @@ def _signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """Documents per counter of the shingles that fall on it, over all documents; COUNTERS numbers on the driver."""
+    """Documents per counter of the shingles that fall on it, over all documents; COUNTERS numbers on the driver.
+
+    A task counts to 255, which is long in any order.
+    """
     codes = byte_codes()
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint8)
         for batch in batches:
+            held = [np.zeros(0, np.int32)]
             for values, _ in _sets(batch.column(0), k, codes):
-                total += np.bincount((values & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                held.append((values & np.uint64(COUNTERS - 1)).astype(np.int32))
+            places, counts = np.unique(np.concatenate(held), return_counts=True)
+            total[places] = np.minimum(total[places].astype(np.int64) + counts, 255).astype(np.uint8)
         pieces = total.reshape(-1, _PIECE)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)),
                                           pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "counts"])
 
     def merge(batches):
         piece, total = None, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+                                              ["piece", "counts"])
         for batch in batches:
             for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if p != piece:
                     if piece is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
-                    piece, total = p, np.frombuffer(c, np.int64).copy()
-                else:
-                    total += np.frombuffer(c, np.int64)
+                        yield done()
+                    piece, total = p, np.zeros(_PIECE, np.uint32)
+                total += np.frombuffer(c, np.uint8)
         if piece is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
+            yield done()
 
     schema = "piece int, counts binary"
     merged = (docs.select("text").mapInArrow(count, schema).repartition("piece").sortWithinPartitions("piece")
               .mapInArrow(merge, schema))
-    made = np.zeros((COUNTERS // _PIECE, _PIECE), np.int64)
+    made = np.zeros((COUNTERS // _PIECE, _PIECE), np.uint32)
     for row in merged.toArrow().to_pylist():
-        made[row["piece"]] = np.frombuffer(row["counts"], np.int64)
+        made[row["piece"]] = np.frombuffer(row["counts"], np.uint32)
     return made.ravel()
 
 
 def _parity(values: np.ndarray, n: int) -> bytes:
-    """A bit per hash value modulo a power of two of about n, set if an odd number of values fall on it."""
-    bits = max(64, 1 << int(n).bit_length())
+    """A bit per hash value modulo a power of two of 2 n to 4 n, set if an odd number of values fall on it."""
+    bits = max(64, 2 << int(n).bit_length())
     odd = np.bincount((values >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -140,8 +149,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
 def short_lists(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(shingle, node) of the lists that are not among the T - 1 longest of the node's set."""
     counts = shingle_counts(docs, k)
-    # a list counts as long from four times the mean counter on, by powers of two
-    level = np.log2(1 + counts / max(1.0, 4 * counts.mean())).astype(np.uint8)
+    level = (4 * np.log2(1 + counts / max(0.25, counts.mean()))).astype(np.uint8)
     sent, codes = docs.sparkSession.sparkContext.broadcast(level), byte_codes()
 
     @F.arrow_udf("struct<node:long,short:array<long>>")
@@ -349,25 +357,54 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(rows.join(open_, "list"), "open-lists")
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """(a, b): pairs of a list whose labels differ."""
+def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a list whose labels differ and whose sizes and parity bits allow a link."""
     def pairs(batches):
-        for list_, node, label in _groups(batches, 1):
+        for pivot, list_, node, label, n, parity in _groups(batches, 1):
+            told, of = set(), None  # pairs given already from another list with this first node
+            width = np.array([len(p) for p in parity])
+            words = {w: np.frombuffer(b"".join(p for p in parity if len(p) == w), np.uint64).reshape(-1, w // 8)
+                     for w in np.unique(width)}
+            place = np.zeros(len(node), np.int64)
+            for w in words:
+                place[width == w] = np.arange((width == w).sum())
             runs = _runs(list_)
             for start, end in zip(runs[:-1], runs[1:], strict=True):
-                for i in range(start, end - 1):
-                    other = np.flatnonzero(label[i + 1:end] != label[i]) + i + 1
-                    if len(other):
-                        low, high = np.minimum(node[i], node[other]), np.maximum(node[i], node[other])
+                if pivot[start] != of:
+                    told, of = set(), pivot[start]
+                for i in range(start, end - 1):  # by size: partners of i follow it closely
+                    last = np.searchsorted(n[i:end], n[i] * 100 // percent, side="right") + i
+                    other = np.flatnonzero(label[i + 1:last] != label[i]) + i + 1
+                    same = other[width[other] == width[i]]
+                    table = words[width[i]]
+                    odd = np.bitwise_count(table[place[same]] ^ table[place[i]]).sum(axis=1, dtype=np.int64)
+                    near = same[odd * (100 + percent) <= (n[i] + n[same]) * (100 - percent)].tolist()
+                    near += [j for j in other[width[other] != width[i]].tolist()
+                             if may_link(int(n[i]), parity[i], int(n[j]), parity[j], percent)]
+                    pairs_here = [(min(node[i], node[j]), max(node[i], node[j]), j) for j in near]
+                    near = [j for a, b, j in pairs_here if (a, b) not in told]
+                    told.update((a, b) for a, b, _ in pairs_here)
+                    if near:
+                        low, high = np.minimum(node[i], node[near]), np.maximum(node[i], node[near])
                         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
-    return (lists.select("list", "node", "label").repartition("list").sortWithinPartitions("list", "node")
+    # lists of one passage mostly begin with the same node: side by side they tell a pair once
+    begin = lists.groupBy("list").agg(F.min("node").alias("pivot"))
+    rows = (lists.join(begin, "list").join(sets.select("node", "n", "parity"), "node")
+            .select("pivot", "list", "node", "label", "n", "parity"))
+    return (rows.repartition("pivot").sortWithinPartitions("pivot", "list", "n", "node")
             .mapInArrow(pairs, "a long, b long").distinct())
 
 
 def _stars(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each list's pivot of this turn with the members of other components."""
-    pivot = lists.groupBy("list").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")).alias("p"))
+    """(a, b): each list's pivot with the members of other components. First the pivot is the member on most lists, which
+    the edited copies of a text share with it; then one by hash."""
+    if turn == 0:
+        of_node = lists.groupBy("node").agg((-F.count("*")).alias("order"))
+        lists = materialize(lists.join(of_node, "node"), "ordered-lists")
+    else:
+        lists = lists.withColumn("order", F.xxhash64("node", F.lit(turn)))
+    pivot = lists.groupBy("list").agg(F.min(F.struct("order", "node", "label")).alias("p"))
     return (lists.join(pivot.select("list", F.col("p.node").alias("pivot"), F.col("p.label").alias("of")), "list")
             .where(F.col("label") != F.col("of"))
             .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
@@ -397,7 +434,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, turns: in
             near = plausible(_stars(open_, turn), sets, percent)
             tried = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
         else:  # what components have not settled
-            tried = plausible(_across(open_), sets, percent).select("a", "b")
+            tried = _across(open_, sets, percent)
         new = materialize(verify(tried, sets, docs, k, percent), "verified")
         links = new if links is None else materialize(links.unionByName(new), "all-links")
         labels = components(links)
