@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, jaccard_join, language_id, line_dedup, pii, quality, topk
+from . import bpe, chat, decontamination, jaccard_join, language_id, line_dedup, pii, quality, suffix_dedup, topk
 from .common import hash_mod
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS i, h FROM d WHERE length(h) >= 100),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM p),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM w JOIN m USING (s) WHERE first < doc_id),
+counted AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR before < pos - 1) AS runs
+            FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id),
+bytes AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS pos, h FROM d),
+kept AS (SELECT b.doc_id, string_agg(substr(h, 2 * b.pos + 1, 2), '' ORDER BY b.pos) AS k
+         FROM bytes b LEFT JOIN gone g ON b.doc_id = g.doc_id AND b.pos = g.pos WHERE g.pos IS NULL GROUP BY b.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(runs, 0) AS n_spans,
+       sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op1_suffix_dedup", _SUFFIX_SQL)
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix_dedup.drop_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256")
+
+
 _JACCARD_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
