@@ -1,11 +1,61 @@
-"""Cleaning pipeline over documents: each stage works on all that the one before kept."""
+"""Cleaning pipeline over documents: language, repeated lines, near duplicates, benchmark passages, tokens.
 
-STAGES = []
+Each stage works on all rows that the one before kept. Null texts and repeated rows are treated as the operators say; an
+empty table passes through all stages. Columns beyond those of documents travel along, except through the last stage.
+"""
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensorlake.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
+from sensorlake.llm.common import hash_mod, id_key
+from sensorlake.storage import materialize
+
+#: the tokens of the last stage are in no SQL; tests compare the stages with brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language: null, empty or without a letter."""
+    model = language_id.train(docs, hash_mod("doc_id", 3) != 1)
+    return (language_id.identify(docs, model, into="_language")
+            .where(F.col("_language.lang_pred") != language_id.UNKNOWN).select(*docs.columns))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that three documents share, except where the largest doc_id holds them; text and n_chars change."""
+    made = line_dedup.drop_repeated_lines(docs, into="_lines")
+    changed = {"text": F.col("_lines.kept"), "n_chars": F.length("_lines.kept").cast("long")}
+    return made.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates the document with the smallest doc_id; of rows that repeat an id, one."""
+    found = jaccard_join.similar_components(docs)
+    first = materialize(found.where(F.col("doc_key") == F.col("component")).select("doc_key").distinct(), "first-of-group")
+    kept = docs.withColumn("_key", id_key()).join(first.select(F.col("doc_key").alias("_key")), "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.contamination(docs, items, into="_found")
+    return found.where(~F.col("_found.contaminated")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the token ids and of what they decode to."""
+    return bpe.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark),
+          ("tokens", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
