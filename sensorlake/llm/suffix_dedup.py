@@ -2,7 +2,7 @@
 
 A window is `length` consecutive bytes. Its smallest GRAM-byte hash says where it is compared, so equal windows meet
 and a document is cut into pieces of consecutive windows with the same smallest gram. Only grams that occur in two
-documents lead on. Pieces with equal bytes are compared once, by their smallest document. A task sorts the suffixes that
+documents lead on. A task compares pieces with equal bytes once, by their smallest document, and sorts the suffixes that
 begin its pieces' windows, deep-shallow: multikey quicksort over 8-byte characters down to SHALLOW bytes, then a blind
 trie for each group that still agrees. Windows that agree in full stand side by side and take their smallest
 document.
@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -28,15 +28,17 @@ GRAM = 16
 SHALLOW = 24
 #: windows of a piece; longer runs of one gram are cut
 PIECE = 64
-#: distinct pieces of one gram beyond which Spark groups their windows one by one, instead of a task sorting them
+#: documents of one gram beyond which Spark groups its windows one by one, instead of a task sorting them
 GROUP = 20_000
 _GRAM_BITS = np.uint64((1 << 48) - 1)
 
 
 def release(df: DataFrame) -> None:
     """Lets Spark drop the shuffle files of finished steps that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first pass lets go of what Python held, the second of what hung on it
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def least_grams(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, codes: np.ndarray):
@@ -144,8 +146,9 @@ def sort_suffixes(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndar
     return order, np.cumsum(part) - 1
 
 
-def _shared_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_key, grams array<long>): the grams of a document's windows that another document has too."""
+def _shared_grams(docs: DataFrame, length: int, gram: int, group: int) -> DataFrame:
+    """(doc_key, gram, large): the grams of a document's windows that another document has too, and whether more than
+    `group` documents do."""
     codes = byte_codes(lower=False)
 
     @F.arrow_udf("array<long>")
@@ -180,11 +183,14 @@ def _shared_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
             other = np.zeros(len(value), bool)
             other[1:] = value[1:] == value[:-1]
             other[:-1] |= other[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[other]), pa.array(value[other])], ["doc_key", "gram"])
+            runs = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            sizes = np.diff(np.append(runs, len(value)))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[other]), pa.array(value[other]),
+                                              pa.array(np.repeat(sizes > group, sizes)[other])], ["doc_key", "gram", "large"])
 
     rows = docs.select(id_key().alias("doc_key"), F.explode(grams("text")).alias("gram"))
     kept = (rows.select("gram", "doc_key").repartition("gram").sortWithinPartitions("gram", "doc_key")
-            .mapInArrow(shared, "doc_key long, gram long"))
+            .mapInArrow(shared, "doc_key long, gram long, large boolean"))
     return materialize(kept, "shared-grams")
 
 
@@ -194,7 +200,7 @@ def _and_end(batches):
 
 
 def _pieces(docs: DataFrame, grams: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, hash, piece, doc_key, start): runs of windows with a shared smallest gram."""
+    """(gram, piece, doc_key, start): runs of windows whose smallest gram is one of the document's `grams`."""
     codes = byte_codes(lower=False)
 
     def cut(batches):
@@ -225,45 +231,55 @@ def _pieces(docs: DataFrame, grams: DataFrame, length: int, gram: int) -> DataFr
                 start = begin[text[at]] + place[at]
                 raw = part.tobytes()
                 pieces = [raw[s:s + n + length - 1] for s, n in zip(start.tolist(), sizes.tolist(), strict=True)]
-                hashes = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value[at]), pa.array(hashes), pa.array(pieces, pa.binary()), pa.array(keys[a:b][text[at]]),
-                     pa.array(place[at])], ["gram", "hash", "piece", "doc_key", "start"])
+                    [pa.array(value[at]), pa.array(pieces, pa.binary()), pa.array(keys[a:b][text[at]]), pa.array(place[at])],
+                    ["gram", "piece", "doc_key", "start"])
 
     lists = grams.groupBy("doc_key").agg(F.collect_list("gram").alias("grams"))
     rows = docs.select(id_key().alias("doc_key"), "text").join(lists, "doc_key")
-    return materialize(rows.select("doc_key", "text", "grams").mapInArrow(
-        cut, "gram long, hash long, piece binary, doc_key long, start long"), "pieces")
+    return rows.select("doc_key", "text", "grams").mapInArrow(
+        cut, "gram long, piece binary, doc_key long, start long")
 
 
-def _sorted_mins(pieces: DataFrame, length: int) -> DataFrame:
-    """(gram, hash, mins array<long>): smallest document of each window of a piece; one number if all are the same."""
-    def mins(batches):
+def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """(doc_key, s, e): windows that a smaller document has too, by sorting the suffixes of the pieces of each gram."""
+    def spans(batches):
         for batch in _whole_grams(batches):
-            piece = batch.column("piece").to_pylist()
-            doc = batch.column("first").to_numpy()
-            last = batch.column("last").to_numpy()
-            sizes = np.array([len(p) for p in piece])
-            windows = sizes - length + 1
-            begin = np.cumsum(sizes) - sizes
-            owner = np.repeat(np.arange(len(piece)), windows)
-            starts = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + begin[owner]
-            order, group = sort_suffixes(b"".join(piece), starts, length)
-            least = np.minimum.reduceat(doc[owner[order]], np.flatnonzero(np.diff(group, prepend=-1)))
-            found = np.empty(len(starts), np.int64)
-            found[order] = least[group]
-            edge = np.cumsum(windows) - windows
-            low, high = np.minimum.reduceat(found, edge), np.maximum.reduceat(found, edge)
-            useful = np.flatnonzero(low < last)
-            if len(useful):
-                lists = [found[edge[i]:edge[i] + windows[i]] if low[i] != high[i] else found[edge[i]:edge[i] + 1]
-                         for i in useful]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("gram").take(pa.array(useful)), batch.column("hash").take(pa.array(useful)),
-                     pa.array(lists, pa.list_(pa.int64()))], ["gram", "hash", "mins"])
-
-    rows = pieces.select("gram", "hash", "piece", "first", "last").repartition("gram").sortWithinPartitions("gram")
-    return rows.mapInArrow(mins, "gram long, hash long, mins array<long>")
+            doc, start = batch.column("doc_key").to_numpy(), batch.column("start").to_numpy()
+            known: dict[bytes, int] = {}  # equal pieces have the same gram
+            which = np.array([known.setdefault(p, len(known)) for p in batch.column("piece").to_pylist()])
+            least = np.full(len(known), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, doc)
+            pieces = list(known)
+            gram = np.zeros(len(pieces), np.int64)
+            gram[which] = batch.column("gram").to_numpy()
+            windows = np.array([len(p) for p in pieces]) - length + 1
+            low, high, varied = least.copy(), least.copy(), {}
+            _, of, count = np.unique(gram, return_inverse=True, return_counts=True)
+            several = np.flatnonzero(count[of] > 1)  # a gram with one piece is settled
+            if len(several):
+                size = windows[several]
+                edge = np.cumsum(size) - size
+                owner = np.repeat(np.arange(len(several)), size)
+                begin = np.cumsum(size + length - 1) - (size + length - 1)
+                starts = np.arange(len(owner)) - edge[owner] + begin[owner]
+                order, group = sort_suffixes(b"".join([pieces[i] for i in several]), starts, length)
+                smallest = np.minimum.reduceat(least[several][owner[order]], np.flatnonzero(np.diff(group, prepend=-1)))
+                found = np.empty(len(starts), np.int64)
+                found[order] = smallest[group]
+                low[several], high[several] = np.minimum.reduceat(found, edge), np.maximum.reduceat(found, edge)
+                varied = {i: found[a:a + n] for i, a, n in zip(several.tolist(), edge.tolist(), size.tolist(), strict=True)}
+            whole = np.flatnonzero(high[which] < doc)
+            made = [(doc[whole], start[whole], start[whole] + windows[which[whole]] + length - 1)]
+            for row in np.flatnonzero((low[which] < doc) & (high[which] >= doc)).tolist():
+                gone = np.flatnonzero(varied[int(which[row])] < doc[row])
+                cuts = np.flatnonzero(np.diff(gone) > 1)
+                first, last = gone[np.concatenate([[0], cuts + 1])], gone[np.append(cuts, len(gone) - 1)]
+                made.append((np.full(len(first), doc[row]), start[row] + first, start[row] + last + length))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[i] for m in made])) for i in range(3)],
+                                             ["doc_key", "s", "e"])
+
+    return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(spans, "doc_key long, s long, e long")
 
 
 def _whole_grams(batches, limit: int = 8000) -> Iterator[pa.RecordBatch]:
@@ -284,42 +300,52 @@ def _whole_grams(batches, limit: int = 8000) -> Iterator[pa.RecordBatch]:
             yield table.slice(0, cut).combine_chunks().to_batches()[0]
 
 
-def _grouped_mins(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for grams with very many pieces, window by window in Spark."""
-    windows = (pieces.select("gram", "hash", "piece", "first",
-                             F.posexplode(F.sequence(F.lit(1), F.length("piece") - (length - 1))).alias("i", "at"))
-               .select("gram", "hash", "first", "i", F.expr(f"substring(piece, at, {length})").alias("window")))
-    windows = materialize(windows, "windows")
-    least = materialize(windows.groupBy("window").agg(F.min("first").alias("least")), "least-windows")
-    return (windows.join(least, "window").groupBy("gram", "hash")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda s: s["least"]).alias("mins")))
+def _grouped_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for grams of very many documents, window by window, so that no task holds a gram."""
+    windows = pieces.select("doc_key", "start", "piece", F.posexplode(F.sequence(F.lit(1), F.length("piece") - (length - 1)))
+                            .alias("i", "at"))
+    windows = materialize(windows.select("doc_key", (F.col("start") + F.col("i")).alias("s"),
+                                         F.expr(f"substring(piece, at, {length})").alias("window")), "windows")
+    least = materialize(windows.groupBy("window").agg(F.min("doc_key").alias("least")), "least-windows")
+    return (windows.join(least, "window").where("least < doc_key")
+            .select("doc_key", "s", (F.col("s") + length).alias("e")))
+
+
+class _Filter:
+    """A bitmap of fixed size that holds the values of a column, and by chance some others."""
+
+    def __init__(self, values: DataFrame, column: str, bits: int = 1 << 22):
+        self.bits = bits
+        places = values.select(self.place(column).alias("place")).distinct().toArrow()
+        filled = np.zeros(bits, bool)
+        filled[places["place"].to_numpy()] = True
+        self.sent = values.sparkSession.sparkContext.broadcast(np.packbits(filled))
+
+    def place(self, column: str) -> Column:
+        return F.xxhash64(column).bitwiseAND(self.bits - 1).cast("int")
+
+    def holds(self, column: str) -> Column:
+        sent = self.sent
+
+        @F.arrow_udf("boolean")
+        def held(place: pa.Array) -> pa.Array:
+            return pa.array(np.unpackbits(sent.value).view(bool)[place.to_numpy()])
+
+        return held(self.place(column))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_key, spans array<struct<s, e>>): byte ranges covered by a window that a smaller doc_id has too; they overlap."""
-    grams = _shared_grams(docs, length, gram)
+    grams = _shared_grams(docs, length, gram, group)
     release(docs)
-    pieces = _pieces(docs, grams, length, gram)
+    spans = _sorted_spans(_pieces(docs, grams.where("not large"), length, gram), length)
+    spans = materialize(spans, "spans")
     release(docs)
-    distinct = materialize(pieces.groupBy("gram", "hash", "piece").agg(F.min("doc_key").alias("first"), F.max("doc_key").alias("last")),
-                           "distinct-pieces")
-    large = materialize(distinct.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > group).select("gram"), "large-grams")
-    some = distinct.join(large, "gram", "left_anti")
-    mins = _sorted_mins(some, length)
+    large = grams.where("large")
     if large.head(1):
-        mins = mins.unionByName(_grouped_mins(distinct.join(large, "gram", "left_semi"), length))
-    mins = materialize(mins, "least-documents")
-    release(docs)
-    width = F.greatest(F.col("windows"), F.lit(1))
-    held = (pieces.select("gram", "hash", "doc_key", "start", (F.length("piece") - (length - 1)).cast("long").alias("windows"))
-            .join(mins, ["gram", "hash"]))
-    # of a piece: all windows, or the places of those with a smaller document
-    places = F.when(F.size("mins") == 1, F.when(F.col("mins")[0] < F.col("doc_key"), F.array(
-        F.struct(F.col("start").alias("s"), (F.col("start") + width - 1 + length).alias("e"))))).otherwise(
-        F.filter(F.transform("mins", lambda m, i: F.when(m < F.col("doc_key"), F.struct(
-            (F.col("start") + i).alias("s"), (F.col("start") + i + length).alias("e")))), lambda x: x.isNotNull()))
-    spans = held.select("doc_key", F.explode(places).alias("span"))
-    return materialize(spans.groupBy("doc_key").agg(F.collect_list("span").alias("spans")), "repeated-spans")
+        spans = spans.unionByName(_grouped_spans(_pieces(docs, large, length, gram), length))
+    spans = spans.groupBy("doc_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return materialize(spans, "repeated-spans")
 
 
 def drop_repeated_spans(docs: DataFrame, length: int = LENGTH, into: str = "repeats", group: int = GROUP) -> DataFrame:
@@ -334,14 +360,7 @@ def drop_repeated_spans(docs: DataFrame, length: int = LENGTH, into: str = "repe
     spark = docs.sparkSession
     own, key = [c for c in docs.columns if c != into], "_suffix_dedup_key"
     spans = repeated_spans(docs.select("doc_id", "text"), length, group=group)
-    places = spans.select(F.xxhash64("doc_key").bitwiseAND((1 << 22) - 1).cast("int").alias("place")).distinct().toArrow()
-    bits = np.zeros(1 << 22, bool)  # of fixed size: most documents without spans need no join
-    bits[places["place"].to_numpy()] = True
-    sent = spark.sparkContext.broadcast(np.packbits(bits))
-
-    @F.arrow_udf("boolean")
-    def cut(place: pa.Array) -> pa.Array:
-        return pa.array(np.unpackbits(sent.value).view(bool)[place.to_numpy()])
+    with_spans = _Filter(spans, "doc_key")  # most documents without spans need no join
 
     @F.arrow_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary,kept_sha256:string>")
     def remove(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -355,7 +374,7 @@ def drop_repeated_spans(docs: DataFrame, length: int = LENGTH, into: str = "repe
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
 
     keyed = docs.select(*own, id_key().alias(key))
-    hit = cut(F.xxhash64(key).bitwiseAND((1 << 22) - 1).cast("int"))
+    hit = with_spans.holds(key)
     spans = spans.select(F.col("doc_key").alias(key), F.col("spans").alias("_spans"))
     none = F.lit(None).cast("array<struct<s:long,e:long>>")
     touched = keyed.where(hit).join(spans, key, "left").select(*own, remove(F.col("text"), F.col("_spans")).alias(into))
