@@ -24,8 +24,8 @@ from ..storage import materialize
 from .common import byte_codes, chunks, flat, id_key, mix, powers
 
 LENGTH = 50
-GRAM = 16
-SHALLOW = 24
+GRAM = 24
+SHALLOW = 40
 #: windows of a piece; longer runs of one gram are cut
 PIECE = 64
 #: documents of one gram beyond which Spark groups its windows one by one, instead of a task sorting them
@@ -58,10 +58,15 @@ def least_grams(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, c
 
 
 def _run_hash(values: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash of the n values from each place on, by doubling; n is a power of two."""
-    power, have = powers(n + 1), 1
-    while have < n:
+    """Polynomial hash of the n values from each place on, by doubling and one last step."""
+    power, have, before = powers(n + 1), 1, [values]
+    while 2 * have <= n:
         values, have = values[:-have] * power[have] + values[have:], 2 * have
+        before.append(values)
+    for bit in reversed(range(len(before) - 1)):
+        if n >> bit & 1:
+            tail = before[bit][have:]
+            values, have = values[:len(tail)] * power[1 << bit] + tail, have + (1 << bit)
     return values
 
 
@@ -135,6 +140,9 @@ def sort_suffixes(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndar
         a, b = bounds[a], bounds[a + 1]
         items, at = order[a:b].tolist(), starts[order[a:b]].tolist()
         keys = [data[s + SHALLOW:s + length] for s in at]
+        if keys.count(keys[0]) == len(keys):
+            part[a + 1:b] = False
+            continue
         trie = BlindTrie(keys[0], items[0])
         for key, item in zip(keys[1:], items[1:], strict=True):
             trie.add(key, item)
