@@ -20,15 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: distinct words whose tokens a task keeps at a time
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 #: longer words are encoded but not kept
 CACHED_LENGTH = 64
 #: looked-up arcs that are kept
-KEPT_ARCS = 400_000
+KEPT_ARCS = 250_000
 #: prefixes of words whose path is kept
-WALKED_PREFIXES = 200_000
+WALKED_PREFIXES = 100_000
 
 
 class Automaton:
@@ -236,36 +237,46 @@ def _read(path: str) -> str:
         return f.read()
 
 
-def bpe_tokens(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "bpe") -> DataFrame:
+#: texts whose tokens a task holds at a time
+SLICE = 128
+
+
+def bpe_tokens(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "bpe", keep: list[str] | None = None) -> DataFrame:
     """The frame with one more column: struct(ids array<int>, decoded string) of the text, by the tokenizer file `tokenizer`.
 
     A null text is empty: no ids, an empty decoded text. Texts are read whole, however long; rows repeat as they are;
-    all other columns stay (a column named as `into` is replaced). An empty table gives an empty table. The file is
-    read by the driver and broadcast: its size does not depend on the data.
+    all other columns stay, or those named by `keep` (a column named as `into` is replaced). An empty table gives an
+    empty table. The file is read by the driver and broadcast: its size does not depend on the data.
     """
     spec = docs.sparkSession.sparkContext.broadcast(_read(tokenizer))
+    kept = [c for c in docs.columns if c != into and (keep is None or c in keep)]
+    fields = [f for c in kept for f in docs.select(F.col(f"`{c}`")).schema.fields]
+    made = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def tokens(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                columns = [part.column(i) for i in range(1, part.num_columns)]
+                yield pa.RecordBatch.from_arrays([*columns, _tokens(_encoder(spec.value), part.column(0))], [*kept, into])
 
-    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
-    def tokens(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(spec.value)
-        parts = [part(encoder, texts.slice(at, 256)) for at in range(0, len(texts), 256)]
-        return pa.concat_arrays(parts or [part(encoder, texts)])
+    rows = docs.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`") for c in kept])
+    return rows.mapInArrow(tokens, T.StructType([*fields, T.StructField(into, made)]))
 
-    def part(encoder: Encoder, texts: pa.Array) -> pa.Array:
-        rows = [encoder.encode(t or "") for t in texts.to_pylist()]
-        offsets = np.zeros(len(rows) + 1, np.int32)
-        np.cumsum([len(r) for r in rows], out=offsets[1:])
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        decoded = pa.array([encoder.decode(r.tolist()) for r in rows], pa.string())
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
 
-    return docs.withColumn(into, tokens(F.col(text)))
+def _tokens(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    rows = [encoder.encode(t or "") for t in texts.to_pylist()]
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    decoded = pa.array([encoder.decode(r.tolist()) for r in rows], pa.string())
+    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+    return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 for each row of (doc_id, text)."""
-    made = bpe_tokens(docs.select("doc_id", "text"), tokenizer, into="bpe")
+    made = bpe_tokens(docs.select("doc_id", "text"), tokenizer, into="bpe", keep=["doc_id"])
     return made.select(
         "doc_id", F.size("bpe.ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("bpe.ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
