@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: stands for a null id inside joins and orders, below every other id
 NULL_ID = -(2 ** 63)
 #: bytes of text that one numpy step works on
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _POWER_BASE = 0x9E3779B97F4A7C15
 

@@ -154,12 +154,12 @@ def short_lists(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     @F.arrow_udf("struct<node:long,short:array<long>>")
     def choose(texts: pa.Array) -> pa.Array:
-        level = sent.value.astype(np.uint64)
+        level = sent.value
         nodes, short, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for values, first in _sets(texts, k, codes):
             n = np.diff(first)
             owner = np.repeat(np.arange(len(n)), n)
-            rank = (level[(values & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(57)) | (values >> np.uint64(7))
+            rank = (level[(values & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (values >> np.uint64(7))
             order = np.lexsort((rank, owner))
             kept = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
             keep = np.arange(len(values)) - first[:-1][owner] < kept[owner]
