@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorlake.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
-from sensorlake.llm.common import hash_mod, id_key
+from sensorlake.llm.common import hash_mod, id_key, small_batches
 from sensorlake.storage import materialize
 
 #: the tokens of the last stage are in no SQL; tests compare the stages with brute force
@@ -18,6 +18,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null, empty or without a letter."""
+    small_batches(spark)
     model = language_id.train(docs, hash_mod("doc_id", 3) != 1)
     return (language_id.identify(docs, model, into="_language")
             .where(F.col("_language.lang_pred") != language_id.UNKNOWN).select(*docs.columns))
@@ -25,6 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that three documents share, except where the largest doc_id holds them; text and n_chars change."""
+    small_batches(spark)
     made = line_dedup.drop_repeated_lines(docs, into="_lines")
     changed = {"text": F.col("_lines.kept"), "n_chars": F.length("_lines.kept").cast("long")}
     return made.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
@@ -32,6 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest doc_id; of rows that repeat an id, one."""
+    small_batches(spark)
     found = jaccard_join.similar_components(docs)
     first = materialize(found.where(F.col("doc_key") == F.col("component")).select("doc_key").distinct(), "first-of-group")
     kept = docs.withColumn("_key", id_key()).join(first.select(F.col("doc_key").alias("_key")), "_key", "left_semi")
@@ -40,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.contamination(docs, items, into="_found")
     return found.where(~F.col("_found.contaminated")).select(*docs.columns)
@@ -47,6 +51,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the token ids and of what they decode to."""
+    small_batches(spark)
     return bpe.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
