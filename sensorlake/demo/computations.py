@@ -112,9 +112,16 @@ def _(spark, sf):
     return df.withColumn("place", F.row_number().over(W.orderBy("ingestion_id", F.desc("event_id"))).cast("long"))
 
 
+@query("dsl_window_unselected_order", f"""WITH {v.ENRICHED} SELECT ingestion_id, time_bucket(INTERVAL '1 minute', ingest_ts, TIMESTAMP '1970-01-01') AS minute
+  FROM en ORDER BY event_id LIMIT 200""")
+def _(spark, sf):
+    return v.ntz(compute({"select": ["ingestion_id", "window(ingest_ts, '1 minute').start as minute"], "limit": 200,
+                          "orderBy": [{"col": "event_id"}]}, v.enriched(spark, sf)))
+
+
 @query("dsl_topk", f"WITH {v.ENRICHED} SELECT event_id, temperature FROM en ORDER BY temperature DESC NULLS LAST, event_id LIMIT 100")
 def _(spark, sf):
-    return compute({"select": ["event_id", "normalized_data.temperature"],
+    return compute({"select": ["event_id", "normalized_data.temperature"], "limit": 100,
                     "orderBy": [{"col": "temperature", "dir": "desc"}, {"col": "event_id"}]},
                    v.enriched(spark, sf).withColumn("temperature", F.col("normalized_data")["temperature"]))
 

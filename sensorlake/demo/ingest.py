@@ -125,6 +125,16 @@ def _(spark, sf):
         .select("event_id", "ingestion_id")
 
 
+@query("retention_text_times", """WITH t AS (SELECT event_id, ts, (SELECT CAST(max(ts) AS DATE) FROM events) AS today FROM events)
+  SELECT event_id FROM t WHERE event_id % 4 = 3 OR CAST(ts AS DATE) >= today - 7""")
+def _(spark, sf):
+    text = F.col("ts").cast("string")
+    epoch = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    rows = v.table(spark, sf, "events").select("event_id", F.lit("any").alias("ingestion_id"), F.when(F.col("event_id") % 4 == 3, "bad")
+                                               .when(F.col("event_id") % 4 == 2, epoch).otherwise(text).alias("timestamp"))
+    return ly.apply_retention(rows, "bronze", last_time(spark, sf)).select("event_id")
+
+
 @query("expired_partitions", f"""WITH {v.BRONZE} SELECT DISTINCT ingestion_id, CAST(ts AS DATE) AS date FROM ev
   WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) FROM events) - 7""")
 def _(spark, sf):
@@ -153,11 +163,11 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- sensor archive
 
-_KEYS = sorted(k for keys in sc.UNITS.values() for k in keys) + [
+_KEYS = sorted("/".join(row[:3]) for row in sc.UNITS) + [
     "audio/mic/octave", "metsense/bmp180/id", "nc/net/rx", "chemsense/co/voltage"]
 _KEY_ROWS = ", ".join(f"({i}, '{k.split('/')[0]}', '{k.split('/')[1]}', '{k.split('/')[2]}')" for i, k in enumerate(_KEYS))
-_UNIT_ROWS = ", ".join("('" + "', '".join(k.split("/")) + f"', '{u}')" for u, keys in sc.UNITS.items() for k in keys)
-_TOPIC_ROWS = ", ".join(f"('{p}', 'smartcity/sensors/aot_{t}')" for t, ps in sc.TOPICS.items() for p in ps)
+_UNIT_ROWS = ", ".join(map(str, sc.UNITS))
+_TOPIC_ROWS = ", ".join(map(str, sc.TOPICS))
 _SLICE = f"""keys(i, subsystem, sensor, parameter) AS (VALUES {_KEY_ROWS}), units(subsystem, sensor, parameter, unit) AS (VALUES {_UNIT_ROWS}),
   topics(parameter, topic) AS (VALUES {_TOPIC_ROWS}), slice AS (
   SELECT coalesce(topic, 'smartcity/sensors/aot_' || parameter) AS topic, 'aot_node' || user_id || '_' || sensor AS sensor_id,

@@ -74,10 +74,8 @@ def _(spark, sf):
     return pf.dataset_profile(_payload(spark, sf))
 
 
-@query("field_profile", f"""WITH {_MESSAGES}, early AS (SELECT *, row_number() OVER (PARTITION BY ingestion_id, field ORDER BY ts, text) AS rn
-    FROM fields WHERE text IS NOT NULL QUALIFY rn <= 50),
-  uniq AS (SELECT ingestion_id, field, text, min(rn) AS rn FROM early GROUP BY ALL),
-  firsts AS (SELECT * FROM uniq QUALIFY row_number() OVER (PARTITION BY ingestion_id, field ORDER BY rn) <= 5),
+@query("field_profile", f"""WITH {_MESSAGES}, uniq AS (SELECT ingestion_id, field, text, min(ts) AS ts FROM fields WHERE text IS NOT NULL GROUP BY ALL),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY ingestion_id, field ORDER BY ts, text) AS rn FROM uniq QUALIFY rn <= 5),
   samples AS (SELECT ingestion_id, field, string_agg(text, '|' ORDER BY rn) AS samples FROM firsts GROUP BY ALL)
   SELECT ingestion_id, field, type, CAST(uses AS BIGINT) AS uses, CAST(nulls AS BIGINT) AS nulls, samples FROM prof LEFT JOIN samples USING (ingestion_id, field)""")
 def _(spark, sf):

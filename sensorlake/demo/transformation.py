@@ -104,6 +104,15 @@ def _(spark, sf):
                      _convert("raw", "string").alias("as_string"))
 
 
+@query("vt_filter_text", f"WITH {v.ENRICHED} SELECT event_id FROM en WHERE sensor_id = (SELECT min(sensor_id) FROM en) OR sensor_id IS NULL")
+def _(spark, sf):
+    df = v.enriched(spark, sf)
+    first = df.agg(F.min(extract_field("sensorId", prefer_normalized=False))).first()[0]
+    return vt.apply_transformations(df, [_rule("sensorId", "filter", {"operator": "==", "value": first}),
+                                         _rule("sensorId", "filter", {"operator": "!=", "value": "nobody"})],
+                                    on_missing="keep").select("event_id")
+
+
 @query("vt_convert_datetime", """SELECT event_id,
     CASE WHEN event_id % 5 IN (0, 2) THEN date_trunc('second', ts) WHEN event_id % 5 = 1 THEN ts END AS any_shape,
     CASE WHEN event_id % 5 = 2 THEN date_trunc('second', ts) ELSE TIMESTAMP '2000-01-01' END AS by_pattern FROM events""")

@@ -85,10 +85,7 @@ def valid_reading(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def stable_avg(c: Column, scale: int = 2, digits: int = 4) -> Column:
-    """Rounded mean that does not depend on the order rows are added up: summing doubles gives a
-    different last bit per task layout, which flips half-cent ties on a retried task. A group with
-    a value too large for the decimal type falls back to the mean of doubles."""
-    exact = c.try_cast(f"decimal(18,{digits})")
-    return F.round(F.when(F.count(exact) == F.count(c), F.avg(exact).cast("double"))
-                   .otherwise(F.avg(c)), scale)
+def stable_avg(c: Column, scale: int = 2) -> Column:
+    """Rounded mean of doubles. Summing gives a different last bit per task layout; rounding to a
+    few more digits first takes that bit away, so that a tie goes the same way on a retried task."""
+    return F.round(F.round(F.avg(c), scale + 6), scale)

@@ -126,10 +126,18 @@ def to_union(df: DataFrame, id_col: str = "ingestion_id", as_of: Column | None =
                 result = F.when(F.col("ingestion_id") == source, value(groups)).otherwise(result)
         return result
 
+    def renamed_number(raw: str) -> Column | None:
+        """A renamed number is read from the text; for these types that is the number itself."""
+        if raw not in text:
+            return None
+        kind = df.schema[raw].dataType
+        same = isinstance(kind, (T.IntegralType, T.DoubleType, T.StringType))
+        return numbers.get(raw) if same else numeric_or_null(text[raw])
+
     def renamed(canonical: str) -> tuple[Column, Column]:
         raws = lambda groups: groups.get(canonical, [])
         return (per_source(lambda g: first([*map(text.get, raws(g)), text.get(canonical)], "string")),
-                per_source(lambda g: first([numbers.get(canonical), *map(numbers.get, raws(g))],
+                per_source(lambda g: first([numbers.get(canonical), *map(renamed_number, raws(g))],
                                            "double")))
 
     entries = {c: renamed(c) for c in dict.fromkeys(c for g in scopes.values() for c in g)}

@@ -22,7 +22,6 @@ STORED_TYPE = {
 PROMOTION = ("boolean", "int", "bigint", "float", "double", "string")
 
 SAMPLES = 5
-_SAMPLED_READINGS = 50
 
 
 def payload_fields(messages: DataFrame) -> DataFrame:
@@ -57,20 +56,19 @@ def dataset_profile(messages: DataFrame) -> DataFrame:
 def field_profile(messages: DataFrame) -> DataFrame:
     """Per source and field: merged type, uses, nulls, and up to five distinct sample values.
 
-    Samples come from the field's earliest readings; the window keeps only those per task before
-    anything is shuffled, so a busy source costs a few rows per task.
+    Samples are the values seen first, over all readings: equal values meet before they are ranked,
+    and the ranking keeps five per task before its shuffle.
     """
     fields = payload_fields(messages)
     types = _first_seen(fields, "ingestion_id", "field").groupBy("ingestion_id", "field").agg(
         F.sum("uses").alias("uses"),
         F.sum(F.when(F.col("type") == "null", F.col("uses")).otherwise(0)).alias("nulls"),
         merged_type(F.col("type"), F.col("first_seen")).alias("type"))
-    earliest = W.partitionBy("ingestion_id", "field").orderBy("ts", "text")
-    ranked = fields.where("text is not null").select("ingestion_id", "field", "ts", "text") \
-        .withColumn("_rank", F.row_number().over(earliest)).where(F.col("_rank") <= _SAMPLED_READINGS)
+    values = fields.where("text is not null").groupBy("ingestion_id", "field", "text").agg(F.min("ts").alias("ts"))
+    earliest = W.partitionBy("ingestion_id", "field").orderBy(F.col("ts").asc_nulls_last(), "text")
+    ranked = values.withColumn("_rank", F.row_number().over(earliest)).where(F.col("_rank") <= SAMPLES)
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "text"))), lambda s: s["text"])
-    samples = ranked.groupBy("ingestion_id", "field").agg(
-        F.slice(F.array_distinct(in_order), 1, SAMPLES).alias("samples"))
+    samples = ranked.groupBy("ingestion_id", "field").agg(in_order.alias("samples"))
     return types.join(samples, ["ingestion_id", "field"], "left")
 
 

@@ -7,12 +7,14 @@ touches only the rows of that source.
 """
 
 import json
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract_field, overlay_keys
+from ..functions.fields import NUMERIC_TEXT
 
 # Rule vocabulary.
 COMPARISONS = (">", ">=", "<", "<=", "==", "!=")
@@ -82,10 +84,21 @@ def spark_date_format(pattern: str) -> str:
 
 # ---------------------------------------------------------------- predicates
 
-def _compare(value: Column, operator: str, operand) -> Column:
-    """Comparison that is null, not an error, where a text value is not comparable."""
-    if isinstance(operand, (int, float)) and not isinstance(operand, bool):
-        value = value.try_cast("double")
+def _compare(value: Column, operator: str, operand, text: Column | None = None) -> Column:
+    """Comparison that is null, not an error, where a value is not comparable. A text operand is
+    compared with the field's text, unless both are numbers."""
+    text = value.cast("string") if text is None else text
+    if isinstance(operand, bool):
+        return _ordered(F.lower(text), operator, str(operand).lower())
+    if isinstance(operand, str):
+        as_text = _ordered(text, operator, operand)
+        if re.match(NUMERIC_TEXT, operand) is None:
+            return as_text
+        return F.coalesce(_ordered(value.try_cast("double"), operator, float(operand)), as_text)
+    return _ordered(value.try_cast("double"), operator, operand)
+
+
+def _ordered(value: Column, operator: str, operand) -> Column:
     other = F.lit(operand)
     return {">": value > other, ">=": value >= other, "<": value < other, "<=": value <= other,
             "==": value == other, "!=": value != other}[operator]
@@ -96,7 +109,7 @@ def filter_condition(value: Column, config: Mapping, text: Column | None = None)
     operator, operand = config["operator"], config["value"]
     text = value.cast("string") if text is None else text
     if operator in COMPARISONS:
-        return _compare(value, operator, operand)
+        return _compare(value, operator, operand, text)
     if operator == "contains":
         if config.get("case_sensitive", False):
             return text.contains(str(operand))
@@ -115,9 +128,9 @@ def validation_condition(value: Column, checks: Iterable[Mapping],
         kind, params = check.get("rule"), check.get("params", {})
         if kind == "range":
             if params.get("min") is not None:
-                parts.append(_compare(value, ">=", params["min"]))
+                parts.append(_compare(value, ">=", params["min"], text))
             if params.get("max") is not None:
-                parts.append(_compare(value, "<=", params["max"]))
+                parts.append(_compare(value, "<=", params["max"], text))
         elif kind == "regex" and params.get("pattern"):
             parts.append(text.rlike(params["pattern"]))
         elif kind == "enum" and params.get("values"):

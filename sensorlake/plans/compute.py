@@ -22,7 +22,6 @@ ALIASES = {
     "alerts": {"timestamp": "ts"},
 }
 MAX_LIMIT = 10000
-DEFAULT_LIMIT = 100
 
 _NAME = r"[A-Za-z_][\w.\-]*"
 _ITEM = re.compile(
@@ -133,6 +132,12 @@ class _Item:
         args = [self.size] + ([self.slide] if self.slide else [])
         return F.window(_column(self.source), *args)
 
+    def value(self) -> Column:
+        """The item of a single row."""
+        if not self.is_window:
+            return _column(self.source)
+        return self.window()[self.edge] if self.edge else self.window()
+
     def aggregate(self, order: Column | None) -> Column:
         if self.function == "count":
             return F.count("*" if self.source == "*" else _column(self.source))
@@ -189,12 +194,12 @@ def _condition(df: DataFrame, condition: Mapping, name: str) -> Column:
 
 
 def compute(definition: Mapping, df: DataFrame, dataset: str | None = None,
-            order_key: str | None = None, default_limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+            order_key: str | None = None, default_limit: int | None = None) -> DataFrame:
     """The computation as a DataFrame: where, then groupBy or select, then orderBy, then limit.
 
     Aggregates without groupBy summarise the whole set. ``order_key`` names the column by which
     'first' and 'last' of a group are decided (default: the value itself). Without a limit of its
-    own a definition returns ``default_limit`` rows, or all rows if that is None.
+    own a definition returns all rows; a caller that shows pages passes ``default_limit``.
     """
     check_definition(definition)
     limit = definition.get("limit", default_limit)
@@ -222,14 +227,15 @@ def compute(definition: Mapping, df: DataFrame, dataset: str | None = None,
             raise ValueError("select mixes columns and aggregates: add a groupBy")
         df = df.agg(*[i.aggregate(key).alias(i.name) for i in select])
     elif select:
-        if order and not all(n in made for n, _ in order):
-            # an ordering column that is not selected is still there before the projection
-            plain = {i.name: _column(i.source) for i in select}
-            sort = [_sorted(plain.get(n, _column(n)), d) for n, d in order]
-            return limited(df.orderBy(*sort)).select(*[c.alias(n) for n, c in plain.items()])
-        df = df.select(*[(i.window()[i.edge] if i.is_window and i.edge else
-                          i.window() if i.is_window else _column(i.source)).alias(i.name)
-                         for i in select])
+        # by position: two items may share a name, and ordering columns need not be selected
+        place = {i.name: f"_item{p}" for p, i in reversed(list(enumerate(select)))}
+        shown = [i.value().alias(f"_item{p}") for p, i in enumerate(select)]
+        unseen = [n for n in dict.fromkeys(n for n, _ in order) if n not in place]
+        place |= {n: f"_sort{p}" for p, n in enumerate(unseen)}
+        df = df.select(*shown, *[_column(n).alias(place[n]) for n in unseen])
+        if order:
+            df = df.orderBy(*[_sorted(F.col(place[n]), d) for n, d in order])
+        return limited(df).select(*[F.col(f"_item{p}").alias(i.name) for p, i in enumerate(select)])
     if order:
         df = df.orderBy(*[_sorted(_column(n), d) for n, d in order])
     return limited(df)

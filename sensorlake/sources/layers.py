@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import parse_timestamp
+from ..functions import normalize_event_time, parse_timestamp
 from ..operators.quality import readings_long
 from ..plans.compute import check_dataset
 from ..schema import LAYERS, check_stream_schema, empty_frame
@@ -124,7 +124,8 @@ def write_silver(df: DataFrame, path: str, batch_id: int) -> None:
 
 # ---------------------------------------------------------------- retention
 
-def _expired(df: DataFrame, layer: str, as_of: Column, time: str, devices: DataFrame | None) -> DataFrame:
+def _oldest(df: DataFrame, layer: str, as_of: Column, devices: DataFrame | None) -> tuple[DataFrame, Column]:
+    """The rows with their device's days, and the first day to keep."""
     days = F.lit(RETENTION_DAYS[layer])
     if devices is not None:
         own = devices.where("ingestion_id is not null").groupBy(F.lower(F.trim("ingestion_id")).alias("_device")) \
@@ -133,18 +134,28 @@ def _expired(df: DataFrame, layer: str, as_of: Column, time: str, devices: DataF
         days = F.coalesce("_days", days)
     else:
         df = df.withColumn("_days", F.lit(None).cast("int"))
-    oldest = F.date_sub(F.to_date(as_of), days)
-    return df.withColumn("_expired", F.to_date(time) < oldest).drop("_days")
+    return df, F.date_sub(F.to_date(as_of), days)
+
+
+def _day(df: DataFrame, time: str) -> Column:
+    """The day of a time; of text or epoch seconds that are no time, null."""
+    if isinstance(df.schema[time].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.to_date(time)
+    return F.to_date(normalize_event_time(F.col(time), F.lit(None)))
 
 
 def apply_retention(df: DataFrame, layer: str, as_of: Column, time: str = "timestamp",
                     devices: DataFrame | None = None) -> DataFrame:
-    """Rows still to be kept: the layer's days, or the device's own (``retention_days``)."""
-    return _expired(df, layer, as_of, time, devices).where("not coalesce(_expired, false)").drop("_expired")
+    """Rows still to be kept: the layer's days, or the device's own (``retention_days``). Rows whose
+    time does not parse stay. Name the ``date`` partition as ``time`` to prune directories."""
+    rows, oldest = _oldest(df, layer, as_of, devices)
+    day = _day(df, time)
+    return rows.where(day.isNull() | oldest.isNull() | (day >= oldest)).drop("_days")
 
 
 def expired_partitions(df: DataFrame, layer: str, as_of: Column, time: str = "date",
                        devices: DataFrame | None = None) -> DataFrame:
     """(source, date) directories that hold only expired rows, for the storage to drop."""
-    return _expired(df, layer, as_of, time, devices).where("_expired") \
-        .select("ingestion_id", F.to_date(time).alias("date")).distinct()
+    rows, oldest = _oldest(df, layer, as_of, devices)
+    day = _day(df, time)
+    return rows.where(day < oldest).select("ingestion_id", day.alias("date")).distinct()

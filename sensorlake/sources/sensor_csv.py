@@ -7,43 +7,85 @@ CSV_SCHEMA = ("timestamp string, node_id string, subsystem string, sensor string
               "value_raw string, value_hrf string")
 
 # Sensing subsystems (the rest is system telemetry), topic per parameter, and unit
-# per (subsystem, sensor, parameter).
+# per subsystem, sensor and parameter.
 SUBSYSTEMS = ("metsense", "chemsense", "lightsense", "alphasense", "plantower", "audio")
 TOPIC_PREFIX = "smartcity/sensors/aot_"
-TOPICS = {
-    "temperature": ("temperature",),
-    "humidity": ("humidity",),
-    "pressure": ("pressure",),
-    "air_quality": ("concentration",),
-    "light": ("intensity", "ir_intensity", "uv_intensity", "visible_light_intensity"),
-    "magnetic": ("magnetic_field_x", "magnetic_field_y", "magnetic_field_z"),
-    "particulates": ("pm1", "pm2_5", "pm10", "pm1_atm", "pm25_atm", "pm10_atm", "bins"),
-    "vibration": ("acceleration_x", "acceleration_y", "acceleration_z"),
-}
-UNITS = {
-    "C": ("metsense/bmp180/temperature", "metsense/htu21d/temperature", "metsense/pr103j2/temperature",
-          "metsense/tmp112/temperature", "metsense/tsys01/temperature", "chemsense/lps25h/temperature",
-          "chemsense/sht25/temperature", "chemsense/at0/temperature", "chemsense/at1/temperature",
-          "chemsense/at2/temperature", "chemsense/at3/temperature", "lightsense/hih6130/temperature",
-          "lightsense/tmp421/temperature"),
-    "hPa": ("metsense/bmp180/pressure", "chemsense/lps25h/pressure"),
-    "RH": ("metsense/hih4030/humidity", "metsense/htu21d/humidity", "chemsense/sht25/humidity",
-           "lightsense/hih6130/humidity"),
-    "dB": ("metsense/spv1840lr5h_b/intensity",),
-    "uW/cm^2": ("metsense/tsl250rd/intensity", "chemsense/si1145/ir_intensity", "chemsense/si1145/uv_intensity",
-                "chemsense/si1145/visible_light_intensity", "lightsense/mlx75305/intensity",
-                "lightsense/tsl250rd/intensity", "lightsense/tsl260rd/intensity", "lightsense/ml8511/intensity"),
-    "lux": ("lightsense/apds_9006_020/intensity",),
-    "mg": ("metsense/mma8452q/acceleration_x", "metsense/mma8452q/acceleration_y", "metsense/mma8452q/acceleration_z"),
-    "mG": ("lightsense/hmc5883l/magnetic_field_x", "lightsense/hmc5883l/magnetic_field_y",
-           "lightsense/hmc5883l/magnetic_field_z"),
-    "ppm": ("chemsense/co/concentration", "chemsense/h2s/concentration", "chemsense/no2/concentration",
-            "chemsense/o3/concentration", "chemsense/so2/concentration", "chemsense/oxidizing_gases/concentration",
-            "chemsense/reducing_gases/concentration"),
-    "ug/m^3": ("alphasense/opc_n2/pm1", "alphasense/opc_n2/pm2_5", "alphasense/opc_n2/pm10",
-               "plantower/pms7003/pm1_atm", "plantower/pms7003/pm25_atm", "plantower/pms7003/pm10_atm"),
-    "counts": ("alphasense/opc_n2/bins",),
-}
+# (parameter, topic)
+TOPICS = (
+    ("temperature", "smartcity/sensors/aot_temperature"),
+    ("humidity", "smartcity/sensors/aot_humidity"),
+    ("pressure", "smartcity/sensors/aot_pressure"),
+    ("concentration", "smartcity/sensors/aot_air_quality"),
+    ("intensity", "smartcity/sensors/aot_light"),
+    ("ir_intensity", "smartcity/sensors/aot_light"),
+    ("uv_intensity", "smartcity/sensors/aot_light"),
+    ("visible_light_intensity", "smartcity/sensors/aot_light"),
+    ("magnetic_field_x", "smartcity/sensors/aot_magnetic"),
+    ("magnetic_field_y", "smartcity/sensors/aot_magnetic"),
+    ("magnetic_field_z", "smartcity/sensors/aot_magnetic"),
+    ("pm1", "smartcity/sensors/aot_particulates"),
+    ("pm2_5", "smartcity/sensors/aot_particulates"),
+    ("pm10", "smartcity/sensors/aot_particulates"),
+    ("pm1_atm", "smartcity/sensors/aot_particulates"),
+    ("pm25_atm", "smartcity/sensors/aot_particulates"),
+    ("pm10_atm", "smartcity/sensors/aot_particulates"),
+    ("bins", "smartcity/sensors/aot_particulates"),
+    ("acceleration_x", "smartcity/sensors/aot_vibration"),
+    ("acceleration_y", "smartcity/sensors/aot_vibration"),
+    ("acceleration_z", "smartcity/sensors/aot_vibration"),
+)
+# (subsystem, sensor, parameter, unit)
+UNITS = (
+    ("metsense", "bmp180", "pressure", "hPa"),
+    ("metsense", "bmp180", "temperature", "C"),
+    ("metsense", "hih4030", "humidity", "RH"),
+    ("metsense", "htu21d", "humidity", "RH"),
+    ("metsense", "htu21d", "temperature", "C"),
+    ("metsense", "mma8452q", "acceleration_x", "mg"),
+    ("metsense", "mma8452q", "acceleration_y", "mg"),
+    ("metsense", "mma8452q", "acceleration_z", "mg"),
+    ("metsense", "pr103j2", "temperature", "C"),
+    ("metsense", "spv1840lr5h_b", "intensity", "dB"),
+    ("metsense", "tmp112", "temperature", "C"),
+    ("metsense", "tsl250rd", "intensity", "uW/cm^2"),
+    ("metsense", "tsys01", "temperature", "C"),
+    ("chemsense", "at0", "temperature", "C"),
+    ("chemsense", "at1", "temperature", "C"),
+    ("chemsense", "at2", "temperature", "C"),
+    ("chemsense", "at3", "temperature", "C"),
+    ("chemsense", "co", "concentration", "ppm"),
+    ("chemsense", "h2s", "concentration", "ppm"),
+    ("chemsense", "lps25h", "pressure", "hPa"),
+    ("chemsense", "lps25h", "temperature", "C"),
+    ("chemsense", "no2", "concentration", "ppm"),
+    ("chemsense", "o3", "concentration", "ppm"),
+    ("chemsense", "oxidizing_gases", "concentration", "ppm"),
+    ("chemsense", "reducing_gases", "concentration", "ppm"),
+    ("chemsense", "sht25", "humidity", "RH"),
+    ("chemsense", "sht25", "temperature", "C"),
+    ("chemsense", "si1145", "ir_intensity", "uW/cm^2"),
+    ("chemsense", "si1145", "uv_intensity", "uW/cm^2"),
+    ("chemsense", "si1145", "visible_light_intensity", "uW/cm^2"),
+    ("chemsense", "so2", "concentration", "ppm"),
+    ("lightsense", "apds_9006_020", "intensity", "lux"),
+    ("lightsense", "hih6130", "humidity", "RH"),
+    ("lightsense", "hih6130", "temperature", "C"),
+    ("lightsense", "hmc5883l", "magnetic_field_x", "mG"),
+    ("lightsense", "hmc5883l", "magnetic_field_y", "mG"),
+    ("lightsense", "hmc5883l", "magnetic_field_z", "mG"),
+    ("lightsense", "ml8511", "intensity", "uW/cm^2"),
+    ("lightsense", "mlx75305", "intensity", "uW/cm^2"),
+    ("lightsense", "tmp421", "temperature", "C"),
+    ("lightsense", "tsl250rd", "intensity", "uW/cm^2"),
+    ("lightsense", "tsl260rd", "intensity", "uW/cm^2"),
+    ("alphasense", "opc_n2", "bins", "counts"),
+    ("alphasense", "opc_n2", "pm1", "ug/m^3"),
+    ("alphasense", "opc_n2", "pm10", "ug/m^3"),
+    ("alphasense", "opc_n2", "pm2_5", "ug/m^3"),
+    ("plantower", "pms7003", "pm10_atm", "ug/m^3"),
+    ("plantower", "pms7003", "pm1_atm", "ug/m^3"),
+    ("plantower", "pms7003", "pm25_atm", "ug/m^3"),
+)
 
 
 def read_sensor_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -57,10 +99,9 @@ def sensor_slice(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     The value is the human-readable one, else the raw one. ``max_rows`` takes the earliest rows.
     """
     spark = rows.sparkSession
-    units = spark.createDataFrame([(*key.split("/"), unit) for unit, keys in UNITS.items() for key in keys],
-                                  "subsystem string, sensor string, parameter string, unit string")
-    topics = spark.createDataFrame([(p, TOPIC_PREFIX + name) for name, ps in TOPICS.items() for p in ps],
-                                   "parameter string, topic string")
+    # broadcast: constants of a few dozen rows
+    units = F.broadcast(spark.createDataFrame(UNITS, "subsystem string, sensor string, parameter string, unit string"))
+    topics = F.broadcast(spark.createDataFrame(TOPICS, "parameter string, topic string"))
     kept = rows.where(F.col("subsystem").isin(*SUBSYSTEMS) & (F.col("parameter") != "id"))
     if max_rows is not None:
         kept = kept.orderBy("timestamp", "node_id", "sensor", "parameter").limit(max_rows)

@@ -70,6 +70,9 @@ def test_mean_of_huge_values(spark):
     df = spark.createDataFrame([(1, 1e20), (1, 3e20), (2, 0.125), (2, 0.125)], "k int, v double")
     got = {r.k: r.m for r in df.groupBy("k").agg(stable_avg(F.col("v")).alias("m")).collect()}
     assert got == {1: 2e20, 2: 0.13}
+    df = spark.createDataFrame([(1, 1.00005), (1, 1.00004), (2, 4.9e-5), (2, 4.9e-5), (2, 4.9e-5)], "k int, v double")
+    got = {r.k: (r.a, r.b) for r in df.groupBy("k").agg(stable_avg(F.col("v"), 4).alias("a"), stable_avg(F.col("v"), 6).alias("b")).collect()}
+    assert got == {1: (1.0, 1.000045), 2: (0.0, 0.000049)}
 
 
 def test_sensor_id_and_validity(spark):
