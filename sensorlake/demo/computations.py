@@ -112,7 +112,7 @@ def _(spark, sf):
     return df.withColumn("place", F.row_number().over(W.orderBy("ingestion_id", F.desc("event_id"))).cast("long"))
 
 
-@query("dsl_window_unselected_order", f"""WITH {v.ENRICHED} SELECT ingestion_id, time_bucket(INTERVAL '1 minute', ingest_ts, TIMESTAMP '1970-01-01') AS minute
+@query("dsl_window_unselected_order", f"""WITH {v.ENRICHED} SELECT ingestion_id, time_bucket(INTERVAL '1 minute', ts, TIMESTAMP '1970-01-01') AS minute
   FROM en ORDER BY event_id LIMIT 200""")
 def _(spark, sf):
     return v.ntz(compute({"select": ["ingestion_id", "window(ingest_ts, '1 minute').start as minute"], "limit": 200,
