@@ -2,9 +2,11 @@
 
 Texts with the same shingle set are one node. A partner of a set of n shingles shares at least T = ceil(s n) of them, so
 the T - 1 longest inverted lists need no merging: a partner must be on one of the others. Which lists are long is read
-from a fixed-size table of counts over all documents; only the short lists are built. Within a list one member is the
-pivot, and the others are first compared with it; components of the links so far then leave only pairs between
-components to compare. Comparing is DivideSkip again: a task holds the inverted lists of a block of members over the
+from a fixed-size table of counts over all documents; only the short lists are built. The smaller set of a pair shares
+at least 2s / (1 + s) of its own size, so a list must be one of even fewer of its lists: the sets it leads. A list that
+no set leads is dropped. Within a list one member is the pivot, and the others are first compared with it; components
+of the links so far then leave only pairs between components to compare, each leader with larger members, large lists
+in blocks. Comparing is DivideSkip again: a task holds the inverted lists of a block of members over the
 pivot's shingles, merges the short ones, and probes the long ones by binary search for members that are still within
 reach of the overlap. The result is exact; pivots only decide the order of work.
 """
@@ -25,6 +27,10 @@ from .common import BLANK, NULL_ID, Words, byte_codes, chunks, flat, id_key, mix
 COUNTERS = 1 << 22
 #: members of a pivot that are compared in one block
 BLOCK = 1000
+#: rows of lists with the same first node, and leaders among them, that one task compares
+LIST_BLOCK = 4000
+#: nodes that a task remembers so as not to list copies of a text again
+REMEMBERED = 1 << 20
 _PIECE = 1 << 18
 
 
@@ -59,9 +65,9 @@ def _sets(texts: pa.Array, k: int, codes: np.ndarray) -> Iterator[tuple[np.ndarr
 
 
 def _signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit sum over each set: equal sets, equal sums."""
+    """A 63-bit sum over each set, times 2: equal sets, equal sums. The last bit is free for a flag."""
     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)])
-    return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
+    return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64) & -2
 
 
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -146,33 +152,45 @@ def features(docs: DataFrame, k: int) -> DataFrame:
     return materialize(made.select("doc_key", "f.*"), "shingle-features")
 
 
+def prefixes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lists of a set of n shingles on which all partners are found, lists on which larger or equal partners are)."""
+    return (np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0),
+            np.where(n > 0, n + (-2 * percent * n) // (100 + percent) + 1, 0))
+
+
 def short_lists(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(shingle, node) of the lists that are not among the T - 1 longest of the node's set."""
+    """(shingle, node) of the lists that are not among the T - 1 longest of the node's set; the last bit of node tells
+    whether the node leads the list."""
     counts = shingle_counts(docs, k)
     level = (4 * np.log2(1 + counts / max(0.25, counts.mean()))).astype(np.uint8)
     sent, codes = docs.sparkSession.sparkContext.broadcast(level), byte_codes()
 
-    @F.arrow_udf("struct<node:long,short:array<long>>")
-    def choose(texts: pa.Array) -> pa.Array:
-        level = sent.value
-        nodes, short, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for values, first in _sets(texts, k, codes):
-            n = np.diff(first)
-            owner = np.repeat(np.arange(len(n)), n)
-            rank = (level[(values & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (values >> np.uint64(7))
-            order = np.lexsort((rank, owner))
-            kept = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-            keep = np.arange(len(values)) - first[:-1][owner] < kept[owner]
-            nodes.append(_signatures(values, first))
-            short.append(values[order][keep].view(np.int64))
-            lengths.append(kept)
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
-        return pa.StructArray.from_arrays(
-            [pa.array(np.concatenate(nodes)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(short)))],
-            ["node", "short"])
+    def choose(batches):
+        level, seen = sent.value, set()
+        for batch in batches:
+            for values, first in _sets(batch.column(0), k, codes):
+                n, node = np.diff(first), _signatures(values, first)
+                fresh = np.zeros(len(n), bool)
+                for i, x in enumerate(node.tolist()):
+                    if x not in seen:
+                        fresh[i] = True
+                        seen.add(x)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                owner = np.repeat(np.arange(len(n)), n)
+                some = fresh[owner]
+                values, owner = values[some], owner[some]
+                rank = (level[(values & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (values >> np.uint64(7))
+                order = np.lexsort((rank, owner))
+                n = np.where(fresh, n, 0)
+                place = np.arange(len(values)) - (np.cumsum(n) - n)[owner]
+                listed, led = prefixes(n, percent)
+                keep = place < listed[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values[order][keep].view(np.int64)),
+                     pa.array(node[owner[keep]] | (place < led[owner])[keep])], ["shingle", "node"])
 
-    return (docs.select(choose("text").alias("s")).select("s.node", F.explode("s.short").alias("shingle"))
-            .select("shingle", "node"))
+    return docs.select("text").mapInArrow(choose, "shingle long, node long")
 
 
 def _groups(batches, keys: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -200,7 +218,7 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def inverted_lists(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(list, node) of the short lists with two or more nodes; lists of the same nodes are kept once."""
+    """(list, node, lead) of the short lists with two or more nodes that a node leads; equal lists are kept once."""
     def kept(batches):
         for shingle, node in _groups(batches, 1):
             new = np.ones(len(node), bool)
@@ -208,7 +226,8 @@ def inverted_lists(docs: DataFrame, k: int, percent: int) -> DataFrame:
             shingle, node = shingle[new], node[new]  # copies of a text are one node
             runs = _runs(shingle)
             sizes = np.diff(runs)
-            several = np.repeat(sizes > 1, sizes)
+            led = np.maximum.reduceat(node & 1, runs[:-1]) > 0
+            several = np.repeat((sizes > 1) & led, sizes)
             if several.any():
                 alike = np.add.reduceat(mix(node.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), runs[:-1]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -219,7 +238,9 @@ def inverted_lists(docs: DataFrame, k: int, percent: int) -> DataFrame:
              .mapInArrow(kept, "list long, shingle long, node long"))
     lists = materialize(lists, "shingle-lists")
     first = lists.groupBy("list").agg(F.min("shingle").alias("shingle"))
-    return materialize(lists.join(first, ["list", "shingle"]).select("list", "node"), "distinct-lists")
+    kept_once = lists.join(first, ["list", "shingle"])
+    return materialize(kept_once.select("list", F.col("node").bitwiseAND(F.lit(-2)).alias("node"),
+                                        (F.col("node").bitwiseAND(F.lit(1)) == 1).alias("lead")), "distinct-lists")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -350,49 +371,74 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists that still hold nodes of several components, with the nodes' labels."""
-    rows = lists.join(labels, "node", "left").select("list", "node", F.coalesce("label", "node").alias("label"))
+    """The lists that still hold nodes of several components, with the nodes' labels. A node that neither leads the list
+    nor has another label than its leaders has nothing to find there."""
+    rows = lists.join(labels, "node", "left").select("list", "node", "lead", F.coalesce("label", "node").alias("label"))
     rows = materialize(rows, "labelled-lists")
-    open_ = rows.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("list")
-    return materialize(rows.join(open_, "list"), "open-lists")
+    leader = F.when(F.col("lead"), F.col("label"))
+    open_ = (rows.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(leader).alias("lead_x"),
+                                      F.max(leader).alias("lead_y"))
+             .where("x <> y").select("list", "lead_x", "lead_y"))
+    return materialize(rows.join(open_, "list").where("lead or lead_x <> lead_y or label <> lead_x")
+                       .select("list", "node", "lead", "label"), "open-lists")
 
 
 def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a list whose labels differ and whose sizes and parity bits allow a link."""
+    """(a, b): pairs of a leader and a larger or equal node of its list whose labels differ and whose sizes and parity
+    bits allow a link.
+
+    Lists of one passage mostly begin with the same node and stay together, so that a pair is told once. Where they are
+    large, leaders and nodes are dealt into blocks, and each task compares a block of the ones with a block of the others.
+    """
     def pairs(batches):
-        for pivot, list_, node, label, n, parity in _groups(batches, 1):
-            told, of = set(), None  # pairs given already from another list with this first node
+        for pivot, l_block, block, list_, lead, n, node, label, parity in _groups(batches, 3):
+            told, of = set(), None  # pairs given already from another list of the block
             width = np.array([len(p) for p in parity])
             words = {w: np.frombuffer(b"".join(p for p in parity if len(p) == w), np.uint64).reshape(-1, w // 8)
                      for w in np.unique(width)}
-            place = np.zeros(len(node), np.int64)
+            row = np.zeros(len(node), np.int64)
             for w in words:
-                place[width == w] = np.arange((width == w).sum())
-            runs = _runs(list_)
+                row[width == w] = np.arange((width == w).sum())
+            new = np.ones(len(node), bool)
+            new[1:] = ((list_[1:] != list_[:-1]) | (block[1:] != block[:-1]) | (l_block[1:] != l_block[:-1])
+                       | (pivot[1:] != pivot[:-1]))
+            runs = np.append(np.flatnonzero(new), len(node))
             for start, end in zip(runs[:-1], runs[1:], strict=True):
-                if pivot[start] != of:
-                    told, of = set(), pivot[start]
-                for i in range(start, end - 1):  # by size: partners of i follow it closely
-                    last = np.searchsorted(n[i:end], n[i] * 100 // percent, side="right") + i
-                    other = np.flatnonzero(label[i + 1:last] != label[i]) + i + 1
+                if (here := (pivot[start], l_block[start], block[start])) != of:
+                    told, of = set(), here
+                leaders = start + int(np.searchsorted(lead[start:end], True))  # after the others
+                for i in range(leaders, end):
+                    low, high = np.searchsorted(n[start:leaders], [n[i], n[i] * 100 // percent + 1]) + start
+                    other = np.flatnonzero(label[low:high] != label[i]) + low
                     same = other[width[other] == width[i]]
                     table = words[width[i]]
-                    odd = np.bitwise_count(table[place[same]] ^ table[place[i]]).sum(axis=1, dtype=np.int64)
+                    odd = np.bitwise_count(table[row[same]] ^ table[row[i]]).sum(axis=1, dtype=np.int64)
                     near = same[odd * (100 + percent) <= (n[i] + n[same]) * (100 - percent)].tolist()
                     near += [j for j in other[width[other] != width[i]].tolist()
                              if may_link(int(n[i]), parity[i], int(n[j]), parity[j], percent)]
-                    pairs_here = [(min(node[i], node[j]), max(node[i], node[j]), j) for j in near]
-                    near = [j for a, b, j in pairs_here if (a, b) not in told]
-                    told.update((a, b) for a, b, _ in pairs_here)
-                    if near:
-                        low, high = np.minimum(node[i], node[near]), np.maximum(node[i], node[near])
-                        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
-
-    # lists of one passage mostly begin with the same node: side by side they tell a pair once
+                    found = {(min(node[i], node[j]), max(node[i], node[j])) for j in near} - told
+                    told |= found
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array([p[at] for p in found], pa.int64()) for at in (0, 1)],
+                                                         ["a", "b"])
+
     begin = lists.groupBy("list").agg(F.min("node").alias("pivot"))
-    rows = (lists.join(begin, "list").join(sets.select("node", "n", "parity"), "node")
-            .select("pivot", "list", "node", "label", "n", "parity"))
-    return (rows.repartition("pivot").sortWithinPartitions("pivot", "list", "n", "node")
+    rows = materialize(lists.join(begin, "list").join(sets.select("node", "n", "parity"), "node"), "members")
+    blocks = rows.groupBy("pivot").agg(
+        F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.greatest(F.lit(1), F.count_if("lead")) / LIST_BLOCK).cast("int").alias("l_blocks"))
+    block, l_block = F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.pmod(F.xxhash64("node"), "l_blocks").cast("int")
+
+    def task(l_at, at, lead):
+        return F.struct(l_at.alias("l_block"), at.alias("block"), F.lit(lead).alias("lead"))
+    as_node = F.transform(F.sequence(F.lit(0), F.col("l_blocks") - 1), lambda x: task(x, block, False))
+    as_leader = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: task(l_block, x, True))
+    dealt = rows.join(blocks, "pivot").select(
+        "pivot", "list", "n", "node", "label", "parity",
+        F.explode(F.when(F.col("lead"), F.concat(as_node, as_leader)).otherwise(as_node)).alias("t"))
+    return (dealt.select("pivot", "t.l_block", "t.block", "list", "t.lead", "n", "node", "label", "parity")
+            .repartition("pivot", "l_block", "block")
+            .sortWithinPartitions("pivot", "l_block", "block", "list", "lead", "n", "node")
             .mapInArrow(pairs, "a long, b long").distinct())
 
 

@@ -84,6 +84,33 @@ def test_suffix_dedup(docs, rows, none, group):
     assert suffix_dedup.drop_repeated_spans(none).count() == 0
 
 
+def test_prefixes():
+    for percent in (50, 75, 90):
+        for n in range(1, 200):
+            listed, led = (int(x[0]) for x in jaccard_join.prefixes(np.array([n]), percent))
+            assert listed == n - min(t for t in range(n + 1) if 100 * t >= percent * n) + 1
+            assert led == n - min(t for t in range(n + 1) if t * (100 + percent) >= 2 * percent * n) + 1
+    assert [int(x[0]) for x in jaccard_join.prefixes(np.array([0]), 75)] == [0, 0]
+
+
+def test_lists_in_blocks(spark, monkeypatch):
+    """No pivots: every link comes from leaders and members of lists dealt into blocks of few rows."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join(passage + [f"w{rng.randint(0, 10 ** 6)}" for _ in range(rng.randint(0, 14))]) for _ in range(60)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert 1 < len(set(label)) < len(texts)
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 7)
+    made = jaccard_join.similar_components(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), turns=0)
+    assert sorted(tuple(r) for r in made.collect()) == [(i, len(sets[i]), label[i]) for i in range(len(texts))]
+
+
 def test_jaccard_join(docs, rows, none):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").encode().lower().decode())
