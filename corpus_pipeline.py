@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorlake.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
-from sensorlake.llm.common import hash_mod, id_key, small_batches
+from sensorlake.llm.common import hash_mod, small_batches
 from sensorlake.storage import materialize
 
 #: the tokens of the last stage are in no SQL; tests compare the stages with brute force
@@ -33,12 +33,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest doc_id; of rows that repeat an id, one."""
+    """Keeps of each group of near duplicates one row, of the smallest doc_id; rows that only share an id all stay."""
     small_batches(spark)
-    found = jaccard_join.similar_components(docs)
-    first = materialize(found.where(F.col("doc_key") == F.col("component")).select("doc_key").distinct(), "first-of-group")
-    kept = docs.withColumn("_key", id_key()).join(first.select(F.col("doc_key").alias("_key")), "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    return jaccard_join.first_of_groups(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -133,8 +133,9 @@ def may_link(n_a: int, a: bytes, n_b: int, b: bytes, percent: int) -> bool:
     return differ * (100 + percent) <= (n_a + n_b) * (100 - percent)
 
 
-def features(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_key, n, node, parity): size of the set, its signature (equal sets, equal nodes) and its parity bits."""
+def features(docs: DataFrame, k: int, *more: Column) -> DataFrame:
+    """(doc_key, n, node, parity): size of the set, its signature (equal sets, equal nodes) and its parity bits; before
+    them the columns of `more`."""
     codes = byte_codes()
 
     @F.arrow_udf("struct<n:long,node:long,parity:binary>")
@@ -148,8 +149,8 @@ def features(docs: DataFrame, k: int) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(nodes)),
                                            pa.array(parity, pa.binary())], ["n", "node", "parity"])
 
-    made = docs.select(id_key().alias("doc_key"), describe("text").alias("f"))
-    return materialize(made.select("doc_key", "f.*"), "shingle-features")
+    made = docs.select(*more, id_key().alias("doc_key"), describe("text").alias("f"))
+    return materialize(made.select(*made.columns[:-1], "f.*"), "shingle-features")
 
 
 def prefixes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -456,17 +457,8 @@ def _stars(lists: DataFrame, turn: int) -> DataFrame:
             .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
 
 
-def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, turns: int = 2) -> DataFrame:
-    """(doc_key, n_shingles, component): a row per document; component is the smallest doc_key reachable by links.
-
-    Two documents link when 100 * |intersection| >= percent * |union| of their distinct k-word shingles; fewer words are one
-    shingle. A null or empty text, or one of blanks only, has 0 shingles and is its own component. Rows are documents
-    each, also those that repeat a doc_id; a null doc_id counts as the id NULL_ID, smaller than all others. Equal texts
-    and equal sets link. Other columns are not read; an empty table gives an empty table. Shingles and sets are told
-    apart by 64-bit hashes.
-    """
-    docs = docs.select("doc_id", "text")
-    own = features(docs, k)
+def _grouped(docs: DataFrame, own: DataFrame, k: int, percent: int, turns: int) -> DataFrame:
+    """(node, low, label): of each set of shingles, the smallest doc_key with it and the smallest node reachable by links."""
     sets = own.where("n > 0").groupBy("node").agg(F.min("doc_key").alias("low"), F.first("n").alias("n"),
                                                   F.first("parity").alias("parity"))
     sets = materialize(sets, "sets")
@@ -484,13 +476,51 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, turns: in
         new = materialize(verify(tried, sets, docs, k, percent), "verified")
         links = new if links is None else materialize(links.unionByName(new), "all-links")
         labels = components(links)
-    whole = sets.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
+    return sets.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
+
+
+def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, turns: int = 2) -> DataFrame:
+    """(doc_key, n_shingles, component): a row per document; component is the smallest doc_key reachable by links.
+
+    Two documents link when 100 * |intersection| >= percent * |union| of their distinct k-word shingles; fewer words are one
+    shingle. A null or empty text, or one of blanks only, has 0 shingles and is its own component. Rows are documents
+    each, also those that repeat a doc_id; a null doc_id counts as the id NULL_ID, smaller than all others. Equal texts
+    and equal sets link. Other columns are not read; an empty table gives an empty table. Shingles and sets are told
+    apart by 64-bit hashes.
+    """
+    docs = docs.select("doc_id", "text")
+    own = features(docs, k)
+    whole = _grouped(docs, own, k, percent, turns)
     lowest = whole.groupBy("label").agg(F.min("low").alias("component"))
     found = materialize(whole.join(lowest, "label").select("node", "component"), "components")
     return own.join(found, "node", "left").select(
         "doc_key", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_key").alias("component"))
 
 
+def first_of_groups(docs: DataFrame, k: int = 5, percent: int = 75, turns: int = 2) -> DataFrame:
+    """One row of docs for each group of `similar_components`, whole and with all columns; documents of 0 shingles all stay.
+
+    Groups are told apart by their sets, not by ids: rows that share a doc_id, also a null one, belong together only if
+    links lead from one to the other. The row is the one with the smallest doc_id (null first), then the smallest hash of
+    the text, then of the other columns; texts of one id are told apart by 64-bit hashes.
+    """
+    own = features(docs.select("doc_id", "text"), k, F.xxhash64("text").alias("text_hash"))
+    whole = _grouped(docs.select("doc_id", "text"), own, k, percent, turns)
+    of_set = own.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_key", "text_hash")).alias("first"))
+    of_group = whole.join(of_set, "node").groupBy("label").agg(F.min("first").alias("first"))
+    firsts = materialize(of_group.select("first.*"), "first-of-groups")
+
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = docs.where(worded).select(
+        id_key().alias("doc_key"), F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row"),
+        (F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)).alias("order"))
+    # copies under one id meet in each task before the shuffle
+    once = keyed.groupBy("doc_key", "text_hash").agg(F.min_by("row", "order").alias("row"))
+    kept = once.join(firsts, ["doc_key", "text_hash"], "left_semi").select("row.*")
+    return kept.unionByName(docs.where(~worded))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of `similar_components`, with null ids as null."""
     made = similar_components(docs, k, percent)
