@@ -17,11 +17,11 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null, empty or without a letter."""
+    """Drops documents in no language: null, empty or without a letter, whether or not there is a lang to learn from."""
     small_batches(spark)
     model = language_id.train(docs, hash_mod("doc_id", 3) != 1)
     return (language_id.identify(docs, model, into="_language")
-            .where(F.col("_language.lang_pred") != language_id.UNKNOWN).select(*docs.columns))
+            .where(F.col("_language.letter")).select(*docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

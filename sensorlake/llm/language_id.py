@@ -8,8 +8,6 @@ regression. Training takes a bounded sample; scoring is one matrix product per b
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,10 +21,14 @@ LANDMARKS = 192
 SAMPLE = 3000
 RIDGE = 1e-3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _EDGE = b"\x00\x00\x00"
 
 
+def has_letter(name: str = "text") -> Column:
+    """Whether the text holds a letter, a character of a category L*; never null."""
+    return F.coalesce(F.col(name), F.lit("")).rlike(r"\p{L}")
+
+
 def _slices(texts: pa.Array):
     """Lower-cased texts in slices of bounded size."""
     held, size = [], 0
@@ -82,7 +84,7 @@ def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: flo
 def train(docs: DataFrame, labelled: Column, sample: int = SAMPLE) -> dict | None:
     """Fits on about `sample` rows, no more, where `labelled` holds and lang and text are given, even over languages; rows
     are chosen by the hash of their ids. Only presence bits reach the driver, DIMENSION / 8 bytes a row."""
-    rows = docs.where(labelled & F.col("lang").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
+    rows = docs.where(labelled & F.col("lang").isNotNull() & has_letter())
     counts = rows.groupBy("lang").agg(F.count("*").alias("_of"))
     names = counts.count()
     if not names:
@@ -108,19 +110,17 @@ def train(docs: DataFrame, labelled: Column, sample: int = SAMPLE) -> dict | Non
 
 
 def identify(docs: DataFrame, model: dict | None, into: str = "language") -> DataFrame:
-    """The documents with one more column, struct(lang_pred string, score double), from the text alone.
+    """The documents with one more column, struct(lang_pred string, score double, letter boolean), from the text alone.
 
     A text that is null, empty or without a letter is `und` with score 0, and so is every text if there was nothing to
-    learn from. Texts are read whole. Equal margins go to the language that sorts first. Other columns stay (one
+    learn from; `letter` tells the two apart, false only where the text holds none. Texts are read whole. Equal margins go to the language that sorts first. Other columns stay (one
     named as `into` is replaced); an empty table gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def predict(texts: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<lang_pred:string,score:double,letter:boolean>")
+    def predict(texts: pa.Array, letter: pa.Array) -> pa.Array:
         model = sent.value
-        letter = [bool(t and _LETTER.search(t)) for at in range(0, len(texts), 256)
-                  for t in texts.slice(at, 256).to_pylist()]
         if model is None:
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             names = [UNKNOWN]
@@ -130,9 +130,9 @@ def identify(docs: DataFrame, model: dict | None, into: str = "language") -> Dat
             margins = np.concatenate(margins) if margins else np.zeros((0, len(model["classes"])))
             names, best = model["classes"], margins.argmax(axis=1)
             score = np.clip((margins.max(axis=1, initial=-1.0) + 1) / 2, 0, 1)
-        known = np.array(letter, bool) & (model is not None)
+        known = letter.to_numpy(zero_copy_only=False).astype(bool) & (model is not None)
         return pa.StructArray.from_arrays(
             [pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string()),
-             pa.array(np.where(known, score, 0.0).astype(np.float64))], ["lang_pred", "score"])
+             pa.array(np.where(known, score, 0.0).astype(np.float64)), letter], ["lang_pred", "score", "letter"])
 
-    return docs.withColumn(into, predict(F.col("text")))
+    return docs.withColumn(into, predict(F.col("text"), has_letter()))

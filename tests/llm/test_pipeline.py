@@ -6,6 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from sensorlake.llm import language_id
 
 
 def prose(rng, n):
@@ -70,3 +71,22 @@ def test_one_row_of_a_group(spark):
         found.append(shown(corpus_pipeline.near_duplicates(spark, table, "").collect()))
     assert found[0] == found[1] and len(found[0]) == 2
     assert rows[5] in found[0] and all(r[0] == 1 for r in found[0])
+
+
+#: of categories No, Nl, Nd, Mn, So and Lo, Lm, Lu outside the first plane
+NO_LETTER, LETTER = ["\u00b2", "\u00bd 1", "\u2460", "\u2167", "12 34", "\u0301", "\u24b6", "", " \n", None], ["\u65e5", "\u02b0", "\U00010400 7", "1a"]
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_language(spark, lang):
+    """Without a label there is no model; the stage drops the same documents as with one."""
+    rows = [(None if i % 4 == 0 else i, t, lang, "mine") for i, t in enumerate([*NO_LETTER, *LETTER, "plain words", "plain words"])]
+    rows += rows[-1:]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.train(table, language_id.F.lit(True))
+    assert (model is None) == (lang is None)
+    got = corpus_pipeline.language(spark, table, "").collect()
+    assert shown(got) == shown(r for r in rows if r[1] not in NO_LETTER)
+    told = [(r.text, *r.language) for r in language_id.identify(table, model).collect()]
+    assert all(letter == (t not in NO_LETTER) and (p == "und") == (model is None or not letter) for t, p, _, letter in told)
+    assert corpus_pipeline.language(spark, table.where("false"), "").collect() == []
