@@ -16,19 +16,27 @@ from sensorlake.storage import materialize
 ORACLE_SQL = None
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, longer if a column has it already."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null, empty or without a letter, whether or not there is a lang to learn from."""
     small_batches(spark)
     model = language_id.train(docs, hash_mod("doc_id", 3) != 1)
-    return (language_id.identify(docs, model, into="_language")
-            .where(F.col("_language.letter")).select(*docs.columns))
+    found = _unused(docs, "_language")
+    return language_id.identify(docs, model, into=found).where(F.col(f"{found}.letter")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that three documents share, except where the largest doc_id holds them; text and n_chars change."""
     small_batches(spark)
-    made = line_dedup.drop_repeated_lines(docs, into="_lines")
-    changed = {"text": F.col("_lines.kept"), "n_chars": F.length("_lines.kept").cast("long")}
+    found = _unused(docs, "_lines")
+    made = line_dedup.drop_repeated_lines(docs, into=found)
+    changed = {"text": F.col(f"{found}.kept"), "n_chars": F.length(f"{found}.kept").cast("long")}
     return made.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
@@ -42,8 +50,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
     small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.contamination(docs, items, into="_found")
-    return found.where(~F.col("_found.contaminated")).select(*docs.columns)
+    found = _unused(docs, "_found")
+    made = decontamination.contamination(docs, items, into=found)
+    return made.where(~F.col(f"{found}.contaminated")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

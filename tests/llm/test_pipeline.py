@@ -1,12 +1,15 @@
 """The stages of the pipeline on small tables with null and repeated ids, by brute force."""
 
+import hashlib
 import random
 import re
 
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sensorlake.llm import language_id
+from sensorlake.llm import decontamination, language_id
 
 
 def prose(rng, n):
@@ -83,10 +86,101 @@ def test_language(spark, lang):
     rows = [(None if i % 4 == 0 else i, t, lang, "mine") for i, t in enumerate([*NO_LETTER, *LETTER, "plain words", "plain words"])]
     rows += rows[-1:]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    model = language_id.train(table, language_id.F.lit(True))
+    model = language_id.train(table, F.lit(True))
     assert (model is None) == (lang is None)
     got = corpus_pipeline.language(spark, table, "").collect()
     assert shown(got) == shown(r for r in rows if r[1] not in NO_LETTER)
     told = [(r.text, *r.language) for r in language_id.identify(table, model).collect()]
     assert all(letter == (t not in NO_LETTER) and (p == "und") == (model is None or not letter) for t, p, _, letter in told)
     assert corpus_pipeline.language(spark, table.where("false"), "").collect() == []
+
+
+#: the last columns are named like those that the stages add for a while
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _language string, _Lines string, _found string"
+
+
+def low(i):
+    return -2 ** 63 if i is None else i
+
+
+def row(i, text, lang=None):
+    return (i, text, lang, "s", len(text or ""), "l", "m", "f")
+
+
+def after_lines(rows):
+    key = lambda x: x.strip(" \t\n\r\x0b\x0c").encode().lower().decode()
+    where, made = {}, []
+    for i, t, *_ in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 20:
+                where.setdefault(key(x), set()).add(low(i))
+    for i, t, lang, source, _, *more in rows:
+        left = "\n".join(x for x in (t or "").split("\n") if len(where.get(key(x), ())) < 3 or max(where[key(x)]) == low(i))
+        made.append((i, left, lang, source, len(left), *more))
+    return made
+
+
+def after_benchmark(rows, items):
+    kept = []
+    for r in rows:
+        w, hit = decontamination._words(r[1]), set()
+        for text in items:
+            v = decontamination._words(text)
+            n = min(13, len(v))
+            windows = {tuple(v[a:a + n]) for a in range(len(v) - n + 1)} if n else set()
+            hit |= {p for a in range(len(w) - n + 1) if tuple(w[a:a + n]) in windows for p in range(a, a + n)}
+        if not hit or 20 * len(hit) < len(w):
+            kept.append(r)
+    return kept
+
+
+def after_tokens(rows):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    made = []
+    for i, t, *_ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        made.append((i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    return made
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """(rows, benchmark texts, folder of both tables): null and repeated ids, no lang."""
+    rng = random.Random(8)
+    a, b, item = prose(rng, 40), prose(rng, 40), prose(rng, 20)
+    line = "\nThis line stands in several documents"
+    rows = [row(5, a), row(5, b + line), row(3, edited(a, "other") + line.upper()), row(None, prose(rng, 30) + line),
+            row(None, prose(rng, 30)), row(8, line.strip()), row(9, "12 34"), row(None, None), row(10, ""), row(11, item),
+            row(None, "before " + item), row(12, prose(rng, 20) + " " + item.upper()), row(13, prose(rng, 30))]
+    rows += [rows[1], rows[4], rows[7]]
+    items, folder = [item, None, ""], str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(enumerate(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return rows, items, folder
+
+
+def test_other_stages(spark, corpus):
+    rows, items, folder = corpus
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    for stage, want in ((corpus_pipeline.language, [r for r in rows if re.search("[a-z]", r[1] or "")]),
+                        (corpus_pipeline.lines, after_lines(rows)), (corpus_pipeline.benchmark, after_benchmark(rows, items)),
+                        (corpus_pipeline.tokens, after_tokens(rows))):
+        made = stage(spark, table, folder)
+        assert stage is corpus_pipeline.tokens or made.columns == table.columns
+        assert shown(made.collect()) == shown(want) and want != rows
+        assert stage(spark, table.where("false"), folder).collect() == []
+
+
+def test_run(spark, corpus):
+    rows, items, folder = corpus
+    left = after_lines([r for r in rows if re.search("[a-z]", r[1] or "")])
+    first, loose = {}, []
+    for x, r in zip(groups([r[1] for r in left]), left, strict=True):
+        if shingles(r[1]):
+            first[x] = min(first.get(x, r), r, key=lambda r: low(r[0]))
+        else:
+            loose.append(r)
+    want = after_tokens(after_benchmark([*first.values(), *loose], items))
+    assert shown(corpus_pipeline.run(spark, folder).collect()) == shown(want)
