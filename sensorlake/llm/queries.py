@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, jaccard_join, language_id, line_dedup, pii, quality, suffix_dedup, topk
-from .common import hash_mod, small_batches
+from . import (bpe, chat, conversation_repair, decontamination, jaccard_join, language_id, line_dedup, pii, quality,
+               suffix_dedup, topk)
+from .common import hash_mod, id_key, small_batches
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -195,3 +196,92 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"), hash_mod("doc_id", 5) != 0)
     made = quality.score_quality(docs, model)
     return made.select("doc_id", (hash_mod("doc_id", 5) == 0).alias("held_out"), "quality_score.*")
+
+
+def damage(conversations: DataFrame) -> DataFrame:
+    """Drops, empties, cuts, repeats or relabels rows by a hash of conversation and turn; nulls are one space."""
+    def known(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    fate = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn")).cast("binary")) % 20
+    role = F.when(fate == 4, "user").otherwise(known("role"))
+    text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace(known("text"), "[.!?]", "")).otherwise(known("text"))
+    copies = F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1)
+    return (conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"),
+                                 F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy")).drop("_copy"))
+
+
+_REPAIR_SQL = r"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                   lambda c: ascii(c)::BIGINT),
+      lambda crc, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END,
+                                 xor(crc, b)), 4294967295), 4294967295) % 20 AS fate
+  FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed) WHERE fate <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' END AS fault
+  FROM placed),
+paired AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM judged),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM paired GROUP BY conv_id),
+moves(q, r, cost, letters, said) AS (VALUES
+  (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+  (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']),
+  (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])),
+edits(q, initial, r, cost, letter, role) AS (VALUES
+  (0, 's', 1, 0, 'K', NULL), (0, 'u', 2, 0, 'K', NULL), (1, 'u', 2, 0, 'K', NULL), (2, 'a', 3, 0, 'K', NULL),
+  (3, 'u', 2, 0, 'K', NULL), (0, NULL, 2, 2, 'R', 'user'), (1, NULL, 2, 2, 'R', 'user'), (2, NULL, 3, 2, 'R', 'assistant'),
+  (3, NULL, 2, 2, 'R', 'user'), (0, NULL, 0, 3, 'D', NULL), (1, NULL, 1, 3, 'D', NULL), (2, NULL, 2, 3, 'D', NULL),
+  (3, NULL, 3, 3, 'D', NULL)),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]} AS best FROM counted
+  UNION ALL
+  SELECT conv_id, i + 1, r, min(way) FROM (
+    SELECT p.conv_id, p.i, e.r, {
+      'cost': p.best.cost + m.cost + e.cost + CASE WHEN j.fault = 'truncated' AND e.letter <> 'D' THEN 1 ELSE 0 END,
+      'audit': p.best.audit || m.letters || e.letter,
+      'said': list_concat(list_concat(p.best.said, m.said),
+        CASE WHEN e.letter = 'D' THEN [] ELSE [coalesce(e.role, j.role) || ':' || j.text] END)} AS way
+    FROM paths p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i + 1
+      JOIN moves m ON m.q = p.q
+      JOIN edits e ON e.q = m.r AND (e.initial IS NULL OR e.initial = j.initial)
+    WHERE e.letter = 'D' OR j.fault IS NULL OR j.fault = 'truncated') GROUP BY conv_id, i, r),
+ended AS (
+  SELECT p.conv_id, min({'cost': p.best.cost + m.cost, 'audit': p.best.audit || m.letters,
+                         'said': list_concat(p.best.said, m.said)}) AS best
+  FROM paths p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i
+    JOIN moves m ON m.q = p.q AND m.r IN (0, 3) GROUP BY p.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+  LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query("op12_conversation_repair", _REPAIR_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair(damage(conversations))
+    counts, digests = repaired.report(), repaired.digests()
+    key = id_key("conv_id").alias("key")
+    counts = counts.select(key, *counts.columns[1:])
+    digests = digests.select(key, *digests.columns[1:])
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns[1:]]
+    return (conversations.select("conv_id", key).distinct().join(counts, "key", "left").join(digests, "key", "left")
+            .select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
