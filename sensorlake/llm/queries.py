@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe, chat, conversation_repair, decontamination, jaccard_join, language_id, line_dedup, pii, quality,
-               suffix_dedup, topk)
+               quality_rules, suffix_dedup, topk)
 from .common import hash_mod, id_key, small_batches
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -226,9 +226,11 @@ hurt AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
 judged AS (
   SELECT *, substr(role, 1, 1) AS initial,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-         WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' END AS fault
+         WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' END AS fault
   FROM placed),
 paired AS (
   SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM judged),
@@ -285,3 +287,37 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (conversations.select("conv_id", key).distinct().join(counts, "key", "left").join(digests, "key", "left")
             .select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
                     F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
+
+
+_BLANK = r"\x20\x09-\x0D"
+_RULES_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[{_BLANK}]+'), lambda w: w <> '') AS w FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+twice AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^{_BLANK}]')
+          GROUP BY doc_id),
+windows AS (
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i,
+    unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS said
+  FROM d, (VALUES (4), (8), (33)) sizes(k) WHERE len(w) >= k),
+repeated AS (SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, said) AS n FROM windows) WHERE n > 1),
+places AS (SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS place FROM repeated),
+found AS (SELECT doc_id, count(*) FILTER (WHERE k = 8) AS n_repeat_words, count(*) FILTER (WHERE k = 4) AS n_covered,
+            count(*) FILTER (WHERE k = 33) AS long FROM places GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_covered, 0) AS n_covered, coalesce(long, 0) AS long
+  FROM d LEFT JOIN twice USING (doc_id) LEFT JOIN found USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * n_covered <= 30 * n_words AND long = 0 AS kept
+FROM counted"""
+
+
+@query("op13_quality_rules", _RULES_SQL)
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "documents").select("doc_id", quality_rules.rules("text").alias("rules"))
+    return made.select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                                          "base_failed", "kept")])
