@@ -10,7 +10,7 @@ from ..plans.reprocess import reprocess
 from ..streaming.control import read_table, start, stream_progress, write_table
 from ..sources.layers import stream_layer
 from ..streaming.enrich import SilverWriter, enrichment_stream
-from ..streaming.latest import LatestTable
+from ..streaming.latest import list_state, newest_per_source, newest_rows
 from ..storage import fresh_path
 from . import views as v
 from .registry import query
@@ -130,17 +130,46 @@ def _(spark, sf):
     return _table(spark, counts, "count", "complete")
 
 
-@query("stream_latest_n", """WITH alive AS (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL '12 hours')
+_ALIVE = """WITH alive AS (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL '12 hours')
   SELECT event_id, user_id, ts, value FROM events SEMI JOIN alive USING (user_id)
-  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5""")
-def _(spark, sf):
-    path = fresh_path(spark, "arrivals")
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5"""
+
+
+def _arrivals(spark, sf, path, *parts):
+    """Events in order of time, written so many files at a time."""
     events = v.table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    events.repartitionByRange(3, "ts").write.parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    latest = LatestTable(fresh_path(spark, "latest"), "ts", 5, "user_id", ("event_id",), ttl_seconds=12 * 3600)
-    _run(spark, stream.writeStream.foreachBatch(latest), "latest")
-    return v.ntz(latest.read(spark))
+    files = fresh_path(spark, "sorted")
+    events.repartitionByRange(sum(parts), "ts").write.parquet(files)
+    names = sorted(r[0] for r in spark.read.parquet(files).select(F.input_file_name()).distinct().collect())
+    for n in parts:
+        for name in names[:n]:
+            spark.read.schema(events.schema).parquet(name).write.mode("append").parquet(path)
+        names = names[n:]
+        yield events.schema
+
+
+def _newest(spark, schema, path, checkpoint):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    changes = newest_per_source(stream, "ts", 5, "user_id", ("event_id",), silent="12 hours")
+    with list_state(spark):
+        start(changes.writeStream.outputMode("update").format("noop"), f"newest-{uuid.uuid4().hex[:8]}", checkpoint).awaitTermination()
+
+
+@query("stream_latest_n", _ALIVE)
+def _(spark, sf):
+    path, checkpoint = fresh_path(spark, "arrivals"), fresh_path(spark, "newest")
+    for schema in _arrivals(spark, sf, path, 3):
+        _newest(spark, schema, path, checkpoint)
+    return v.ntz(newest_rows(spark, checkpoint))
+
+
+@query("stream_latest_state", _ALIVE)
+def _(spark, sf):
+    # the query ends after two files and is started again from its checkpoint for the rest
+    path, checkpoint = fresh_path(spark, "arrivals"), fresh_path(spark, "newest")
+    for schema in _arrivals(spark, sf, path, 2, 2):
+        _newest(spark, schema, path, checkpoint)
+    return v.ntz(newest_rows(spark, checkpoint))
 
 
 @query("stream_progress")

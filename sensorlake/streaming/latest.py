@@ -1,43 +1,145 @@
-"""The newest rows of every source, kept up to date by a stream."""
+"""The newest rows of every source, held in the state of a stream.
 
-from pyspark.sql import DataFrame
+State is one list per source in the state store: a batch reads and writes only the sources it brings rows of, and an event
+timer ends a source that has fallen silent. The table is the state itself, read with Spark's state reader, so a
+lost output folder loses nothing and a restarted query goes on from its checkpoint.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from datetime import datetime, timezone
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+CHANGES = "status string, held int, newest timestamp"
+
+
+@contextmanager
+def list_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in the store that lists and timers need; the session stays as it was."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def _nested(field: T.StructField) -> bool:
+    """The Python side of the state writes plain values only."""
+    return isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType))
+
+
+def _trim(source: str, order: list[str], n: int):
+    """Keeps the newest n rows of every source of each Arrow batch: a busy source sends few rows to its state."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            codes = pc.dictionary_encode(table[source].combine_chunks(), null_encoding="encode").indices
+            by = pc.sort_indices(pa.table({"_source": codes, **{c: table[c] for c in order}}),
+                                 sort_keys=[("_source", "ascending"), *[(c, "descending") for c in order]], null_placement="at_end")
+            sorted_codes = codes.to_numpy(zero_copy_only=False)[by.to_numpy()]
+            first = np.searchsorted(sorted_codes, sorted_codes)
+            keep = np.flatnonzero(np.arange(len(sorted_codes)) - first < n)
+            yield batch.take(by.take(pa.array(keep)))
+    return run
+
+
+class _Newest(StatefulProcessor):
+    """List state of at most n rows of a source; a timer that asks at the end of its silence whether it is over."""
 
-from ..operators.rank import latest_per_source
+    def __init__(self, schema: T.StructType, time: str, order: list[str], n: int):
+        self._schema, self._time, self._order, self._n = schema, time, order, n
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._rows = handle.getListState("rows", self._schema)
 
-class LatestTable:
-    """foreachBatch target holding the newest ``n`` rows per source in a table.
+        self._times = [isinstance(f.dataType, T.TimestampType) for f in self._schema.fields]
+        self._make = Row(*self._schema.fieldNames())
 
-    Each batch is cut to ``n`` rows per source inside its tasks, merged with the table and written
-    as the next version; sources silent for longer than ``ttl_seconds`` (against the newest row
-    of all) leave. A state store would send all rows of a busy source through one task; here only
-    ``n`` rows per source and task move, and a repeated batch rewrites its own version.
+    def _utc(self, row: Iterable) -> Row:
+        """Times of input rows carry a zone, those of the state do not: all get one, to be compared."""
+        return self._make(*[x.astimezone(timezone.utc) if zoned and x is not None else x
+                            for x, zoned in zip(row, self._times, strict=True)])
+
+    def _held(self) -> list[Row]:
+        return [self._utc(r) for r in self._rows.get()] if self._rows.exists() else []
+
+    def _rank(self, row: Row) -> tuple:
+        return tuple((row[c] is not None, row[c]) if row[c] is not None else (False, 0) for c in self._order)
+
+    def _millis(self, rows: list[Row]) -> int:
+        newest = max(r[self._time] for r in rows)
+        newest = newest if newest.tzinfo else newest.replace(tzinfo=timezone.utc)
+        return int(newest.timestamp() * 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterable[Row], timerValues) -> Iterator[Row]:
+        newest = heapq.nlargest(self._n, [*self._held(), *map(self._utc, rows)], key=self._rank)
+        self._rows.put([tuple(r) for r in newest])
+        last = self._millis(newest)
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        self._handle.registerTimer(last + 1)
+        yield self._change(key, "active", len(newest), last)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self._held()
+        last = self._millis(held) if held else None
+        if last is not None and last >= timerValues.getCurrentWatermarkInMs():
+            self._handle.registerTimer(last + 1)
+            return
+        self._rows.clear()
+        yield self._change(key, "left", 0, last)
+
+    @staticmethod
+    def _change(key: tuple, status: str, held: int, last: int | None) -> Row:
+        newest = None if last is None else datetime.fromtimestamp(last / 1000, timezone.utc)
+        return Row(source=key[0], status=status, held=held, newest=newest)
+
+    def close(self) -> None:
+        pass
+
+
+def newest_per_source(stream: DataFrame, time: str, n: int = 100, source: str = "ingestion_id",
+                      tie_break: Iterable[str] = (), silent: str = "5 minutes") -> DataFrame:
+    """A stream of changes (source, status, held, newest): its state holds the newest n rows of every source.
+
+    Rows are first cut to n per source in each task's Arrow batches. A source leaves once its newest row is older than the newest
+    of all by more than ``silent``; rows older than that when they arrive are dropped, as are rows without a time.
+    Write the changes in update mode; read the rows with ``newest_rows``. Structs, lists and maps
+    are held as JSON.
     """
+    order = [time, *tie_break]
+    stream = stream.select(*[F.to_json(f"`{f.name}`", _JSON).alias(f.name) if _nested(f) else F.col(f"`{f.name}`") for f in stream.schema.fields])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema.fields])
+    rows = stream.where(F.col(time).isNotNull()).mapInArrow(_trim(source, order, n), schema).withWatermark(time, silent)
+    changes = f"source {stream.schema[source].dataType.simpleString()}, {CHANGES}"
+    return rows.groupBy(source).transformWithState(_Newest(schema, time, order, n), changes, "Update", "EventTime")
+
 
-    def __init__(self, path: str, time: str, n: int = 100, source: str = "ingestion_id",
-                 tie_break: tuple[str, ...] = (), ttl_seconds: int | None = 300):
-        self.path, self.time, self.n, self.source = path, time, n, source
-        self.tie_break, self.ttl_seconds = tie_break, ttl_seconds
-
-    def _version(self, batch_id: int) -> str:
-        return f"{self.path}/version={batch_id}"
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = latest_per_source(batch, self.time, self.n, self.source, self.tie_break)
-        if batch_id > 0:
-            before = spark.read.schema(batch.schema).parquet(self._version(batch_id - 1))
-            rows = latest_per_source(rows.unionByName(before), self.time, self.n, self.source, self.tie_break)
-        if self.ttl_seconds is not None:
-            last_seen = rows.groupBy(self.source).agg(F.max(self.time).alias("_last"))
-            newest = last_seen.agg(F.max("_last")).scalar()
-            alive = last_seen.where(F.col("_last") >= newest - F.make_dt_interval(secs=F.lit(self.ttl_seconds)))
-            rows = rows.join(alive, self.source, "left_semi")
-        rows.write.mode("overwrite").parquet(self._version(batch_id))
-
-    def read(self, spark) -> DataFrame:
-        """The table as of the last finished batch."""
-        versions = spark.read.parquet(self.path)
-        last = versions.agg(F.max("version")).scalar()
-        return versions.where(F.col("version") == last).drop("version")
+def newest_rows(spark: SparkSession, checkpoint: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows that the query with this checkpoint holds, as of its last finished batch; with the stream's schema its nested
+    columns too are as they were."""
+    with list_state(spark):
+        state = spark.read.format("statestore").option("stateVarName", "rows").load(checkpoint)
+        rows = state.select(*[F.col(f"list_element.`{f}`") for f in state.schema["list_element"].dataType.fieldNames()])
+    for field in schema.fields if schema else []:
+        if _nested(field):
+            rows = rows.withColumn(field.name, F.from_json(f"`{field.name}`", field.dataType, _JSON))
+    return rows

@@ -16,7 +16,8 @@ from sensorlake.sources.sensor_csv import as_messages, read_sensor_csv, sensor_s
 from sensorlake.storage import fresh_path, materialize, shared_dir
 from sensorlake.streaming.control import find_query, rate_source, read_table, start, stop, stream_progress, write_table
 from sensorlake.streaming.enrich import SilverWriter, enrichment_stream
-from sensorlake.streaming.latest import LatestTable
+from sensorlake.streaming import latest
+from sensorlake.streaming.latest import list_state, newest_per_source, newest_rows
 
 SCHEMA = "ingestion_id string, timestamp string, temp double, n int, sensor_id string"
 
@@ -171,16 +172,47 @@ def test_a_repeated_batch_replaces_itself(spark, raw):
     assert spark.read.parquet(path).count() == 60
 
 
-def test_latest_table_forgets_silent_sources(spark):
-    path = fresh_path(spark, "latest")
-    table = LatestTable(path, "ts", 2, ttl_seconds=100)
-    def batch(rows):
-        return spark.createDataFrame(rows, "ingestion_id string, ts timestamp, v int")
-    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    table(batch([("a", at(0), 1), ("a", at(1), 2), ("a", at(2), 3), ("b", at(50), 4)]), 0)
-    table(batch([("b", at(60), 5), ("c", at(120), 6)]), 1)
-    table(batch([("b", at(60), 5), ("c", at(120), 6)]), 1)
-    assert sorted((r.ingestion_id, r.v) for r in table.read(spark).collect()) == [("b", 4), ("b", 5), ("c", 6)]
+def _files(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_newest_rows_survive_a_restart_and_leave_when_silent(spark):
+    path, checkpoint = fresh_path(spark, "arrivals"), fresh_path(spark, "ck")
+    schema = "ingestion_id string, ts timestamp, v int, more struct<t:timestamp,w:double,x:array<string>>"
+    at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    row = lambda source, s, v: (source, None if s is None else at(s), v, (at(s or 0) + dt.timedelta(microseconds=7), float("nan"), ["q", None]))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        changes = newest_per_source(stream, "ts", 2, tie_break=("v",), silent="100 seconds")
+        out = []
+        with list_state(spark):
+            query = start(changes.writeStream.outputMode("update").foreachBatch(lambda b, i: out.extend(b.collect())),
+                          "newest-test", checkpoint)
+        query.awaitTermination()
+        return [(r.source, r.status, r.held) for r in out]
+
+    _files(spark, path, [row("a", 0, 1), row("a", 1, 2), row("a", 2, 3), row("b", 50, None), row(None, 30, 9), row("d", None, 1)], schema)
+    assert sorted(run(), key=str) == [("a", "active", 2), ("b", "active", 1), (None, "active", 1)]
+    _files(spark, path, [row("b", 60, 5), row("b", 60, 5), row("b", 60, 4), row("c", 120, 6)], schema)
+    left = run()
+    assert ("a", "left", 0) in left and ("b", "left", 0) not in left
+    _files(spark, path, [row("b", 10, 7), row("c", 121, None)], schema)  # late within its source, but not too late
+    run()
+    rows = newest_rows(spark, checkpoint, spark.createDataFrame([], schema).schema)
+    assert rows.where("more.t <> ts + interval 7 microseconds or more.w <> double('nan')").count() == 0
+    found = sorted((str(r.ingestion_id), str(r.v), r.more.x) for r in rows.collect())
+    assert found == [("None", "9", ["q", None]), ("b", "5", ["q", None]), ("b", "5", ["q", None]), ("c", "6", ["q", None]),
+                     ("c", "None", ["q", None])]
+    assert rows.schema.simpleString() == f"struct<{schema.replace(', ', ',').replace(' ', ':')}>"
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_busy_source_is_cut_in_its_tasks(spark):
+    rows = spark.range(40_000).select(F.lit("a").alias("s"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 7).cast("int").alias("v"))
+    cut = rows.mapInArrow(latest._trim("s", ["ts", "v"], 3), rows.schema)
+    assert cut.count() <= 3 * 8 and cut.agg(F.max("ts")).collect() == rows.agg(F.max("ts")).collect()
 
 
 def test_generated_stream(spark):
