@@ -3,19 +3,24 @@
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import rank as rk
 from ..plans.gold import threshold_alerts, windowed_average
 from ..plans.reprocess import reprocess
 from ..streaming.control import read_table, start, stream_progress, write_table
-from ..sources.layers import stream_layer
-from ..streaming.enrich import SilverWriter, enrichment_stream
+from ..sources.layers import bronze_columns, stream_bronze, stream_layer, write_bronze
+from ..schema import ENRICHED
+from ..streaming.enrich import SilverWriter, batch_counts, enrichment_stream, value_rule_usage
 from ..streaming.latest import list_state, newest_per_source, newest_rows
 from ..storage import fresh_path
 from . import views as v
 from .registry import query
 
 
+STORED = T.StructType([*ENRICHED.fields, T.StructField("enrichment_timestamp", T.TimestampType())])
+
+
 def event_stream(spark, sf, **options):
     schema = v.table(spark, sf, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").options(**options).parquet(sf) \
@@ -61,7 +66,7 @@ def _(spark, sf):
     writer = SilverWriter(path, devices=lambda: v.devices(spark), transformations=lambda: _RULES)
     raw = _as_readings(event_stream(spark, sf))
     _run(spark, enrichment_stream(raw, v.rules(spark), writer, as_of=F.col("timestamp")), "enrich")
-    silver = spark.read.parquet(path)
+    silver = writer.table(spark).read(STORED)
     return v.ntz(silver.select("ingestion_id", "event_time", "ingest_ts", "ingest_date", F.col("sensor_data")["sensorId"].alias("sensorId"),
                                F.col("normalized_data")["temperature"].alias("temperature"), F.col("sensor_data")["temperature"].alias("raw"),
                                F.col("normalized_data")["humidity"].alias("humidity"), "source"))
@@ -190,3 +195,119 @@ def _(spark, sf):
     made = reprocess(bronze, v.rules(spark), v.devices(spark), _RULES, as_of=F.col("timestamp"))
     return v.ntz(made["averages"].select(F.lit("averages").alias("part"), "sensorId", F.col("avg_temp").alias("temperature"), F.col("time_start").alias("time"))
                  .unionByName(made["alerts"].select(F.lit("alerts").alias("part"), "sensorId", "temperature", F.col("event_time").alias("time"))))
+
+
+# ---------------------------------------------------------------- bronze to gold, in arrivals
+
+class _Lake:
+    """A bronze folder that arrivals are added to, and the streams that follow it: enrichment, averages, alerts."""
+
+    def __init__(self, spark, sf):
+        self.spark = spark
+        self.readings = _as_readings(v.table(spark, sf, "events"))
+        self.bronze, self.averages, self.alerts = (fresh_path(spark, x) for x in ("bronze", "averages", "alerts"))
+        self.writer = SilverWriter(fresh_path(spark, "silver"), lambda: v.devices(spark), lambda: _RULES)
+        self.checkpoints = {x: fresh_path(spark, f"{x}-checkpoint") for x in ("enrich", "averages", "alerts")}
+        self.schema = bronze_columns(self.readings).drop("date", "hour").schema
+
+    def parts(self, n):
+        """The readings cut by time, without a shuffle of their own: the cuts are quantiles of the times."""
+        at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+        cuts = self.readings.select(at.alias("at")).approxQuantile("at", [(i + 1) / n for i in range(n - 1)], 0.01)
+        edges = [None, *cuts, None]
+        for low, high in zip(edges, edges[1:], strict=False):
+            yield self.readings.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+
+    def arrive(self, readings):
+        write_bronze(readings, self.bronze, partitions=("ingestion_id",))
+
+    def _follow(self, name, writer):
+        start(writer, f"{name}-{uuid.uuid4().hex[:8]}", self.checkpoints[name]).awaitTermination()
+
+    def enrich(self):
+        raw = stream_bronze(self.spark, self.bronze, self.schema).drop("date", "hour")
+        self._follow("enrich", enrichment_stream(raw, v.rules(self.spark), self.writer, as_of=F.col("timestamp")))
+
+    def gold(self, window="1 minute"):
+        silver = self.writer.table(self.spark).stream(STORED)
+        self._follow("averages", write_table(windowed_average(silver, window=window), self.averages))
+        self._follow("alerts", write_table(threshold_alerts(silver), self.alerts))
+
+    def result(self):
+        averages, alerts = self.spark.read.parquet(self.averages), self.spark.read.parquet(self.alerts)
+        return v.ntz(averages.select(F.lit("averages").alias("part"), "sensorId", F.col("avg_temp").alias("temperature"), F.col("time_start").alias("time"))
+                     .unionByName(alerts.select(F.lit("alerts").alias("part"), "sensorId", "temperature", F.col("event_time").alias("time"))))
+
+
+_ACCEPTED = f"""{v.ENRICHED}, {v.DEVICES_SQL}, ok AS (SELECT * FROM en WHERE lower(trim(ingestion_id)) IN
+    (SELECT lower(trim(ingestion_id)) FROM devices WHERE enabled AND ingestion_id <> 'unknown')),
+  t AS (SELECT *, CASE WHEN temperature * 2 <= 400 THEN temperature * 2 ELSE temperature END AS t2 FROM ok WHERE temperature IS NOT NULL),
+  minutes AS (SELECT *, time_bucket(INTERVAL '1 minute', ts, TIMESTAMP '1970-01-01') AS minute FROM t)"""
+# what append mode has let out at the end: windows that the watermark has passed
+_CLOSED = f"""WITH {_ACCEPTED}
+  SELECT 'averages' AS part, sensor_id AS "sensorId", {v.MEAN.format('t2')} AS temperature, minute AS time FROM minutes GROUP BY sensor_id, minute
+    HAVING minute + INTERVAL '1 minute' <= (SELECT max(ts) FROM t) - INTERVAL '2 minutes'
+  UNION ALL SELECT 'alerts', sensor_id, max(t2), max(ts) FROM minutes WHERE t2 > 30 GROUP BY sensor_id, minute
+    HAVING minute + INTERVAL '1 minute' <= (SELECT max(ts) FROM t WHERE t2 > 30) - INTERVAL '2 minutes'"""
+
+
+@query("stream_pipeline", _CLOSED)
+def _(spark, sf):
+    # three arrivals in order, each followed to gold, then the first again, which is too late for gold by then
+    lake = _Lake(spark, sf)
+    arrivals = list(lake.parts(3))
+    for readings in [*arrivals, arrivals[0]]:
+        lake.arrive(readings)
+        lake.enrich()
+        lake.gold()
+    return lake.result()
+
+
+@query("stream_retry", _CLOSED)
+def _(spark, sf):
+    # while gold follows silver, every batch is written once more and another one dies before it is published
+    lake = _Lake(spark, sf)
+    table = lake.writer.table(spark)
+    for readings in lake.parts(2):
+        lake.arrive(readings)
+        lake.enrich()
+        lake.gold()
+        again = table.read(STORED)
+        for entry in table.log().collect():
+            table.write(again, entry.batch_id)
+        again.write.partitionBy("ingestion_id").parquet(f"{table.path}/_staged/lost-{uuid.uuid4().hex}")
+        lake.gold()
+    return lake.result()
+
+
+@query("value_rule_usage", f"""WITH {_ACCEPTED} SELECT CAST(1 AS BIGINT) AS rule_id, CAST(count(*) AS BIGINT) AS applied_count FROM t
+  UNION ALL SELECT 2, count(*) FROM t""")
+def _(spark, sf):
+    lake = _Lake(spark, sf)
+    for readings in lake.parts(2):
+        lake.arrive(readings)
+        lake.enrich()
+    return value_rule_usage(lake.writer.table(spark)).select("rule_id", "applied_count")
+
+
+@query("enrichment_batches", f"""WITH {_ACCEPTED} SELECT CAST((SELECT count(*) FROM en) AS BIGINT) AS received, CAST(count(*) AS BIGINT) AS written FROM ok""")
+def _(spark, sf):
+    lake = _Lake(spark, sf)
+    for readings in lake.parts(2):
+        lake.arrive(readings)
+        lake.enrich()
+    return batch_counts(lake.writer.table(spark)).agg(F.sum("received").alias("received"), F.sum("written").alias("written"))
+
+
+@query("silver_compaction", f"""WITH {_ACCEPTED} SELECT ingestion_id, CAST(count(*) AS BIGINT) AS readings, CAST(1 AS BIGINT) AS files FROM ok GROUP BY 1""")
+def _(spark, sf):
+    # four batches of many files become one file for each source; streams do not see them again
+    lake = _Lake(spark, sf)
+    table = lake.writer.table(spark)
+    for readings in lake.parts(4):
+        lake.arrive(readings)
+        lake.enrich()
+    table.compact()
+    rows = table.read(STORED).select("ingestion_id", F.input_file_name().alias("file"))
+    return rows.groupBy("ingestion_id", "file").count().groupBy("ingestion_id").agg(
+        F.sum("count").alias("readings"), F.count("*").alias("files"))

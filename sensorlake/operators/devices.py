@@ -22,14 +22,25 @@ def _wildcard(devices: DataFrame):
                       F.lit(False))
 
 
+#: ids up to which the registered ones are sent to every task; more are joined by a shuffle
+BROADCAST_IDS = 100_000
+
+
 def registered_only(df: DataFrame, devices: DataFrame) -> DataFrame:
-    """Rows whose source is an enabled device; nothing registered keeps nothing."""
-    wildcard = devices.where("enabled").where("ingestion_id is null").limit(1).count() > 0
-    if wildcard:
+    """Rows whose source is an enabled device; nothing registered keeps nothing.
+
+    The device table is read once, for whether a registration accepts every source and for how many ids there are: that
+    many at most are broadcast, so that readings stay where they are.
+    """
+    enabled = devices.where("enabled")
+    seen = enabled.agg(F.max(F.col("ingestion_id").isNull()).alias("any"), F.count_distinct(_normal("ingestion_id")).alias("ids")).first()
+    if seen["any"]:
         return df
+    allowed = allowed_ids(devices)
+    if seen["ids"] <= BROADCAST_IDS:
+        allowed = F.broadcast(allowed)
     keyed = df.withColumn("_device", _normal("ingestion_id"))
-    return keyed.join(allowed_ids(devices), keyed["_device"] == F.col("device_id"), "left_semi") \
-        .drop("_device")
+    return keyed.join(allowed, keyed["_device"] == F.col("device_id"), "left_semi").drop("_device")
 
 
 def unlinked_devices(devices: DataFrame, links: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import json
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import extract_field, overlay_keys
@@ -207,9 +207,12 @@ def _only_for(rule: Mapping) -> Column | None:
 
 
 def apply_transformations(df: DataFrame, rules: Iterable[Mapping], ingestion_id: str | None = None,
-                          on_missing: str = "drop") -> DataFrame:
+                          on_missing: str = "drop", usage: dict[int, Observation] | None = None) -> DataFrame:
     """Run every rule, field by field in rule order, as one lazy plan.
 
+    ``usage`` is filled with an observation per rule id: ``n`` rows of its sources had the field when the rule came to
+    them. Whatever action runs the plan makes these counts, at no pass of their own.
+
     ``on_missing`` says what a filter (or a dropping validation) does to rows without the field:
     'drop' removes them, 'keep' lets other devices' rows pass, 'skip' ignores the rule if no row
     of the whole (batch) frame has the field and drops otherwise.
@@ -229,6 +232,9 @@ def apply_transformations(df: DataFrame, rules: Iterable[Mapping], ingestion_id:
             df = df.withColumn(field, extract_field(field))
         touched = False
         for rule in field_rules:
+            if usage is not None:
+                usage[rule["id"]] = Observation()
+                df = df.observe(usage[rule["id"]], F.count_if(_uses(df, field, rule, temporary and not touched)).alias("n"))
             df, changed = _apply(df, field, rule, temporary and not touched, on_missing)
             touched = touched or changed
         if temporary:
@@ -239,6 +245,13 @@ def apply_transformations(df: DataFrame, rules: Iterable[Mapping], ingestion_id:
     return write_back(df, written)
 
 
+def _uses(df: DataFrame, field: str, rule: Mapping, untouched: bool) -> Column:
+    """Whether a rule finds its field in a row of its source."""
+    only, text = _only_for(rule), _field_text(df, field, untouched)
+    present = F.col(f"`{field}`").isNotNull() if text is None else F.col(f"`{field}`").isNotNull() | text.isNotNull()
+    return present if only is None else F.coalesce(only, F.lit(False)) & present
+
+
 def _apply(df: DataFrame, field: str, rule: Mapping, untouched: bool,
            on_missing: str) -> tuple[DataFrame, bool]:
     """One rule; the flag says whether the field's values may have changed."""

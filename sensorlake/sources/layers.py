@@ -114,14 +114,6 @@ def available_datasets(spark: SparkSession, paths: Mapping[str, str]) -> list[st
     return found
 
 
-def write_silver(df: DataFrame, path: str, batch_id: int) -> None:
-    """One micro-batch of enriched readings, in a directory of its own, so that a repeated batch
-    replaces itself. Errors are the stream's to see."""
-    (df.withColumn("enrichment_timestamp", F.current_timestamp())
-     .hint("rebalance", "ingestion_id")
-     .write.mode("overwrite").partitionBy("ingestion_id").parquet(f"{path}/batch_id={batch_id}"))
-
-
 # ---------------------------------------------------------------- retention
 
 def _oldest(df: DataFrame, layer: str, as_of: Column, devices: DataFrame | None) -> tuple[DataFrame, Column]:

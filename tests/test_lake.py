@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorlake.functions import overlay
+from sensorlake.operators.devices import registered_only
 from sensorlake.operators.normalize import rules_frame
 from sensorlake.plans.gold import threshold_alerts, windowed_average
 from sensorlake.plans.reprocess import reprocess
@@ -15,7 +16,8 @@ from sensorlake.sources.messages import build_bronze, extract_records, parse_mes
 from sensorlake.sources.sensor_csv import as_messages, read_sensor_csv, sensor_slice
 from sensorlake.storage import fresh_path, materialize, shared_dir
 from sensorlake.streaming.control import find_query, rate_source, read_table, start, stop, stream_progress, write_table
-from sensorlake.streaming.enrich import SilverWriter, enrichment_stream
+from sensorlake.sources.commits import CommittedTable
+from sensorlake.streaming.enrich import SilverWriter, batch_counts, enrich, enrichment_stream, value_rule_usage
 from sensorlake.streaming import latest
 from sensorlake.streaming.latest import list_state, newest_per_source, newest_rows
 
@@ -136,10 +138,9 @@ def test_streamed_lake_equals_reprocessed_lake(spark, raw):
     stream = ly.stream_bronze(spark, bronze, raw.schema, max_files=1)
     writer = SilverWriter(silver, lambda: devices)
     start(enrichment_stream(stream, rules, writer, arrival), "enrich-test", fresh_path(spark, "ck")).awaitTermination()
-    assert [b["received"] for b in writer.batches] and sum(b["received"] for b in writer.batches) == 60
-    assert sum(b["written"] for b in writer.batches) == 40 and len(writer.batches) == 3
+    assert batch_counts(writer.table(spark)).agg(F.count("*"), F.sum("received"), F.sum("written")).first()[:] == (3, 60, 40)
 
-    enriched = ly.stream_layer(spark, silver, spark.read.parquet(silver).schema)
+    enriched = writer.table(spark).stream(ENRICHED)
     averages = windowed_average(enriched, window="10 minutes", watermark=None)
     start(write_table(averages, gold, "complete"), "gold-test", fresh_path(spark, "ck")).awaitTermination()
     start(write_table(threshold_alerts(enriched, watermark=None), alerts, "complete"), "alerts-test",
@@ -159,17 +160,71 @@ def test_nothing_registered_writes_nothing(spark, raw):
     writer = SilverWriter(silver, lambda: nobody)
     stream = ly.stream_bronze(spark, bronze, raw.schema)
     start(enrichment_stream(stream, {"temp": "temperature"}, writer), "nobody", fresh_path(spark, "ck")).awaitTermination()
-    assert [b["written"] for b in writer.batches] == [0]
+    assert [b.written for b in batch_counts(writer.table(spark)).collect()] == [0]
+    assert writer.table(spark).read(ENRICHED).count() == 0
 
 
-def test_a_repeated_batch_replaces_itself(spark, raw):
-    path = fresh_path(spark, "silver")
-    from sensorlake.streaming.enrich import enrich
+def test_a_repeated_batch_counts_once(spark, raw):
+    batch = enrich(raw, rules_frame(spark, RULES))
+    table = CommittedTable(spark, fresh_path(spark, "silver"))
+    assert table.read(ENRICHED).count() == 0 and table.compact() == 0
+    assert table.write(batch, 0, lambda: {"n": 60}) and not table.write(batch, 0, lambda: {"n": 61})
+    assert table.read(ENRICHED).count() == 60 and [r.n for r in table.counts().collect()] == [60]
+    # entered but not yet moved when the writer died: the next attempt publishes the first one's rows
+    batch.write.partitionBy("ingestion_id").parquet(f"{table.path}/_staged/1-lost")
+    table._enter("1", kind="batch", batch_id=1, last_id=1, folder="_staged/1-lost", counts={})
+    assert table.read(ENRICHED).count() == 60
+    assert not table.write(batch.limit(7), 1) and table.read(ENRICHED).count() == 120
+
+
+def test_small_files_are_packed_under_a_running_stream(spark, raw):
+    table = CommittedTable(spark, fresh_path(spark, "silver"))
+    batch = enrich(raw, rules_frame(spark, RULES))
+    path, checkpoint = fresh_path(spark, "copy"), fresh_path(spark, "ck")
+
+    def follow():
+        start(write_table(table.stream(ENRICHED), path), "follow", checkpoint).awaitTermination()
+
+    for i in range(4):
+        batch.repartition(8).write.partitionBy("ingestion_id").parquet(f"{table.path}/_staged/{i}")
+        table._enter(str(i), kind="batch", batch_id=i, last_id=i, folder=f"_staged/{i}", counts={})
+        table._publish(i)
+    follow()
+    before = facts(table.read(ENRICHED), "ingestion_id", "timestamp", "sensor_data")
+    bytes_of = {r[0]: r[1] for r in table.read(ENRICHED).select("ingestion_id", F.input_file_name().alias("f")).distinct()
+                .groupBy("ingestion_id").count().collect()}
+    assert max(bytes_of.values()) > 8
+    assert table.compact(file_bytes=60_000) == 4 and table.compact() == 0
+    assert facts(table.read(ENRICHED), "ingestion_id", "timestamp", "sensor_data") == before
+    files = table.read(ENRICHED).select("ingestion_id", F.input_file_name().alias("f")).distinct().groupBy("ingestion_id").count().collect()
+    assert all(1 <= r["count"] < 8 for r in files)
+    table.write(batch, 4)
+    follow()
+    assert table.read(ENRICHED).count() == 300 and spark.read.parquet(path).count() == 300
+
+
+def test_value_rules_are_counted_by_the_write(spark, raw):
+    rules = [{"id": 7, "field_name": "temperature", "transformation_type": "filter", "order_priority": 1,
+              "config": {"operator": ">", "value": 20}},
+             {"id": 8, "field_name": "temperature", "transformation_type": "convert", "order_priority": 2, "ingestion_id": "s1",
+              "config": {"operation": "mathematical", "math_operation": "multiply", "operand": 2}},
+             {"id": 9, "field_name": "nothing", "transformation_type": "filter", "order_priority": 3, "ingestion_id": "s9",
+              "config": {"operator": ">", "value": 0}}]
+    writer = SilverWriter(fresh_path(spark, "silver"), lambda: None, lambda: rules)
     batch = enrich(raw, rules_frame(spark, RULES))
-    writer = SilverWriter(path, lambda: None)
-    writer(batch, 0)
     writer(batch, 0)
-    assert spark.read.parquet(path).count() == 60
+    writer(batch, 1)
+    temperature = F.col("normalized_data")["temperature"]
+    have, hot = batch.where(temperature.isNotNull()).count(), batch.where((temperature > 20) & (F.col("ingestion_id") == "s1")).count()
+    usage = {r.rule_id: (r.applied_count, r.batches, r.last_batch) for r in value_rule_usage(writer.table(spark)).collect()}
+    assert usage == {7: (2 * have, 2, 1), 8: (2 * hot, 2, 1)} and hot > 0
+
+
+def test_registered_sources_are_broadcast(spark, raw):
+    devices = spark.createDataFrame([("S0", True), ("s1", False)], "ingestion_id string, enabled boolean")
+    plan = registered_only(raw, devices)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(_device" not in plan
+    assert registered_only(raw, devices.unionAll(spark.createDataFrame([(None, True)], devices.schema))).count() == 60
 
 
 def _files(spark, path, rows, schema):
