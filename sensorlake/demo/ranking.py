@@ -82,6 +82,18 @@ def _(spark, sf):
     return rk.paginate(customers, [F.asc_nulls_first("c_acctbal"), F.asc("c_custkey")], page=3, size=40)
 
 
+@query("deep_page", """WITH o AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate, count(*) OVER () AS total_items,
+    row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1 AS place FROM lineitem)
+  SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate, total_items FROM o
+  WHERE place >= total_items * 9 // 10 // 50 * 50 AND place < total_items * 9 // 10 // 50 * 50 + 50""")
+def _(spark, sf):
+    # the page at nine tenths of the table
+    order = [F.desc("l_extendedprice"), *[F.asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")]]
+    columns = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity"]
+    pages = rk.Pages(v.table(spark, sf, "lineitem").select(*columns), order, part_rows=20_000)
+    return pages.page(pages.total * 9 // 10 // 50 + 1, 50).select(*columns[:4], "total_items")
+
+
 @query("tile_examples", """SELECT t AS tile_type, coalesce((SELECT min(p_partkey) FROM part WHERE CASE WHEN p_brand IN ('Brand#1', 'Brand#7', 'Brand#99') THEN p_brand ELSE 'Brand#1' END = t),
   (SELECT min(p_partkey) FROM part)) AS computation_id FROM (VALUES ('Brand#1'), ('Brand#7'), ('Brand#99')) v(t)""")
 def _(spark, sf):

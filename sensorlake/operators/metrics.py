@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import materialize
+
 # Histogram bounds in seconds.
 PIPELINE_BOUNDS = (1, 2, 5, 10, 20, 30, 60, 120, 300, 600, 1800, 3600)
 STAGE_BOUNDS = (0.1, 0.5, 1, 2, 5, 10, 30, 60, 120, 300)
@@ -63,47 +65,107 @@ def latency_histogram(df: DataFrame, seconds: Column, bounds: Iterable[float] =
     return counts.select(*keys, F.explode(buckets).alias("_b")).select(*keys, "_b.le", "_b.n")
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: Mapping[str, float],
-                      keys: Iterable[str] = (), accuracy: int = 1000) -> DataFrame:
-    """Interpolated percentiles, exact, without bringing a group's values together.
-
-    ``percentile`` keeps every distinct value of a group in one buffer. Here a sketch first cuts
-    the value range around each wanted rank; counting values between cuts tells in which segment
-    each rank lies, and only those short segments are ranked. The sketch decides how short they
-    are, never the answer: whichever segment holds a rank is the one that is searched.
+#: groups up to which their bounds pass through the driver to every task; more are written and joined by a shuffle
+BROADCAST_GROUPS = 10_000
+#: distinct values of a segment that one task may rank
+SEGMENT = 200_000
+
+
+def _settled(df: DataFrame, name: str) -> tuple[DataFrame, int | None]:
+    """The rows once and for all; if they are few, broadcast and counted."""
+    rows = df.limit(BROADCAST_GROUPS + 1).toArrow()
+    if rows.num_rows <= BROADCAST_GROUPS:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows.num_rows
+    return materialize(df, name), None
+
+
+def _bounds(rows: DataFrame, groups: list[str], shares: list[float], accuracy: int) -> DataFrame:
+    """(groups, n, t0, t1, ...): rows of a group and, per share, struct(pos, low, high): a rank and values around it, null where
+    a sketch knows none."""
+    points = sorted({min(max(p + d, 0.0), 1.0) for p in shares for d in (-2.0 / accuracy, 2.0 / accuracy)})
+
+    def target(p: float) -> Column:
+        low = max((i for i, x in enumerate(points) if x <= p - 1.0 / accuracy), default=None)
+        high = min((i for i, x in enumerate(points) if x >= p + 1.0 / accuracy), default=None)
+        low, high = (F.lit(None).cast("double") if i is None else F.col("_cuts")[i] for i in (low, high))
+        return F.struct((F.lit(p) * (F.col("n") - 1)).alias("pos"), low.alias("low"), high.alias("high"))
+
+    cuts = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.percentile_approx("_v", points, accuracy).alias("_cuts"))
+    return cuts.select(*groups, "n", *[target(p).alias(f"t{i}") for i, p in enumerate(shares)])
+
+
+def _within(target: str) -> Column:
+    low, high = F.col(f"{target}.low"), F.col(f"{target}.high")
+    return (low.isNull() | (F.col("_v") >= low)) & (high.isNull() | (F.col("_v") <= high))
+
+
+def _counted(bounds: DataFrame, rows: DataFrame, groups: list[str], ts: list[str]) -> DataFrame:
+    """Targets with the rows below and between their bounds; bounds that miss their rank are given up."""
+    counts = rows.join(bounds, groups).groupBy(*groups).agg(*[c for t in ts for c in (
+        F.count_if(F.col("_v") < F.col(f"{t}.low")).alias(f"{t}_below"), F.count_if(_within(t)).alias(f"{t}_inside"))])
+    state, none = bounds.join(counts, groups), F.lit(None).cast("double")
+    for t in ts:
+        pos, below, inside = F.col(f"{t}.pos"), F.col(f"{t}_below"), F.col(f"{t}_inside")
+        caught = (below <= F.floor(pos)) & (F.ceil(pos) < below + inside)
+        state = state.withColumn(t, F.struct(
+            pos.alias("pos"), *[F.when(caught, F.col(f"{t}.{c}")).otherwise(none).alias(c) for c in ("low", "high")],
+            F.when(caught, below).otherwise(0).alias("below"), F.when(caught, inside).otherwise(F.col("n")).alias("inside")))
+    return state.select(*groups, *ts)
+
+
+def _narrowed(values: DataFrame, wanted: DataFrame, groups: list[str], segment: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct values with their counts, cut into cells of equally many until the cells that hold a rank are small."""
+    grid = [i / 64 for i in range(65)]
+    before = W.partitionBy(*groups).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    while True:
+        values = materialize(values, "percentile-values")
+        if (values.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0) <= segment:
+            return values, wanted
+        cuts = values.groupBy(*groups).agg(F.percentile_approx("_v", grid, 1000).alias("_cuts"))
+        cells = values.join(cuts, groups).withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+        sizes = cells.groupBy(*groups, "_cell").agg(F.sum("_c").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        kept = sizes.join(wanted, groups).where((F.floor("_pos") < F.col("_start") + F.col("_n")) & (F.ceil("_pos") >= F.col("_start")))
+        first = kept.groupBy(*groups).agg(F.min("_start").alias("_from"), F.max("_pos").alias("_pos"))
+        values = cells.join(kept.select(*groups, "_cell"), [*groups, "_cell"], "left_semi").drop("_cell")
+        wanted = materialize(first.select(*groups, (F.col("_pos") - F.col("_from")).alias("_pos")), "percentile-ranks")
+
+
+def exact_percentiles(df: DataFrame, value: str, shares: Mapping[str, float], keys: Iterable[str] = (),
+                      accuracy: int = 1000, segment: int = SEGMENT) -> DataFrame:
+    """Interpolated percentiles, exact, by distributed selection.
+
+    A sketch gives values around every wanted rank; the rows below and between them are counted where they are, and only
+    those between are shuffled, as distinct values with their counts. Segments of more than ``segment``
+    distinct values are narrowed by further pivots before they are ranked. A rank that the sketch missed takes its whole group
+    along, so the sketch never decides the answer.
     """
     keys, names = list(keys), list(shares)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    margin = 2.0 / accuracy
-    points = sorted({min(max(p + d, 0.0), 1.0) for p in shares.values() for d in (-margin, margin)})
-    cuts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", points, accuracy).alias("_cuts"))
-    cut = rows.join(cuts, keys) if keys else rows.withColumns(
-        {"_cuts": cuts.select("_cuts").scalar(), "_n": cuts.select("_n").scalar()})
-    segment = sum((F.when(F.col("_v") > F.col("_cuts")[i], 1).otherwise(0) for i in range(len(points))), F.lit(0))
-    cut = cut.select(*keys, "_v", "_n", segment.alias("_segment"))
-
-    # at most one row per cut and group from here on
-    sizes = cut.groupBy(*keys, "_segment").agg(F.count("*").alias("_size"), F.max("_n").alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), (F.lit(shares[n]) * (F.col("_n") - 1)).alias("pos"))
-                       for n in names])
-    ranks = sizes.select(*keys, "_segment", "_start", "_size", F.explode(wanted).alias("_w")) \
-        .select(*keys, "_segment", "_start", "_size", "_w.name", "_w.pos",
-                F.explode(F.array_distinct(F.array(F.floor("_w.pos"), F.ceil("_w.pos")))).alias("_rank")) \
-        .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_size")))
-
-    searched = ranks.select(*keys, "_segment", "_start").distinct()
-    upto = W.partitionBy(*keys, "_segment").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    values = cut.join(searched, [*keys, "_segment"]).groupBy(*keys, "_segment", "_start", "_v").agg(
-        F.count("*").alias("_c")).withColumn("_last", F.col("_start") + F.sum("_c").over(upto) - 1) \
-        .withColumn("_first", F.col("_last") - F.col("_c") + 1).drop("_start")
-    hits = values.join(ranks, [*keys, "_segment"]).where("_rank between _first and _last")
-    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
-    share = F.max("pos") - F.floor(F.max("pos"))
-    by_name = hits.groupBy(*keys, "name").agg((low + (high - low) * share).alias("_p"))
-    columns = [F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in names]
-    return by_name.groupBy(*keys).agg(*columns)
+    groups = keys or ["_all"]
+    rows = df.select(*(keys or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    ts = [f"t{i}" for i in range(len(names))]
+    bounds, _ = _settled(_bounds(rows, groups, list(shares.values()), accuracy), "percentile-bounds")
+    state, few = _settled(_counted(bounds, rows, groups, ts), "percentile-state")
+    largest = state.select(F.greatest(*[F.col(f"{t}.inside") for t in ts], F.lit(0)).alias("n")).agg(F.max("n")).first()[0] or 0
+    hits = F.filter(F.array(*[F.when(_within(t), F.lit(i)) for i, t in enumerate(ts)]), lambda i: i.isNotNull())
+    values = (rows.join(state, groups).select(*groups, "_v", F.explode(hits).alias("_t"))
+              .groupBy(*groups, "_t", "_v").agg(F.count("*").alias("_c")))
+    ranks = F.array(*[F.struct(F.lit(i).alias("_t"), (F.col(f"{t}.pos") - F.col(f"{t}.below")).alias("_pos")) for i, t in enumerate(ts)])
+    wanted = state.select(*groups, F.explode(ranks).alias("_w")).select(*groups, "_w.*")
+    own = [*groups, "_t"]
+    if largest > segment:
+        values, wanted = _narrowed(values, wanted, own, segment)
+
+    upto = W.partitionBy(*own).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = values.withColumn("_next", F.sum("_c").over(upto)).join(F.broadcast(wanted) if few else wanted, own)
+
+    def holds(rank: Column) -> Column:
+        return F.when((F.col("_next") - F.col("_c") <= rank) & (rank < F.col("_next")), F.col("_v"))
+
+    low, high = F.max(holds(F.floor("_pos"))), F.max(holds(F.ceil("_pos")))
+    share = F.max("_pos") - F.floor(F.max("_pos"))
+    by_target = ranked.groupBy(*own).agg((low + (high - low) * share).alias("_p"))
+    columns = [F.max(F.when(F.col("_t") == i, F.col("_p"))).alias(n) for i, n in enumerate(names)]
+    return by_target.groupBy(*keys).agg(*columns)
 
 
 def latency_percentiles(df: DataFrame, seconds: Column, keys: Iterable[str] = ()) -> DataFrame:

@@ -1,11 +1,15 @@
 """Newest rows per source, recent windows, pages."""
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..storage import fresh_path
+
 # Above this size Spark no longer trims groups inside each task before the shuffle.
 _TRIMMED_IN_TASKS = 1000
 _SALTS = 64
@@ -79,6 +83,45 @@ def paginate(df: DataFrame, order: Iterable[Column], page: int = 1, size: int =
     return df.orderBy(*order).offset((page - 1) * size).limit(size).withColumn("total_items", total)
 
 
+class Pages:
+    """A table sorted once, for pages at any depth.
+
+    Rows are dealt into ranges of about ``part_rows`` in the order and counted per range, so that a page reads
+    only the ranges it lies in, whatever comes before it. Give an order without ties: rows that it can't tell apart
+    share a range.
+    """
+
+    def __init__(self, df: DataFrame, order: Iterable[Column], part_rows: int = 100_000):
+        self._order, self._spark = list(order), df.sparkSession
+        self.path = fresh_path(self._spark, "pages")
+        parts = max(1, math.ceil(df.count() / part_rows))
+        df.repartitionByRange(parts, *self._order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(self.path)
+        self._schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])
+        counts = self._table().groupBy("_part").count().collect()
+        self._counts = sorted((r["_part"], r["count"]) for r in counts)
+        self.total = sum(n for _, n in self._counts)
+
+    def _table(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(self.path)
+
+    def parts(self, page: int, size: int) -> tuple[list[int], int]:
+        """The ranges that a page lies in, and how many of their rows come before it."""
+        start, end = (page - 1) * size, page * size
+        chosen, before, seen = [], 0, 0
+        for part, n in self._counts:
+            if seen < end and start < seen + n:
+                before = start - seen if not chosen else before
+                chosen.append(part)
+            seen += n
+        return chosen, before
+
+    def page(self, page: int = 1, size: int = 100) -> DataFrame:
+        """One page (counted from 1) with the total, over all pages, as a column."""
+        chosen, before = self.parts(page, size)
+        rows = self._table().where(F.col("_part").isin(chosen)).drop("_part")
+        return rows.orderBy(*self._order).offset(before).limit(size).withColumn("total_items", F.lit(self.total).cast("long"))
+
+
 def first_per_type(computations: DataFrame, types: Iterable[str], fallback_type: str = "table") -> DataFrame:
     """For each tile type the first computation (``id, tile_type``) recommended for it, else the
     first of all; unknown types count as ``fallback_type``."""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorlake.operators import graph as gr
+from sensorlake.operators import metrics, rank
 from sensorlake.operators.metrics import exact_percentiles, latency_histogram
 from sensorlake.operators.ontology import (canonical_fields, read_classes, read_properties, unrecognized_fields,
                                            valid_sensor_types)
@@ -40,6 +41,39 @@ def test_percentiles_are_exact_under_skew(spark, accuracy):
     assert whole.p95 == pytest.approx(by_hand([v for _, v in data], 0.95), abs=1e-12)
 
 
+@pytest.mark.parametrize("groups", [2, 10_000])
+def test_percentiles_narrow_until_a_segment_is_small(spark, groups, monkeypatch):
+    monkeypatch.setattr(metrics, "BROADCAST_GROUPS", groups)
+    rng = random.Random(8)
+    data = [("a", float(rng.randint(0, 10 ** 6))) for _ in range(20_000)] + [("b", 1.0)] * 50 + [("c", None), ("d", float("nan")), ("d", 2.0)] \
+        + [("e", rng.choice([0.25, -7.5])) for _ in range(900)]
+    df = spark.createDataFrame(data, "k string, v double")
+    shares = {"p50": 0.5, "p999": 0.999}
+    got = {r.k: r for r in exact_percentiles(df, "v", shares, ["k"], accuracy=20, segment=100).collect()}
+    assert set(got) == {"a", "b", "d", "e"}
+    for key in "abe":
+        mine = [v for k, v in data if k == key]
+        assert got[key].p50 == pytest.approx(by_hand(mine, 0.5)) and got[key].p999 == pytest.approx(by_hand(mine, 0.999))
+
+
+def test_percentiles_shuffle_no_rows(spark):
+    df = spark.range(300_000).select((F.col("id") % 3).alias("k"), F.rand(1).alias("v"))
+    plan = exact_percentiles(df, "v", {"p50": 0.5}, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_deep_pages_read_their_ranges_only(spark):
+    df = spark.range(1000).select(F.col("id").alias("x"), (F.col("id") % 7).cast("int").alias("y"))
+    pages = rank.Pages(df, [F.desc("y"), F.asc("x")], part_rows=100)
+    want = sorted(((i, i % 7) for i in range(1000)), key=lambda r: (-r[1], r[0]))
+    for page, size in ((1, 10), (91, 10), (10, 99), (2, 999), (500, 10)):
+        got = [tuple(r) for r in pages.page(page, size).collect()]
+        assert got == [(*r, 1000) for r in want[(page - 1) * size:page * size]]
+    chosen, before = pages.parts(91, 10)
+    assert len(chosen) <= 2 and before < 300
+    assert "_part" in str(pages.page(91, 10)._jdf.queryExecution().executedPlan()).split("PartitionFilters")[1][:60]
+
+
 def test_histogram_is_cumulative(spark):
     df = spark.createDataFrame([(0.5,), (1.0,), (4.0,), (None,), (9999.0,)], "s double")
     rows = {r.le: r.n for r in latency_histogram(df, F.col("s"), (1, 5)).collect()}
