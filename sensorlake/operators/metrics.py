@@ -71,11 +71,11 @@ BROADCAST_GROUPS = 10_000
 SEGMENT = 200_000
 
 
-def _settled(df: DataFrame, name: str) -> tuple[DataFrame, int | None]:
-    """The rows once and for all; if they are few, broadcast and counted."""
+def _settled(df: DataFrame, name: str) -> tuple[DataFrame, list[dict] | None]:
+    """The rows once and for all, to be broadcast if they are few; then they come along as a list."""
     rows = df.limit(BROADCAST_GROUPS + 1).toArrow()
     if rows.num_rows <= BROADCAST_GROUPS:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows.num_rows
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows.to_pylist()
     return materialize(df, name), None
 
 
@@ -131,21 +131,26 @@ def _narrowed(values: DataFrame, wanted: DataFrame, groups: list[str], segment:
 
 
 def exact_percentiles(df: DataFrame, value: str, shares: Mapping[str, float], keys: Iterable[str] = (),
-                      accuracy: int = 1000, segment: int = SEGMENT) -> DataFrame:
+                      accuracy: int = 1000, segment: int = SEGMENT, costly: bool = False) -> DataFrame:
     """Interpolated percentiles, exact, by distributed selection.
 
     A sketch gives values around every wanted rank; the rows below and between them are counted where they are, and only
     those between are shuffled, as distinct values with their counts. Segments of more than ``segment``
     distinct values are narrowed by further pivots before they are ranked. A rank that the sketch missed takes its whole group
-    along, so the sketch never decides the answer.
+    along, so the sketch never decides the answer. The input is read three times; a ``costly`` one is read once and its keys and
+    values written down.
     """
     keys, names = list(keys), list(shares)
     groups = keys or ["_all"]
     rows = df.select(*(keys or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    rows = materialize(rows, "percentile-input") if costly else rows
     ts = [f"t{i}" for i in range(len(names))]
     bounds, _ = _settled(_bounds(rows, groups, list(shares.values()), accuracy), "percentile-bounds")
     state, few = _settled(_counted(bounds, rows, groups, ts), "percentile-state")
-    largest = state.select(F.greatest(*[F.col(f"{t}.inside") for t in ts], F.lit(0)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if few is None:
+        largest = state.select(F.greatest(*[F.col(f"{t}.inside") for t in ts], F.lit(0)).alias("n")).agg(F.max("n")).first()[0] or 0
+    else:
+        largest = max((r[t]["inside"] for r in few for t in ts), default=0)
     hits = F.filter(F.array(*[F.when(_within(t), F.lit(i)) for i, t in enumerate(ts)]), lambda i: i.isNotNull())
     values = (rows.join(state, groups).select(*groups, "_v", F.explode(hits).alias("_t"))
               .groupBy(*groups, "_t", "_v").agg(F.count("*").alias("_c")))
@@ -156,7 +161,7 @@ def exact_percentiles(df: DataFrame, value: str, shares: Mapping[str, float], ke
         values, wanted = _narrowed(values, wanted, own, segment)
 
     upto = W.partitionBy(*own).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = values.withColumn("_next", F.sum("_c").over(upto)).join(F.broadcast(wanted) if few else wanted, own)
+    ranked = values.withColumn("_next", F.sum("_c").over(upto)).join(wanted if few is None else F.broadcast(wanted), own)
 
     def holds(rank: Column) -> Column:
         return F.when((F.col("_next") - F.col("_c") <= rank) & (rank < F.col("_next")), F.col("_v"))
@@ -172,7 +177,7 @@ def latency_percentiles(df: DataFrame, seconds: Column, keys: Iterable[str] = ()
     """p50, p95 and p99 of a latency."""
     keys = list(keys)
     return exact_percentiles(df.select(*keys, seconds.alias("_seconds")), "_seconds",
-                             {"p50": 0.5, "p95": 0.95, "p99": 0.99}, keys)
+                             {"p50": 0.5, "p95": 0.95, "p99": 0.99}, keys, costly=True)
 
 
 def gold_latency(gold: DataFrame, as_of: Column, last: int = 5) -> DataFrame:
