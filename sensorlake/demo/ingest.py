@@ -125,6 +125,31 @@ def _(spark, sf):
         .select("event_id", "ingestion_id")
 
 
+@query("retention_enforced", f"""WITH {v.BRONZE}, {v.DEVICES_SQL}, a AS (SELECT CAST(max(ts) AS DATE) AS today FROM events)
+  SELECT ev.ingestion_id, CAST(ts AS DATE) AS date, CAST(count(*) AS BIGINT) AS readings
+  FROM ev LEFT JOIN devices d ON lower(trim(d.ingestion_id)) = ev.ingestion_id, a
+  WHERE CAST(ts AS DATE) >= today - coalesce(retention_days, 7) GROUP BY ALL""")
+def _(spark, sf):
+    # day folders of the bronze table are dropped; what is left is counted
+    path = fresh_path(spark, "bronze")
+    ly.write_bronze(v.bronze(spark, sf).drop("event_id"), path, partitions=("ingestion_id", "date"))
+    ly.enforce_retention(spark, path, "bronze", last_time(spark, sf), v.devices(spark))
+    return spark.read.parquet(path).groupBy("ingestion_id", "date").agg(F.count("*").alias("readings"))
+
+
+@query("retention_rewritten", f"""WITH {v.BRONZE}, {v.DEVICES_SQL}, a AS (SELECT CAST(max(ts) AS DATE) AS today FROM events)
+  SELECT ev.ingestion_id, CAST(count(*) AS BIGINT) AS readings, min(ts) AS oldest
+  FROM ev LEFT JOIN devices d ON lower(trim(d.ingestion_id)) = ev.ingestion_id, a
+  WHERE CAST(ts AS DATE) >= today - coalesce(retention_days, 7) GROUP BY ALL""")
+def _(spark, sf):
+    # sources without day folders: only those with expired readings are written again
+    path = fresh_path(spark, "bronze")
+    v.bronze(spark, sf).select("ingestion_id", F.col("timestamp").cast("timestamp").alias("timestamp")) \
+        .write.partitionBy("ingestion_id").parquet(path)
+    ly.rewrite_retention(spark.read.parquet(path), path, "bronze", last_time(spark, sf), devices=v.devices(spark))
+    return v.ntz(spark.read.parquet(path).groupBy("ingestion_id").agg(F.count("*").alias("readings"), F.min("timestamp").alias("oldest")))
+
+
 @query("retention_text_times", """WITH t AS (SELECT event_id, ts, (SELECT CAST(max(ts) AS DATE) FROM events) AS today FROM events)
   SELECT event_id FROM t WHERE event_id % 4 = 3 OR CAST(ts AS DATE) >= today - 7""")
 def _(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..operators import rank as rk
 from ..plans.gold import threshold_alerts, windowed_average
 from ..plans.reprocess import reprocess
-from ..streaming.control import read_table, start, stream_progress, write_table
+from ..streaming.control import ProgressTable, read_table, start, stream_progress, write_table
 from ..sources.layers import bronze_columns, stream_bronze, stream_layer, write_bronze
 from ..schema import ENRICHED
 from ..streaming.enrich import SilverWriter, batch_counts, enrichment_stream, value_rule_usage
@@ -184,6 +184,19 @@ def _(spark, sf):
     return stream_progress([_run(spark, write_table(counts, path, "complete"), "progress")])
 
 
+@query("stream_progress_log", "SELECT CAST(6 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS input_rows FROM events")
+def _(spark, sf):
+    # a listener writes what each batch of a query over six files says
+    path = fresh_path(spark, "arrivals")
+    events = v.table(spark, sf, "events").select("event_id", "event_type")
+    events.repartition(6).write.parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with ProgressTable(spark, fresh_path(spark, "progress"), every=4) as progress:
+        counts = stream.groupBy("event_type").count()
+        progress.wait(_run(spark, write_table(counts, fresh_path(spark, "counts"), "complete"), "progress"))
+    return progress.read().agg(F.count("*").alias("batches"), F.sum("input_rows").alias("input_rows"))
+
+
 @query("reprocess", f"""WITH {v.ENRICHED}, {v.DEVICES_SQL}, ok AS (SELECT * FROM en WHERE lower(trim(ingestion_id)) IN
     (SELECT lower(trim(ingestion_id)) FROM devices WHERE enabled AND ingestion_id <> 'unknown')),
   t AS (SELECT *, CASE WHEN temperature * 2 <= 400 THEN temperature * 2 END AS t2 FROM ok)

@@ -1,6 +1,7 @@
 """Reading and writing the lake: bronze partitions, silver and gold tables, retention."""
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +12,11 @@ from ..functions import normalize_event_time, parse_timestamp
 from ..operators.quality import readings_long
 from ..plans.compute import check_dataset
 from ..schema import LAYERS, check_stream_schema, empty_frame
+from .commits import Folder
 
 # Stream pacing and days kept per layer.
 MAX_FILES_PER_TRIGGER = 500
-FLUSH_INTERVAL = "10 seconds"
-RETENTION_DAYS = {"bronze": 7, "silver": 30, "gold": 90}
+RETENTION_DAYS = {"bronze": 7, "silver": 30, "gold": 90, "quality": 30}
 PARTITIONS = ("ingestion_id", "date", "hour")
 
 
@@ -151,3 +152,55 @@ def expired_partitions(df: DataFrame, layer: str, as_of: Column, time: str = "da
     rows, oldest = _oldest(df, layer, as_of, devices)
     day = _day(df, time)
     return rows.where(day < oldest).select("ingestion_id", day.alias("date")).distinct()
+
+
+def partition_folders(spark: SparkSession, base: str, levels: Sequence[str] = ("ingestion_id", "date")) -> list[tuple]:
+    """(value of each level, folder) of the folders ``a=x/b=y`` below a table: names only, no file is opened."""
+    folder, found = Folder(spark, base), [((), "")]
+    for level in levels:
+        found = [((*values, unquote(name.partition("=")[2])), f"{path}/{name}".lstrip("/"))
+                 for values, path in found for name in folder.names(path) if name.startswith(f"{level}=")]
+    return [(*(None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in values), path) for values, path in found]
+
+
+def enforce_retention(spark: SparkSession, base: str, layer: str, as_of: Column, devices: DataFrame | None = None,
+                      levels: Sequence[str] = ("ingestion_id", "date")) -> DataFrame:
+    """Drops the expired day folders of a table that is partitioned by ``levels``, the last of which is ``date``.
+
+    A day is dropped or kept as a whole, so no file is read or rewritten. Returns what was dropped: (levels, folder).
+    Folders whose day does not parse stay.
+    """
+    schema = ", ".join(f"{c} string" for c in (*levels, "folder"))
+    folders = spark.createDataFrame(partition_folders(spark, base, levels), schema)
+    days = folders.withColumn("_day", F.col("date").try_cast("date"))
+    if "ingestion_id" not in levels:
+        days = days.withColumn("ingestion_id", F.lit(None).cast("string"))
+    rows, oldest = _oldest(days, layer, as_of, devices)
+    gone = rows.where(F.col("_day") < oldest).select(*levels, "folder").collect()
+    folder = Folder(spark, base)
+    for r in gone:
+        folder.drop(r.folder)
+    return spark.createDataFrame(gone, schema)
+
+
+def rewrite_retention(df: DataFrame, base: str, layer: str, as_of: Column, time: str = "timestamp",
+                      devices: DataFrame | None = None) -> list[str]:
+    """Takes expired rows out of a table partitioned by ``ingestion_id`` only; ``df`` is its rows.
+
+    Only sources that have expired rows are read again and replaced, by dynamic overwrite; one with nothing left loses
+    its folder; rows without a source stay. Returns the sources that changed.
+    """
+    spark = df.sparkSession
+    rows, oldest = _oldest(df, layer, as_of, devices)
+    gone = _day(df, time) < oldest
+    touched = rows.groupBy("ingestion_id").agg(F.count_if(gone).alias("gone"), F.count("*").alias("n")).where("gone > 0 and ingestion_id is not null").collect()
+    partly = [r.ingestion_id for r in touched if r.gone < r.n]
+    if partly:
+        kept = apply_retention(df.where(F.col("ingestion_id").isin(partly)), layer, as_of, time, devices)
+        (kept.select(*df.columns).hint("rebalance", "ingestion_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("ingestion_id").parquet(base))
+    empty = {r.ingestion_id for r in touched if r.gone == r.n}
+    for source, path in partition_folders(spark, base, ("ingestion_id",)):
+        if source in empty:
+            Folder(spark, base).drop(path)
+    return sorted([*partly, *empty], key=str)

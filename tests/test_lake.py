@@ -15,7 +15,7 @@ from sensorlake.sources import layers as ly
 from sensorlake.sources.messages import build_bronze, extract_records, parse_messages, payload_columns
 from sensorlake.sources.sensor_csv import as_messages, read_sensor_csv, sensor_slice
 from sensorlake.storage import fresh_path, materialize, shared_dir
-from sensorlake.streaming.control import find_query, rate_source, read_table, start, stop, stream_progress, write_table
+from sensorlake.streaming.control import ProgressTable, find_query, rate_source, read_table, start, stop, stream_progress, write_table
 from sensorlake.sources.commits import CommittedTable
 from sensorlake.streaming.enrich import SilverWriter, batch_counts, enrich, enrichment_stream, value_rule_usage
 from sensorlake.streaming import latest
@@ -74,6 +74,52 @@ def test_retention(spark):
     assert sorted((r.ingestion_id, r.timestamp is None) for r in kept.collect()) == [("a", True), ("b", False), ("c", False)]
 
 
+def test_retention_drops_folders_and_rewrites_touched_sources_only(spark):
+    path, flat = fresh_path(spark, "bronze"), fresh_path(spark, "flat")
+    rows = [("a/b c", "2024-05-01", 1), ("a/b c", "2024-05-09", 2), ("keeps", "2024-05-01", 3), ("new", "2024-05-10", 4), ("old", "2024-04-01", 5),
+            (None, "2024-05-01", 6), ("a/b c", None, 7)]
+    df = spark.createDataFrame(rows, "ingestion_id string, date string, x int")
+    devices = spark.createDataFrame([(" Keeps", 30)], "ingestion_id string, retention_days int")
+    now = F.lit("2024-05-10").cast("timestamp")
+    df.write.partitionBy("ingestion_id", "date").parquet(path)
+    gone = ly.enforce_retention(spark, path, "bronze", now, devices)
+    assert sorted((str(r.ingestion_id), r.date) for r in gone.collect()) == [("None", "2024-05-01"), ("a/b c", "2024-05-01"), ("old", "2024-04-01")]
+    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [2, 3, 4, 7]
+    assert ly.enforce_retention(spark, path, "bronze", now, devices).count() == 0
+
+    df.write.partitionBy("ingestion_id").parquet(flat)
+    def files(source):
+        found = spark.read.parquet(flat).where(F.col("ingestion_id") == source).select(F.input_file_name().alias("f")).distinct()
+        return {r.f for r in found.collect()}
+
+    before = {s: files(s) for s in ("a/b c", "keeps", "new")}
+    assert ly.rewrite_retention(spark.read.parquet(flat), flat, "bronze", now, "date", devices) == ["a/b c", "old"]
+    assert sorted(r.x for r in spark.read.parquet(flat).collect()) == [2, 3, 4, 6, 7]
+    assert files("keeps") == before["keeps"] and files("new") == before["new"] and files("a/b c") != before["a/b c"]
+
+    log = fresh_path(spark, "quality")
+    spark.createDataFrame([("2024-03-01", 1.0), ("2024-05-01", 2.0)], "date string, metric_value double").write.partitionBy("date").parquet(log)
+    assert [r.date for r in ly.enforce_retention(spark, log, "quality", now, levels=("date",)).collect()] == ["2024-03-01"]
+
+
+def test_every_update_of_a_query_is_kept(spark):
+    path = fresh_path(spark, "many")
+    spark.range(0, 110, 1, 110).write.parquet(path)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(path)
+    with ProgressTable(spark, fresh_path(spark, "progress"), every=25) as progress:
+        query = start(stream.writeStream.format("noop"), "many", fresh_path(spark, "ck"))
+        query.awaitTermination()
+        progress.wait(query)
+        failing = start(stream.select(F.raise_error(F.lit("oops"))).writeStream.format("noop"), "failing", fresh_path(spark, "ck"))
+        with pytest.raises(Exception, match="oops"):
+            failing.awaitTermination()
+        progress.wait(failing)
+    files = spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+    rows = progress.read().where(F.col("name") == "many")
+    assert rows.agg(F.count("*"), F.sum("input_rows"), F.count_distinct("batch_id")).first()[:] == (files, 110, files) and files > 100
+    assert "oops" in progress.read().where("error is not null").collect()[0].error
+
+
 def test_messages(spark):
     twice = parse_messages(spark.createDataFrame([('{"a": 1, "b": 2, "a": 3}',)], "value string"))
     assert twice.select(overlay(F.col("data"), F.create_map(F.lit("b"), F.lit("4"))).alias("m")).collect()[0].m == {"a": "3", "b": "4"}
