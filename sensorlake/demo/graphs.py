@@ -139,6 +139,74 @@ def _(spark, sf):
     return gr.delete_address_links(found, links, cut)[1]
 
 
+_PLACED = """r AS (
+    SELECT 'o' || o_orderkey AS sensor_id, o_orderpriority AS sensor_type, c_name AS building, n_name AS street, 'city ' || n_regionkey AS city, 'TPC' AS country
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT 's' || s_suppkey, NULL, CASE WHEN s_acctbal > 0 THEN s_name END, s_name, 'city ' || s_nationkey, CASE WHEN s_nationkey > 5 THEN 'TPC' END FROM supplier),
+  whole AS (SELECT * FROM r WHERE building IS NOT NULL AND street IS NOT NULL AND city IS NOT NULL AND country IS NOT NULL)"""
+
+
+def _registrations(spark, sf):
+    """Every order as a sensor of its customer's building, and a new sensor for each supplier, some without a whole place."""
+    orders, customer, nation, supplier = (v.table(spark, sf, t) for t in ("orders", "customer", "nation", "supplier"))
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    known = placed.select(_id("o", "o_orderkey").alias("sensor_id"), F.col("o_orderpriority").alias("sensor_type"), F.col("c_name").alias("building"),
+                          F.col("n_name").alias("street"), _id("city ", "n_regionkey").alias("city"), F.lit("TPC").alias("country"))
+    return known.unionByName(supplier.select(
+        _id("s", "s_suppkey").alias("sensor_id"), F.lit(None).cast("string").alias("sensor_type"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("building"),
+        F.col("s_name").alias("street"), _id("city ", "s_nationkey").alias("city"), F.when(F.col("s_nationkey") > 5, "TPC").alias("country")))
+
+
+@query("graph_register", f"""WITH {_EDGES}, {_PLACED}, named AS (
+    SELECT 'o' || o_orderkey AS id, 'o' || o_orderkey AS name FROM orders UNION ALL SELECT 'c' || c_custkey, c_name FROM customer
+    UNION ALL SELECT 'n' || n_nationkey, n_name || '|city ' || n_regionkey || '|TPC' FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region)
+  SELECT s.name AS src, rel, d.name AS dst FROM edges e JOIN named s ON s.id = e.src JOIN named d ON d.id = e.dst
+  UNION SELECT sensor_id, 'locatedIn', building FROM r WHERE building IS NOT NULL
+  UNION SELECT building, 'hasAddress', street || '|' || city || '|' || country FROM whole
+  UNION SELECT street || '|' || city || '|' || country, 'locatedIn', city FROM whole""")
+def _(spark, sf):
+    # the same registrations twice: the second time changes nothing
+    found, links = _graph(spark, sf)
+    for _ in range(2):
+        found, links, _unknown = gr.register_sensors(found, links, _registrations(spark, sf))
+    name = F.when(F.col("label") == gr.ADDRESS, F.concat_ws("|", F.col("props")["street"], F.col("props")["city"], F.col("props")["country"])) \
+        .otherwise(F.coalesce(F.col("props")["sensorId"], F.col("props")["name"]))
+    named = found.select("id", name.alias("name"))
+    return links.join(named.select(F.col("id").alias("src"), F.col("name").alias("from")), "src") \
+        .join(named.select(F.col("id").alias("dst"), F.col("name").alias("to")), "dst") \
+        .select(F.col("from").alias("src"), "rel", F.col("to").alias("dst"))
+
+
+@query("graph_unknown_types", """WITH RECURSIVE classes AS (
+    SELECT DISTINCT p_type AS name, 'Sensor' AS parent FROM part WHERE p_type <> 'LARGE'
+    UNION SELECT DISTINCT p_type || ' ' || p_size, p_type FROM part UNION SELECT DISTINCT p_type || ' ' || p_size || ' ' || p_brand, p_type || ' ' || p_size FROM part),
+  below(name) AS (SELECT 'Sensor' UNION SELECT c.name FROM classes c JOIN below b ON c.parent = b.name)
+  SELECT 'p' || p_partkey AS sensor_id, p_type || ' ' || p_size || ' ' || p_brand AS sensor_type FROM part
+  WHERE p_type || ' ' || p_size || ' ' || p_brand NOT IN (SELECT name FROM below)""")
+def _(spark, sf):
+    # three levels: types are sensor classes but for one, types by size are below types, brands of a size below those
+    part = v.table(spark, sf, "part")
+    sized, branded = F.concat_ws(" ", "p_type", "p_size"), F.concat_ws(" ", "p_type", "p_size", "p_brand")
+    classes = part.where("p_type <> 'LARGE'").select(F.col("p_type").alias("name"), F.lit(gr.SENSOR).alias("parent")) \
+        .unionByName(part.select(sized.alias("name"), F.col("p_type").alias("parent"))) \
+        .unionByName(part.select(branded.alias("name"), sized.alias("parent")))
+    none = F.lit(None).cast("string")
+    registrations = part.select(_id("p", "p_partkey").alias("sensor_id"), branded.alias("sensor_type"),
+                                *[none.alias(c) for c in ("building", "street", "city", "country")])
+    return gr.register_sensors(*_graph(spark, sf), registrations, classes)[2].select("sensor_id", "sensor_type")
+
+
+@query("graph_degrees_after_cascade", f"""WITH {_EDGES}, gone AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (3, 4) OR c_acctbal < 0),
+  kept AS (SELECT * FROM edges WHERE NOT (rel = 'hasAddress' AND src IN (SELECT 'c' || c_custkey FROM gone))
+    AND dst NOT IN (SELECT 'c' || c_custkey FROM gone) AND src NOT IN ('n3', 'n4'))
+  SELECT id, rel, CAST(count(*) AS BIGINT) AS n FROM (SELECT src AS id, rel FROM kept UNION ALL SELECT dst, rel FROM kept) GROUP BY 1, 2""")
+def _(spark, sf):
+    found, links = _graph(spark, sf)
+    cut = v.table(spark, sf, "customer").where("c_nationkey in (3, 4) or c_acctbal < 0").select(
+        _id("c", "c_custkey").alias("src"), _id("n", "c_nationkey").alias("dst"))
+    return gr.cascade_delete(found, links, cut, gr.degrees(links))[2]
+
+
 @query("graph_detach_delete", f"""WITH {_EDGES} SELECT id FROM (SELECT 'c' || c_custkey AS id FROM customer WHERE c_mktsegment <> 'MACHINERY'
     UNION ALL SELECT 'o' || o_orderkey FROM orders UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region)
   WHERE id NOT IN (SELECT src FROM edges)

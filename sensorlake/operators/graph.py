@@ -5,9 +5,13 @@ buildings, buildings have an address, addresses are located in a city. Traversal
 end first (building to city), so that the many sensors take part in one join only.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 # Labels and relations.
 SENSOR, BUILDING, ADDRESS, CITY = "Sensor", "Building", "Address", "SmartCity"
 LOCATED_IN, HAS_ADDRESS, HAS_SENSOR = "locatedIn", "hasAddress", "hasSensor"
@@ -130,12 +134,16 @@ def whole_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 # ---------------------------------------------------------------- changes
 
 def link(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges with ``new`` ones added where both ends exist; adding twice changes nothing."""
+    """Edges with ``new`` ones added where both ends exist; adding twice changes nothing.
+
+    Only the new edges are made distinct and looked up; those there stay as they are.
+    """
     ids = nodes.select("id").distinct()
-    valid = new.select("src", "rel", "dst") \
+    valid = new.select("src", "rel", "dst").distinct() \
         .join(ids.withColumnRenamed("id", "src"), "src", "left_semi") \
         .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "rel", "dst")
-    return edges.select("src", "rel", "dst").unionByName(valid).distinct()
+    there = edges.select("src", "rel", "dst")
+    return there.unionByName(valid.join(there, ["src", "rel", "dst"], "left_anti"))
 
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,19 +153,112 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
     return nodes.join(gone.select("id"), "id", "left_anti"), kept_edges
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """(id, rel, n): edges of each kind at a node, whichever way they point. A table to keep beside the edges."""
+    ends = F.explode(F.array("src", "dst")).alias("id")
+    return edges.select(ends, "rel").groupBy("id", "rel").agg(F.count("*").alias("n"))
+
+
+def changed_degrees(stored: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """Stored degrees after edges were added and removed; only the changed edges are read."""
+    parts = [stored.select("id", "rel", "n")]
+    parts += [degrees(added)] if added is not None else []
+    parts += [degrees(removed).withColumn("n", -F.col("n"))] if removed is not None else []
+    return reduce(DataFrame.unionByName, parts).groupBy("id", "rel").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def cascade_delete(nodes: DataFrame, edges: DataFrame, links: DataFrame,
+                   stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Remove building-address links (``src, dst``), then the buildings left without an address and the addresses left without
+    a building, with their edges; returns nodes, edges and ``degrees`` after that.
+
+    Who is left alone is read off the stored degrees: edges are read once for the links that exist, and once to mark
+    what goes.
+    """
+    wanted = links.select("src", "dst", F.lit(HAS_ADDRESS).alias("rel")).distinct()
+    cut = materialize(edges.select("src", "rel", "dst").join(wanted, ["src", "rel", "dst"], "left_semi"), "cut-links")
+    lost = degrees(cut).select("id", "rel", F.col("n").alias("lost"))
+    orphans = materialize(stored.join(lost, ["id", "rel"]).where("n <= lost").select("id"), "orphans")
+    flag = F.lit(True).alias
+    marked = (edges.select("src", "rel", "dst").join(cut.distinct().select("src", "rel", "dst", flag("_cut")), ["src", "rel", "dst"], "left")
+              .join(orphans.select(F.col("id").alias("src"), flag("_from")), "src", "left")
+              .join(orphans.select(F.col("id").alias("dst"), flag("_to")), "dst", "left")
+              .select("src", "rel", "dst", F.coalesce("_cut", "_from", "_to", F.lit(False)).alias("_gone")))
+    marked = materialize(marked, "marked-edges")
+    kept, removed = (marked.where(c).select("src", "rel", "dst") for c in (~F.col("_gone"), F.col("_gone")))
+    return nodes.join(orphans, "id", "left_anti"), kept, changed_degrees(stored, removed=removed)
+
+
 def delete_address_links(nodes: DataFrame, edges: DataFrame,
                          links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Remove building-address links (``src, dst``), then the buildings left without an address
-    and the addresses left without a building, with their edges."""
-    cut = links.select("src", "dst", F.lit(HAS_ADDRESS).alias("rel"))
-    remaining = edges.join(cut, ["src", "rel", "dst"], "left_anti").select("src", "rel", "dst")
-    affected = edges.join(cut, ["src", "rel", "dst"], "left_semi")
-    left = remaining.where(F.col("rel") == HAS_ADDRESS)
-    orphans = affected.select(F.col("src").alias("id")).distinct() \
-        .join(left.select(F.col("src").alias("id")), "id", "left_anti") \
-        .unionByName(affected.select(F.col("dst").alias("id")).distinct()
-                     .join(left.select(F.col("dst").alias("id")), "id", "left_anti"))
-    return detach_delete(nodes, remaining, orphans)
+    """``cascade_delete`` for edges whose degrees nobody keeps; they are counted first."""
+    kept_nodes, kept, _ = cascade_delete(nodes, edges, links, degrees(edges.where(F.col("rel") == HAS_ADDRESS)))
+    return kept_nodes, kept
+
+
+def subclasses(classes: DataFrame, root: str = SENSOR) -> DataFrame:
+    """(name): ``root`` and every class (``name, parent``) below it, at any depth; circles are walked once."""
+    return classes.sparkSession.sql("""
+        WITH RECURSIVE below(name, path) AS (
+          SELECT :root, array(:root)
+          UNION ALL
+          SELECT c.name, array_append(path, c.name) FROM {classes} c JOIN below b ON c.parent = b.name
+          WHERE NOT array_contains(path, c.name))
+        SELECT DISTINCT name FROM below""", args={"root": root}, classes=classes.select("name", "parent").distinct())
+
+
+def _node_key(label: Column, props: Column) -> Column:
+    """What makes two nodes of a label the same; null if the node lacks it."""
+    address = F.when(props["street"].isNotNull() & props["city"].isNotNull() & props["country"].isNotNull(),
+                     F.to_json(F.array(props["street"], props["city"], props["country"])))
+    return F.when(label == SENSOR, props["sensorId"]).when(label == ADDRESS, address).otherwise(props["name"])
+
+
+def register_sensors(nodes: DataFrame, edges: DataFrame, registrations: DataFrame,
+                     classes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sensors with their places: nodes, edges, and the registrations whose type is no subclass of Sensor.
+
+    A registration (``sensor_id, sensor_type, building, street, city, country``) merges its sensor by id, its building by
+    name, its address by street, city and country, and its smart city by the address's city, and links them in this order;
+    without a building there are no links, without the whole address none beyond the building. A type becomes a label of
+    the sensor, known or not. Registering twice changes nothing. All four kinds of nodes are one delta: made distinct
+    where they are, merged by key in one join, and only new edges are looked up.
+    """
+    r = F.col
+    whole = r("building").isNotNull() & r("street").isNotNull() & r("city").isNotNull() & r("country").isNotNull()
+
+    def node(label: str, when: Column, **props: str) -> Column:
+        pairs = F.create_map(*[x for name, c in props.items() for x in (F.lit(name), F.col(c).cast("string"))])
+        kinds = F.array_compact(F.array(F.lit(label), r("sensor_type") if label == SENSOR else F.lit(None).cast("string")))
+        return F.when(when, F.struct(F.lit(label).alias("label"), kinds.alias("labels"), pairs.alias("props"),
+                                     _node_key(F.lit(label), pairs).alias("key")))
+
+    chain = [node(SENSOR, r("sensor_id").isNotNull(), sensorId="sensor_id"),
+             node(BUILDING, r("sensor_id").isNotNull() & r("building").isNotNull(), name="building"),
+             node(ADDRESS, r("sensor_id").isNotNull() & whole, street="street", city="city", country="country"),
+             node(CITY, r("sensor_id").isNotNull() & whole, name="city")]
+    chained = registrations.select(F.array(*chain).alias("chain"))
+    delta = (chained.select(F.explode(F.array_compact("chain")).alias("n")).select("n.*").groupBy("label", "key")
+             .agg(F.array_distinct(F.flatten(F.collect_set("labels"))).alias("more"), F.any_value("props").alias("new_props")))
+    keyed = nodes.withColumn("key", _node_key(F.col("label"), F.col("props")))
+    merged = keyed.join(delta, ["label", "key"], "full_outer")
+    made = F.concat_ws(":", F.lower("label"), F.sha2("key", 256))
+    merged = materialize(merged.select(
+        F.coalesce("id", made).alias("id"), "label", F.array_distinct(F.concat(F.coalesce("labels", F.array()), F.coalesce("more", F.array()))).alias("labels"),
+        F.coalesce("props", "new_props").alias("props"), "key", F.col("more").isNotNull().alias("_met")), "merged-nodes")
+
+    ids = merged.where("_met").groupBy("label", "key").agg(F.min("id").alias("id"))
+    hops = F.array(*[F.when(F.col("chain")[i + 1].isNotNull(), F.struct(F.col("chain")[i].alias("a"), F.lit(rel).alias("rel"), F.col("chain")[i + 1].alias("b")))
+                     for i, rel in enumerate((LOCATED_IN, HAS_ADDRESS, LOCATED_IN))])
+    hops = chained.select(F.explode(F.array_compact(hops)).alias("h")).select(
+        F.col("h.a.label").alias("a_label"), F.col("h.a.key").alias("a_key"), "h.rel", F.col("h.b.label").alias("b_label"), F.col("h.b.key").alias("b_key")).distinct()
+    ends = [ids.select(F.col("label").alias(f"{x}_label"), F.col("key").alias(f"{x}_key"), F.col("id").alias(end)) for x, end in (("a", "src"), ("b", "dst"))]
+    new = hops.join(ends[0], ["a_label", "a_key"]).join(ends[1], ["b_label", "b_key"]).select("src", "rel", "dst")
+    there = edges.select("src", "rel", "dst")
+    linked = there.unionByName(new.join(there, ["src", "rel", "dst"], "left_anti"))
+    typed = registrations.where("sensor_type is not null and sensor_id is not null")
+    unknown = typed.limit(0) if classes is None else typed.join(subclasses(classes), F.col("sensor_type") == F.col("name"), "left_anti")
+    return merged.select(*nodes.columns), linked, unknown
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:

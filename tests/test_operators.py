@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sensorlake.operators import graph as gr
 from sensorlake.operators import metrics, rank
+from sensorlake.storage import fresh_path, materialize
 from sensorlake.operators.metrics import exact_percentiles, latency_histogram
 from sensorlake.operators.ontology import (canonical_fields, read_classes, read_properties, unrecognized_fields,
                                            valid_sensor_types)
@@ -153,6 +154,55 @@ def test_delete_cascade(spark, city):
     assert "a" not in {r.id for r in n.collect()} and e.count() == 0
 
 
+def test_cascade_by_stored_degrees(spark, city):
+    nodes, edges = city
+    stored = gr.degrees(edges)
+    cut = spark.createDataFrame([("b1", "a"), ("b1", "a"), ("b2", "nowhere")], "src string, dst string")
+    n, e, left = gr.cascade_delete(nodes, edges, cut, stored)
+    assert {tuple(r) for r in e.collect()} == {("b2", "hasAddress", "a"), ("a", "locatedIn", "c")} and n.count() == nodes.count() - 1
+    assert {tuple(r) for r in left.collect()} == {tuple(r) for r in gr.degrees(e).collect()}
+    more = gr.link(n, e, spark.createDataFrame([("s4", "locatedIn", "b2")], edges.schema))
+    grown = gr.changed_degrees(left, added=spark.createDataFrame([("s4", "locatedIn", "b2")], edges.schema))
+    assert {tuple(r) for r in grown.collect()} == {tuple(r) for r in gr.degrees(more).collect()}
+
+
+def test_cascade_reads_edges_twice(spark, city):
+    path = fresh_path(spark, "edges")
+    city[1].write.parquet(path)
+    read = spark.read.parquet(path)
+    stored = materialize(gr.degrees(read), "degrees")
+    seen = []
+
+    class Counted:
+        """A frame that tells how often it is read."""
+        def select(self, *columns):
+            seen.append(columns)
+            return read.select(*columns)
+
+    cut = spark.createDataFrame([("b1", "a")], "src string, dst string")
+    n, e, left = gr.cascade_delete(city[0], Counted(), cut, stored)
+    assert len(seen) == 2 and path not in str(e._jdf.queryExecution().optimizedPlan()) and e.count() == 2 and left.count() == 4
+
+
+def test_registration_merges_the_whole_chain(spark, city):
+    nodes, edges = city
+    rows = [("S4", "DustSensor", "Two", "Main", "Town", "X"), ("N1", "Unheard", "New", "Main", "Town", "X"), ("N2", None, "Two", None, "Town", "X"),
+            ("N3", "TemperatureSensor", None, "Main", "Town", "X"), (None, "Unheard", "Two", "Main", "Town", "X"), ("N1", "Unheard", "New", "Main", "Town", "X")]
+    registrations = spark.createDataFrame(rows, "sensor_id string, sensor_type string, building string, street string, city string, country string")
+    classes = spark.createDataFrame([("DustSensor", "AirSensor"), ("AirSensor", "Sensor"), ("TemperatureSensor", "Sensor"), ("Sensor", "DustSensor"),
+                                     ("Unheard", "Building")], "name string, parent string")
+    n, e, unknown = gr.register_sensors(nodes, edges, registrations, classes)
+    assert {(r.sensor_id, r.sensor_type) for r in unknown.collect()} == {("N1", "Unheard")}
+    found = {(r.label, r.props.get("sensorId") or r.props.get("name") or r.props["street"]): r for r in n.collect()}
+    # the address of before has no country, so it is another one
+    assert n.count() == nodes.count() + 5 and set(found[("Sensor", "S4")].labels) == {"Sensor", "TemperatureSensor", "DustSensor"}
+    assert found[("Building", "Two")].id == "b2" and found[("SmartCity", "Town")].id == "c"
+    new = {tuple(r) for r in e.collect()} - {tuple(r) for r in edges.collect()}
+    assert ("s4", "locatedIn", "b2") in new and (found[("Sensor", "N2")].id, "locatedIn", "b2") in new and len(new) == 6
+    again, links, _ = gr.register_sensors(n, e, registrations, classes)
+    assert {r.id for r in again.collect()} == {r.id for r in n.collect()} and links.count() == e.count()
+
+
 def test_linking_and_upsert_are_idempotent(spark, city):
     nodes, edges = city
     new = spark.createDataFrame([("s4", "locatedIn", "b2"), ("s4", "locatedIn", "nowhere")], "src string, rel string, dst string")
