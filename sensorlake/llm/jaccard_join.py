@@ -167,17 +167,15 @@ def short_lists(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sent, codes = docs.sparkSession.sparkContext.broadcast(level), byte_codes()
 
     def choose(batches):
-        level, seen = sent.value, set()
+        level, seen = sent.value, np.full(REMEMBERED, -1, np.int64)
         for batch in batches:
             for values, first in _sets(batch.column(0), k, codes):
                 n, node = np.diff(first), _signatures(values, first)
                 fresh = np.zeros(len(n), bool)
-                for i, x in enumerate(node.tolist()):
-                    if x not in seen:
-                        fresh[i] = True
-                        seen.add(x)
-                if len(seen) > REMEMBERED:
-                    seen.clear()
+                each, at = np.unique(node, return_index=True)
+                slot = (each >> 7) & (REMEMBERED - 1)
+                fresh[at[seen[slot] != each]] = True
+                seen[slot] = each  # whole values, newer ones in place of older: a forgotten copy is listed again
                 owner = np.repeat(np.arange(len(n)), n)
                 some = fresh[owner]
                 values, owner = values[some], owner[some]
@@ -287,10 +285,11 @@ def _t_occurrences(query: np.ndarray, values: np.ndarray, first: np.ndarray, lea
     return count
 
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs that link, decided on the whole shingle sets of their texts.
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, labels: DataFrame) -> DataFrame:
+    """(a, b) of pairs that link, decided on the whole shingle sets of their texts, as many as components need.
 
-    Texts travel once for each pair to their pivot a, of which large groups are dealt into blocks.
+    Texts travel once for each pair to their pivot a, of which large groups are dealt into blocks. Members that bear one
+    label are linked already: once a block has linked its pivot to one of them, the others are passed over.
     """
     spark = docs.sparkSession
     pairs = materialize(pairs.select("a", "b"), "pairs")
@@ -301,7 +300,8 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
     pivots = blocks.select(F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
                            F.lit(0).alias("kind"), F.col("a").alias("node"))
     low = sets.select("node", F.col("low").alias("doc_key"))
-    roles = materialize(members.unionByName(pivots).join(low, "node"), "roles")
+    roles = members.unionByName(pivots).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    roles = materialize(roles.join(low, "node"), "roles")
     # a bitmap of fixed size keeps most other texts out of the join
     places = roles.select((F.xxhash64("doc_key").bitwiseAND((1 << 22) - 1)).cast("int").alias("place")).distinct().toArrow()
     bits = np.zeros(1 << 22, bool)
@@ -317,11 +317,11 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
     codes = byte_codes()
 
     def compare(batches):
-        pivot, query = None, None
+        pivot, query, told = None, None, np.zeros(0, np.int64)
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            kind, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            data, offsets = flat(batch.column(4))
+            kind, node, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            data, offsets = flat(batch.column(5))
             for a, b in chunks(offsets):
                 values, first = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], k, codes)
                 n, same = np.diff(first), _signatures(values, first) == node[a:b]
@@ -331,11 +331,11 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
                     while end < b and keys[end] == keys[at]:
                         end += 1
                     if keys[at] != pivot:
-                        pivot, query = keys[at], None
+                        pivot, query, told = keys[at], None, np.zeros(0, np.int64)
                     rows = np.arange(at, end)
                     for r in rows[(kind[rows] == 0) & same[rows - a]]:
                         query = values[first[r - a]:first[r - a + 1]]
-                    rows = rows[(kind[rows] == 1) & same[rows - a]] - a
+                    rows = rows[(kind[rows] == 1) & same[rows - a] & ~np.isin(label[rows], told)] - a
                     if query is not None and len(query) and len(rows):
                         some = np.concatenate([values[first[r]:first[r + 1]] for r in rows])
                         starts = np.concatenate([[0], np.cumsum(n[rows])])
@@ -343,11 +343,13 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
                         least = -(-percent * total // (100 + percent))
                         links = rows[_t_occurrences(query, some, starts, least) >= least] + a
                         if len(links):
+                            new, which = np.unique(label[links], return_index=True)
+                            told, links = np.union1d(told, new), links[which]
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(np.full(len(links), pivot[0])), pa.array(node[links])], ["a", "b"])
                     at = end
 
-    moved = (texts.join(roles, "doc_key").select("pivot", "block", "kind", "node", "text")
+    moved = (texts.join(roles, "doc_key").select("pivot", "block", "kind", "node", "label", "text")
              .repartition("pivot", "block").sortWithinPartitions("pivot", "block", "kind"))
     return moved.mapInArrow(compare, "a long, b long").distinct()
 
@@ -473,7 +475,7 @@ def _grouped(docs: DataFrame, own: DataFrame, k: int, percent: int, turns: int)
             tried = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
         else:  # what components have not settled
             tried = _across(open_, sets, percent)
-        new = materialize(verify(tried, sets, docs, k, percent), "verified")
+        new = materialize(verify(tried, sets, docs, k, percent, labels), "verified")
         links = new if links is None else materialize(links.unionByName(new), "all-links")
         labels = components(links)
     return sets.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
