@@ -197,7 +197,8 @@ class Encoder:
         return np.frombuffer(b"".join(found), np.int32)
 
     def forget(self) -> None:
-        for kept in (self.plain, self.spelled, self.automaton.walked, self.automaton.arcs):
+        """What a worker that waits for its next task need not hold; the words, at most CACHED_WORDS short ones, stay."""
+        for kept in (self.spelled, self.automaton.walked, self.automaton.arcs):
             kept.clear()
 
     def decode(self, ids) -> str:
@@ -263,7 +264,7 @@ def bpe_tokens(docs: DataFrame, tokenizer: str, text: str = "text", into: str =
                 part = batch.slice(at, SLICE)
                 columns = [part.column(i) for i in range(1, part.num_columns)]
                 yield pa.RecordBatch.from_arrays([*columns, _tokens(_encoder(spec.value), part.column(0))], [*kept, into])
-        _encoder(spec.value).forget()  # an idle worker holds the automaton only
+        _encoder(spec.value).forget()
 
     rows = docs.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`") for c in kept])
     return rows.mapInArrow(tokens, T.StructType([*fields, T.StructField(into, made)]))
