@@ -83,18 +83,19 @@ def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: flo
 
 def train(docs: DataFrame, labelled: Column, sample: int = SAMPLE) -> dict | None:
     """Fits on about `sample` rows, no more, where `labelled` holds and lang and text are given, even over languages; rows
-    are chosen by the hash of their ids. Only presence bits reach the driver, DIMENSION / 8 bytes a row."""
-    rows = docs.where(labelled & F.col("lang").isNotNull() & has_letter())
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_of"))
+    are chosen by the hash of their ids and texts, rows that repeat both count as one. Only presence bits reach the driver, DIMENSION / 8 bytes a row."""
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    rows = docs.where(labelled & F.col("lang").isNotNull() & has_letter()).select("doc_id", "lang", "text", place.alias("_hash"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("_of"))
     names = counts.count()
     if not names:
         return None
     each = max(1, sample // names)
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    # about twice the wanted rows of a language by their hash, whatever its size; then the first of these
-    near = (rows.select("doc_id", "lang", "text", place.alias("_hash"))
-            .join(F.broadcast(counts) if names <= 10_000 else counts, "lang")
-            .where(F.col("_hash").cast("double") * F.col("_of") < float(2 * each * (1 << 30))))
+    # by their hash more of a language's texts than are wanted, whatever its size; copies are one; then the first of these
+    wanted = float((2 * each + 30) * (1 << 30))
+    near = (rows.join(F.broadcast(counts) if names <= 10_000 else counts, "lang")
+            .where(F.col("_hash").cast("double") * F.col("_of") < wanted)
+            .groupBy("lang", "doc_id", "_hash").agg(F.min("text").alias("text")))
     order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
 
     @F.arrow_udf("binary")
@@ -105,6 +106,8 @@ def train(docs: DataFrame, labelled: Column, sample: int = SAMPLE) -> dict | Non
     chosen = (near.select("doc_id", "lang", "_hash", bits("text").alias("bits"))
               .withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= each).select("lang", "bits"))
     rows = sorted((r["lang"], r["bits"]) for r in chosen.toArrow().to_pylist())
+    if not rows:
+        return None
     x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in rows]), axis=1).view(bool)
     return fit(x, [lang for lang, _ in rows])
 

@@ -34,12 +34,14 @@ _DIGIT = re.compile("[0-9]")
 
 #: look-alikes of each kind: wider than the base, only believed behind a good pattern
 _LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+"
-                        r"|[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{4}[ .-]?){3}[0-9]{3,4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
+#: e-mail look-alikes are looked for from their mark on: the local part back from it, the domain behind it
+_MARK = re.compile(r" ?(?:\(at\)|\[at\]) ?| at ")
+_MARKED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+")
+_SPOKEN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+")
 _HINTS = {"email": ("(at)", "[at]", " dot "), "ip": ("[.]", "(.)")}
 _WORD = re.compile(r"[^\W\d_]+")
 #: code points before an entity in which its pattern's words are looked for
@@ -66,6 +68,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def _spelled_emails(text: str) -> Iterator[tuple[int, int]]:
+    """E-mail addresses with their @ spelled out; each character is looked at once or twice, however long the text."""
+    done = 0
+    for mark in _MARK.finditer(text):
+        if mark.start() < done:
+            continue
+        local = text[done:mark.start()]
+        start = mark.start() - len(local) + len(local.rstrip(_LOCAL))
+        domain = _SPOKEN_DOMAIN if mark.group() == " at " else _MARKED_DOMAIN
+        found = domain.match(text, mark.end()) if start < mark.start() else None
+        if found:
+            yield start, found.end()
+        done = found.end() if found else mark.end()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed."""
     found = []
@@ -94,7 +111,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     """Look-alikes that no base span touches."""
     if not _DIGIT.search(text) and not any(h in text for h in _HINTS["email"]):
         return []
-    found = []
+    found = [("email", a, b) for a, b in _spelled_emails(text)] if any(h in text for h in _HINTS["email"]) else []
     for kind, pattern in _LOOSE.items():
         if kind in _HINTS and not any(h in text for h in _HINTS[kind]):
             continue
@@ -173,12 +190,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """The rows with one more column `pii`: struct(base, added), arrays of struct(kind, start, end) in code points.
 
     A null or empty text has no spans. Rows are judged one by one, also those with equal or null ids. Texts are read
-    whole. `base` has what the base patterns match, leftmost and without overlap within a kind; `added` what the
-    bootstrapped patterns find. Other columns stay; an empty table gives an empty table.
+    whole, in time linear in their length. `base` has what the base patterns match, leftmost and without overlap within a
+    kind; `added` what the bootstrapped patterns find. The text is left out, all other columns stay, whatever their names (one
+    named pii is replaced); an empty table gives an empty table.
     """
-    own = docs.columns
-    narrow = docs.withColumn("_pii_row", F.monotonically_increasing_id())
-    found = materialize(find(narrow).drop("text"), "pii-spans") if "text" in own else find(narrow)
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "pii")]
+    narrow = docs.select("text", (F.struct(*own) if own else F.lit(None)).alias("_own")).withColumn("_pii_row", F.monotonically_increasing_id())
+    found = materialize(find(narrow).drop("text").withColumn("_own", F.col("_own") if own else F.lit(0)), "pii-spans")
     patterns = believed_patterns(found)
     hits = (found.select("_pii_row", F.explode("_pii.more").alias("s")).where(F.col("s.pattern").isNotNull())
             .withColumn("pattern", F.col("s.pattern")).join(patterns, "pattern", "left_semi")
@@ -187,7 +205,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return (found.join(hits, "_pii_row", "left")
             .withColumn("pii", F.struct(plain.alias("base"), F.coalesce("_added", none).alias("added")))
-            .select(*[c for c in own if c not in ("text", "pii")], "pii"))
+            .select(*(["_own.*"] if own else []), "pii"))
 
 
 def span_text(spans: Column) -> Column:

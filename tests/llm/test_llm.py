@@ -270,3 +270,32 @@ def test_quality(spark, docs, none):
     assert quality.train(table, labels.where("false"), F.lit(True)) is None
     assert quality.score_quality(none, None).count() == 0
     assert all(r.quality_score.score == 0.5 for r in quality.score_quality(docs, None).collect())
+
+
+def test_languages_of_copies_are_learned(spark):
+    rng = random.Random(9)
+    letters = ["abcd", "efgh", "ijkl", "mnop"]
+    copies = [(None, " ".join(rng.choice(letters[i]) for _ in range(60)), f"l{i}") for i in range(2)]
+    unlike = [(j, " ".join(rng.choice(letters[i]) for _ in range(30)), f"l{i}") for i in (2, 3) for j in range(40)]
+    rows = [r for r in copies for _ in range(3000)] + unlike
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(frame, F.lit(True), sample=40)
+    assert list(model["classes"]) == ["l0", "l1", "l2", "l3"]
+    one = language_id.train(frame.where("lang = 'l0'"), F.lit(True))
+    assert list(one["classes"]) == ["l0"]
+    made = language_id.identify(spark.createDataFrame([copies[0], copies[1], unlike[0], unlike[50]], frame.schema), model)
+    assert [r.language.lang_pred for r in made.collect()] == ["l0", "l1", "l2", "l3"]
+
+
+def test_spelled_emails_in_long_texts(spark):
+    import time
+
+    began = time.time()
+    assert list(pii._spelled_emails("a" * 1_000_000 + " (at) ")) == [] and time.time() - began < 1
+    text = "mail joe.x (at) site [dot] org or ann at home dot net, jim@x (at)  and bo[at]b.c.d at z dot y"
+    assert [text[a:b] for a, b in pii._spelled_emails(text)] == ["joe.x (at) site [dot] org", "ann at home dot net", "bo[at]b.c.d"]
+    assert list(pii._spelled_emails(("x(at)" * 100_000))) == []
+    rows = [(1, "a" * 200_000 + " (at) x", "p", 7, "o")]
+    made = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string, _pii string, _pii_row int, _own string"))
+    assert made.columns == ["doc_id", "_pii", "_pii_row", "_own", "pii"] and tuple(made.collect()[0])[:4] == (1, "p", 7, "o")
+    assert pii.personal_data(spark.createDataFrame([("x@y.z",)], "text string")).first().pii.base[0].kind == "email"
