@@ -22,6 +22,14 @@ def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
+def unused(df: DataFrame, name: str, *more: str) -> str:
+    """The name, longer if a column of df or one of `more` has it already."""
+    taken = {c.lower() for c in [*df.columns, *more]}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hash_mod(name: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id hashes as empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
@@ -67,6 +75,19 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+_inverse_powers = np.ones(1, dtype=np.uint64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """base ** -i for i < n, modulo 2**64: takes a run of a sum over powers(n) back to the start."""
+    global _inverse_powers
+    if len(_inverse_powers) < n:
+        steps = np.full(max(n, 2 * len(_inverse_powers)), pow(_POWER_BASE | 1, -1, 1 << 64), dtype=np.uint64)
+        steps[0] = 1
+        _inverse_powers = np.multiply.accumulate(steps)
+    return _inverse_powers[:n]
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array without copying text; a null is empty."""
     if texts.null_count:

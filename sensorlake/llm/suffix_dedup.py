@@ -1,11 +1,12 @@
 """Removal of repeated byte strings by sorted suffixes.
 
 A window is `length` consecutive bytes. Its smallest GRAM-byte hash says where it is compared, so equal windows meet
-and a document is cut into pieces of consecutive windows with the same smallest gram. Only grams that occur in two
-documents lead on. A task compares pieces with equal bytes once, by their smallest document, and sorts the suffixes that
-begin its pieces' windows, deep-shallow: multikey quicksort over 8-byte characters down to SHALLOW bytes, then a blind
-trie for each group that still agrees. Windows that agree in full stand side by side and take their smallest
-document.
+and a document is cut into pieces of consecutive windows with the same smallest gram. First only hashes of the pieces
+travel: of equal pieces all but the smallest document's are settled, in the task that cuts them where it has both, else
+where the gram meets. Then the pieces of grams that differ between documents are cut out of the texts once each, and
+a task sorts the suffixes that begin their windows, deep-shallow: multikey quicksort over 8-byte characters down to
+SHALLOW bytes, then a blind trie for each group that still agrees. Windows that agree in full stand side by side and
+take their smallest document.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import byte_codes, chunks, flat, id_key, mix, powers
+from .common import byte_codes, chunks, flat, id_key, inverse_powers, mix, powers, unused
 
 LENGTH = 50
 GRAM = 24
 SHALLOW = 40
 #: windows of a piece; longer runs of one gram are cut
 PIECE = 64
-#: documents of one gram beyond which Spark groups its windows one by one, instead of a task sorting them
+#: different pieces of one gram beyond which Spark groups their windows one by one, instead of a task sorting them
 GROUP = 20_000
+#: pieces that a task remembers with their smallest document so far; a forgotten one only travels again
+REMEMBERED = 1 << 20
+#: tells texts of one doc_id apart
+_TAG_BITS = 25
 _GRAM_BITS = np.uint64((1 << 48) - 1)
 
 
@@ -154,52 +159,106 @@ def sort_suffixes(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndar
     return order, np.cumsum(part) - 1
 
 
-def _shared_grams(docs: DataFrame, length: int, gram: int, group: int) -> DataFrame:
-    """(doc_key, gram, large): the grams of a document's windows that another document has too, and whether more than
-    `group` documents do."""
+def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, codes: np.ndarray):
+    """(gram, hash, text, start, windows) of the pieces that tile the texts, in order; start counts from the text's."""
+    value, place, text = least_grams(data, offsets, length, gram, codes)
+    if not len(value):
+        return value, np.zeros(0, np.uint64), text, place, place
+    first = np.ones(len(value), bool)
+    first[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
+    runs = np.flatnonzero(first)
+    within = np.arange(len(value)) - np.repeat(runs, np.diff(np.append(runs, len(value))))
+    at = np.flatnonzero(within % PIECE == 0)
+    windows = np.diff(np.append(at, len(value)))
+    value, place, text = value[at], place[at], text[at]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mix(codes)[data] * powers(len(data)), out=total[1:])
+    begin = offsets[text] + place
+    piece = (total[begin + windows + length - 1] - total[begin]) * inverse_powers(len(data))[begin]
+    return value, mix(piece ^ mix(value.astype(np.uint64) + windows.astype(np.uint64))), text, place, windows
+
+
+def _deal(length: int, gram: int):
+    """Cuts texts into pieces. Rows: (gram, piece hash, doc_key, at) to be met by gram, or of runs that a smaller document
+    of the same task has too, (below 0, end, doc_key, at); `at` holds tag, start and number of windows."""
     codes = byte_codes(lower=False)
 
-    @F.arrow_udf("array<long>")
-    def grams(texts: pa.Array) -> pa.Array:
-        data, offsets = flat(texts)
-        parts, lengths = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-        for a, b in chunks(offsets):
-            value, _, text = least_grams(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], length, gram, codes)
-            keep = np.ones(len(value), bool)
-            keep[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-            parts.append(value[keep])
-            lengths.append(np.bincount(text[keep], minlength=b - a))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(lengths)).astype(np.int32)),
-                                        pa.array(np.concatenate(parts)))
-
-    def shared(batches):
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
-        for batch in _and_end(batches):
-            if batch is not None:
-                held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            value, doc = held
-            if not len(value):
+    def run(batches):
+        seen, seen_doc = np.zeros(REMEMBERED, np.uint64), np.full(REMEMBERED, np.iinfo(np.int64).max)
+        for batch in batches:
+            keys, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = flat(batch.column(2))
+            for a, b in chunks(offsets):
+                value, piece, text, start, windows = cut_pieces(
+                    data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], length, gram, codes)
+                if not len(value):
+                    continue
+                doc, tag = keys[a:b][text], tags[a:b][text]
+                order = np.lexsort((doc, piece))
+                new = np.ones(len(order), bool)
+                new[1:] = piece[order[1:]] != piece[order[:-1]]
+                settled = np.empty(len(order), bool)
+                settled[order] = doc[order] > doc[order[new]][np.cumsum(new) - 1]
+                slot = (piece & np.uint64(REMEMBERED - 1)).astype(np.int64)
+                settled |= (seen[slot] == piece) & (seen_doc[slot] < doc)
+                go = np.flatnonzero(~settled)
+                seen[slot[go]], seen_doc[slot[go]] = piece[go], doc[go]
+                at = tag << 38 | start << 6 | windows - 1
+                yield _rows(value[go], piece[go].view(np.int64), doc[go], at[go])
+                gone = np.flatnonzero(settled)
+                if len(gone):  # pieces that follow each other make one run
+                    cuts = np.flatnonzero((np.diff(gone) > 1) | (np.diff(text[gone]) > 0))
+                    first, last = gone[np.concatenate([[0], cuts + 1])], gone[np.append(cuts, len(gone) - 1)]
+                    spread = -1 - (mix(doc[first].view(np.uint64)) >> np.uint64(40)).astype(np.int64)
+                    yield _rows(spread, start[last] + windows[last] - 1 + length, doc[first], at[first])
+    return run
+
+
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "piece", "doc_key", "at"])
+
+
+def _meet(length: int):
+    """Over rows sorted by gram, piece and document: spans (gram -1) of pieces that a smaller document has too, and of
+    grams whose pieces still differ between documents one row per piece and place of its smallest document. Holds
+    places of one gram in one document."""
+    def found(gram, doc, at, end):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(gram), pa.array(doc), pa.array(at >> 38), pa.array(at >> 6 & (1 << 32) - 1), pa.array(end)],
+            ["gram", "doc_key", "tag", "s", "e"])
+
+    def run(batches):
+        last = (-1, 0, 0)  # gram, piece and its smallest document
+        differs, waiting = -1, [np.zeros(0, np.int64)] * 3  # a gram known to differ; (gram, doc, at) of the open gram
+        for batch in batches:
+            gram, piece, doc, at = (c.to_numpy() for c in batch.columns)
+            ready = int(np.searchsorted(gram, 0))
+            if ready:
+                yield found(np.full(ready, -1), doc[:ready], at[:ready], piece[:ready])
+                gram, piece, doc, at = gram[ready:], piece[ready:], doc[ready:], at[ready:]
+            if not len(gram):
                 continue
-            cut = len(value) if batch is None else int(np.searchsorted(value, value[-1]))
-            held = [value[cut:], doc[cut:]]
-            value, doc = value[:cut], doc[:cut]
-            if not cut:
+            end = (at >> 6 & (1 << 32) - 1) + (at & 63) + length
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (piece[1:] != piece[:-1])
+            new[0] = (gram[0], piece[0]) != last[:2]
+            least = np.concatenate([[last[2]], doc[new]])[np.cumsum(new)]
+            last = (gram[-1], piece[-1], least[-1])
+            gone = doc > least
+            if gone.any():
+                yield found(np.full(int(gone.sum()), -1), doc[gone], at[gone], end[gone])
+            value, owner, where = (np.concatenate([w, c[~gone]]) for w, c in zip(waiting, (gram, doc, at), strict=True))
+            if not len(value):
                 continue
-            new = np.ones(cut, bool)
-            new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-            value, doc = value[new], doc[new]
-            other = np.zeros(len(value), bool)
-            other[1:] = value[1:] == value[:-1]
-            other[:-1] |= other[1:]
             runs = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            sizes = np.diff(np.append(runs, len(value)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[other]), pa.array(value[other]),
-                                              pa.array(np.repeat(sizes > group, sizes)[other])], ["doc_key", "gram", "large"])
-
-    rows = docs.select(id_key().alias("doc_key"), F.explode(grams("text")).alias("gram"))
-    kept = (rows.select("gram", "doc_key").repartition("gram").sortWithinPartitions("gram", "doc_key")
-            .mapInArrow(shared, "doc_key long, gram long, large boolean"))
-    return materialize(kept, "shared-grams")
+            vary = (np.minimum.reduceat(owner, runs) != np.maximum.reduceat(owner, runs)) | (value[runs] == differs)
+            differs = value[-1] if vary[-1] else -1
+            asked = np.repeat(vary, np.diff(np.append(runs, len(value))))
+            waiting = [c[:0] if vary[-1] else c[runs[-1]:] for c in (value, owner, where)]
+            if asked.any():
+                at = where[asked]
+                yield found(value[asked], owner[asked], at, (at >> 6 & (1 << 32) - 1) + (at & 63) + length)
+    return run
 
 
 def _and_end(batches):
@@ -207,53 +266,34 @@ def _and_end(batches):
     yield None
 
 
-def _pieces(docs: DataFrame, grams: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, piece, doc_key, start): runs of windows whose smallest gram is one of the document's `grams`."""
-    codes = byte_codes(lower=False)
-
+def _pieces(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(gram, piece, doc_key, tag, start): the bytes of the places asked for."""
     def cut(batches):
         for batch in batches:
-            keys, known = batch.column(0).to_numpy(), batch.column(2)
-            data, offsets = flat(batch.column(1))
-            lists = known.flatten().to_numpy()
-            ends = known.value_lengths().to_numpy().cumsum()
-            for a, b in chunks(offsets):
-                part = data[offsets[a]:offsets[b]]
-                begin = offsets[a:b] - offsets[a]
-                value, place, text = least_grams(part, offsets[a:b + 1] - offsets[a], length, gram, codes)
-                wanted = np.zeros(len(value), bool)
-                bounds = np.searchsorted(text, np.arange(b - a + 1))
-                for t in range(b - a):
-                    mine = lists[ends[a + t - 1] if a + t else 0:ends[a + t]]
-                    wanted[bounds[t]:bounds[t + 1]] = np.isin(value[bounds[t]:bounds[t + 1]], mine)
-                at = np.flatnonzero(wanted)
-                if not len(at):
-                    continue
-                first = np.ones(len(at), bool)
-                first[1:] = (at[1:] != at[:-1] + 1) | (value[at[1:]] != value[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
-                runs = np.flatnonzero(first)
-                within = np.arange(len(at)) - np.repeat(runs, np.diff(np.append(runs, len(at))))
-                runs = np.flatnonzero(within % PIECE == 0)
-                sizes = np.diff(np.append(runs, len(at)))
-                at = at[runs]
-                start = begin[text[at]] + place[at]
-                raw = part.tobytes()
-                pieces = [raw[s:s + n + length - 1] for s, n in zip(start.tolist(), sizes.tolist(), strict=True)]
+            lists = batch.column(3)
+            data, offsets = flat(batch.column(2))
+            rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            gram, s, e = (lists.flatten().field(i).to_numpy() for i in range(3))
+            for i in range(0, len(rows), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                begin = offsets[rows[part]]
+                pieces = [data[a:b].tobytes() for a, b in zip((begin + s[part]).tolist(), (begin + e[part]).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value[at]), pa.array(pieces, pa.binary()), pa.array(keys[a:b][text[at]]), pa.array(place[at])],
-                    ["gram", "piece", "doc_key", "start"])
+                    [pa.array(gram[part]), pa.array(pieces, pa.binary()), batch.column(0).take(pa.array(rows[part])),
+                     batch.column(1).take(pa.array(rows[part])), pa.array(s[part])],
+                    ["gram", "piece", "doc_key", "tag", "start"])
 
-    lists = grams.groupBy("doc_key").agg(F.collect_list("gram").alias("grams"))
-    rows = docs.select(id_key().alias("doc_key"), "text").join(lists, "doc_key")
-    return rows.select("doc_key", "text", "grams").mapInArrow(
-        cut, "gram long, piece binary, doc_key long, start long")
+    lists = asked.groupBy("doc_key", "tag").agg(F.collect_set(F.struct("gram", "s", "e")).alias("places"))
+    rows = docs.where(_Filter(asked, "doc_key").holds("doc_key")).join(lists, ["doc_key", "tag"])
+    return rows.select("doc_key", "tag", "text", "places").mapInArrow(
+        cut, "gram long, piece binary, doc_key long, tag long, start long")
 
 
 def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """(doc_key, s, e): windows that a smaller document has too, by sorting the suffixes of the pieces of each gram."""
+    """(doc_key, tag, s, e): windows that a smaller document has too, by sorting the suffixes of the pieces of each gram."""
     def spans(batches):
         for batch in _whole_grams(batches):
-            doc, start = batch.column("doc_key").to_numpy(), batch.column("start").to_numpy()
+            doc, tag, start = (batch.column(c).to_numpy() for c in ("doc_key", "tag", "start"))
             known: dict[bytes, int] = {}  # equal pieces have the same gram
             which = np.array([known.setdefault(p, len(known)) for p in batch.column("piece").to_pylist()])
             least = np.full(len(known), np.iinfo(np.int64).max)
@@ -278,16 +318,16 @@ def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
                 low[several], high[several] = np.minimum.reduceat(found, edge), np.maximum.reduceat(found, edge)
                 varied = {i: found[a:a + n] for i, a, n in zip(several.tolist(), edge.tolist(), size.tolist(), strict=True)}
             whole = np.flatnonzero(high[which] < doc)
-            made = [(doc[whole], start[whole], start[whole] + windows[which[whole]] + length - 1)]
+            made = [(doc[whole], tag[whole], start[whole], start[whole] + windows[which[whole]] + length - 1)]
             for row in np.flatnonzero((low[which] < doc) & (high[which] >= doc)).tolist():
                 gone = np.flatnonzero(varied[int(which[row])] < doc[row])
                 cuts = np.flatnonzero(np.diff(gone) > 1)
                 first, last = gone[np.concatenate([[0], cuts + 1])], gone[np.append(cuts, len(gone) - 1)]
-                made.append((np.full(len(first), doc[row]), start[row] + first, start[row] + last + length))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[i] for m in made])) for i in range(3)],
-                                             ["doc_key", "s", "e"])
+                made.append((np.full(len(first), doc[row]), np.full(len(first), tag[row]), start[row] + first, start[row] + last + length))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[i] for m in made])) for i in range(4)],
+                                             ["doc_key", "tag", "s", "e"])
 
-    return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(spans, "doc_key long, s long, e long")
+    return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(spans, "doc_key long, tag long, s long, e long")
 
 
 def _whole_grams(batches, limit: int = 8000) -> Iterator[pa.RecordBatch]:
@@ -309,14 +349,14 @@ def _whole_grams(batches, limit: int = 8000) -> Iterator[pa.RecordBatch]:
 
 
 def _grouped_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for grams of very many documents, window by window, so that no task holds a gram."""
-    windows = pieces.select("doc_key", "start", "piece", F.posexplode(F.sequence(F.lit(1), F.length("piece") - (length - 1)))
+    """The same for grams of very many different pieces, window by window, so that no task holds a gram."""
+    windows = pieces.select("doc_key", "tag", "start", "piece", F.posexplode(F.sequence(F.lit(1), F.length("piece") - (length - 1)))
                             .alias("i", "at"))
-    windows = materialize(windows.select("doc_key", (F.col("start") + F.col("i")).alias("s"),
+    windows = materialize(windows.select("doc_key", "tag", (F.col("start") + F.col("i")).alias("s"),
                                          F.expr(f"substring(piece, at, {length})").alias("window")), "windows")
     least = materialize(windows.groupBy("window").agg(F.min("doc_key").alias("least")), "least-windows")
     return (windows.join(least, "window").where("least < doc_key")
-            .select("doc_key", "s", (F.col("s") + length).alias("e")))
+            .select("doc_key", "tag", "s", (F.col("s") + length).alias("e")))
 
 
 class _Filter:
@@ -342,17 +382,35 @@ class _Filter:
         return held(self.place(column))
 
 
+def tagged(docs: DataFrame, *columns: str, key: str = "doc_key", tag: str = "tag") -> DataFrame:
+    """The columns with the id as a key and a tag, 0 but for ids that have several texts."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = (docs.select(id_key().alias("doc_key"), text.alias("t")).groupBy("doc_key")
+               .agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a < b"))
+    held = _Filter(several, "doc_key").holds(key)
+    keyed = docs.select(*columns, id_key().alias(key))
+    return keyed.select(*columns, key, F.when(held, F.pmod(text, F.lit(1 << _TAG_BITS))).otherwise(0).cast("long").alias(tag))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(doc_key, spans array<struct<s, e>>): byte ranges covered by a window that a smaller doc_id has too; they overlap."""
-    grams = _shared_grams(docs, length, gram, group)
-    release(docs)
-    spans = _sorted_spans(_pieces(docs, grams.where("not large"), length, gram), length)
-    spans = materialize(spans, "spans")
+    """(doc_key, tag, spans array<struct<s, e>>): byte ranges covered by a window that a smaller doc_id has too; they
+    overlap. `docs` has doc_key, tag and text."""
+    kind = "gram long, piece long, doc_key long, at long"
+    met = (docs.select("doc_key", "tag", "text").mapInArrow(_deal(length, gram), kind).repartition("gram")
+           .sortWithinPartitions("gram", "piece", "doc_key")
+           .mapInArrow(_meet(length), "gram long, doc_key long, tag long, s long, e long"))
+    met = materialize(met, "met-pieces")
     release(docs)
-    large = grams.where("large")
+    asked, spans = met.where("gram >= 0"), met.where("gram < 0").drop("gram")
+    large = asked.groupBy("gram").count().where(F.col("count") > group).select("gram")
+    large = materialize(large, "large-grams")
     if large.head(1):
-        spans = spans.unionByName(_grouped_spans(_pieces(docs, large, length, gram), length))
-    spans = spans.groupBy("doc_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        windows = _grouped_spans(_pieces(docs, materialize(asked.join(large, "gram", "left_semi"), "asked-large")), length)
+        spans = spans.unionByName(materialize(windows, "large-spans"))
+        asked = asked.join(large, "gram", "left_anti")
+    sorted_ = materialize(_sorted_spans(_pieces(docs, asked), length), "sorted-spans")
+    release(docs)
+    spans = spans.unionByName(sorted_).groupBy("doc_key", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return materialize(spans, "repeated-spans")
 
 
@@ -362,12 +420,12 @@ def drop_repeated_spans(docs: DataFrame, length: int = LENGTH, into: str = "repe
     Each byte covered by a string of `length` bytes that also starts in a document with a smaller doc_id goes, judged on
     the input; a null text is empty. Strings do not cross documents, so texts shorter than `length` stay whole. A null
     doc_id is one id smaller than all others; rows with the same doc_id count as one document and do not remove each
-    other's strings, but each is cut by smaller ids. The kept bytes may not be UTF-8. Other columns stay (one named as
+    other's strings, but each is cut by smaller ids in its own text. The kept bytes may not be UTF-8. Other columns stay (one named as
     `into` is replaced); an empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    own, key = [c for c in docs.columns if c != into], "_suffix_dedup_key"
-    spans = repeated_spans(docs.select("doc_id", "text"), length, group=group)
+    own = [c for c in docs.columns if c.lower() != into.lower()]
+    key, tag, gone = unused(docs, "_key", into), unused(docs, "_tag", into), unused(docs, "_spans", into)
+    spans = repeated_spans(tagged(docs, "text"), length, group=group)
     with_spans = _Filter(spans, "doc_key")  # most documents without spans need no join
 
     @F.arrow_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary,kept_sha256:string>")
@@ -381,11 +439,11 @@ def drop_repeated_spans(docs: DataFrame, length: int = LENGTH, into: str = "repe
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
 
-    keyed = docs.select(*own, id_key().alias(key))
+    keyed = tagged(docs, *own, key=key, tag=tag)
     hit = with_spans.holds(key)
-    spans = spans.select(F.col("doc_key").alias(key), F.col("spans").alias("_spans"))
+    spans = spans.toDF(key, tag, gone)
     none = F.lit(None).cast("array<struct<s:long,e:long>>")
-    touched = keyed.where(hit).join(spans, key, "left").select(*own, remove(F.col("text"), F.col("_spans")).alias(into))
+    touched = keyed.where(hit).join(spans, [key, tag], "left").select(*own, remove(F.col("text"), F.col(gone)).alias(into))
     clean = keyed.where(~hit).select(*own, remove(F.col("text"), none).alias(into))
     return touched.unionByName(clean)
 
