@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import NOT_ALNUM, Words, byte_codes, chunks, flat, id_key, mix
+from .common import NOT_ALNUM, Words, byte_codes, chunks, flat, id_key, mix, unused
 
 WINDOW = 13
 GRAM = 5
@@ -159,10 +159,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
              pa.array((n_hit > 0) & (20 * n_hit >= n_words))],
             ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    key, own = "_decontamination_key", [c for c in docs.columns if c != into]
+    own = [c for c in docs.columns if c.lower() != into.lower()]
+    key, match = unused(docs, "_key", into), unused(docs, "_matches", into)
     keyed = docs.select(*own, id_key().alias(key))
-    joined = keyed.join(matches.withColumnRenamed("doc_key", key).withColumnRenamed("matches", "_matches"), key, "left")
-    return joined.select(*own, judge(F.col("text"), F.col("_matches")).alias(into))
+    joined = keyed.join(matches.toDF(key, match), key, "left")
+    return joined.select(*own, judge(F.col("text"), F.col(match)).alias(into))
 
 
 def _extend(words: list[str], matches: list[dict], window: int) -> tuple[int, set[str]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import id_key
+from .common import id_key, unused
 
 #: bits of a filter; more keys than this make more lines suspects, never a wrong result
 FILTER_BITS = 1 << 24
@@ -134,7 +134,8 @@ def drop_repeated_lines(docs: DataFrame, least: int = 20, in_documents: int = 3,
     and are treated alike; a null doc_id is one document, smaller than all others. Texts of any length are read
     whole. Other columns stay (one named as `into` is replaced); an empty table gives an empty table.
     """
-    key, own = "_line_dedup_key", [c for c in docs.columns if c != into]
+    own = [c for c in docs.columns if c.lower() != into.lower()]
+    key, lost = unused(docs, "_key", into), unused(docs, "_drops", into)
 
     @F.arrow_udf("struct<kept:string,n_lines:long,n_dropped:long>")
     def apply(texts: pa.Array, drops: pa.Array) -> pa.Array:
@@ -155,7 +156,6 @@ def drop_repeated_lines(docs: DataFrame, least: int = 20, in_documents: int = 3,
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()),
                                            pa.array(n_dropped, pa.int64())], ["kept", "n_lines", "n_dropped"])
 
-    drops = (repeated_lines(docs, least, in_documents, bits)
-             .select(F.col("doc_key").alias(key), F.col("drops").alias("_drops")))
+    drops = repeated_lines(docs, least, in_documents, bits).toDF(key, lost)
     joined = docs.select(*own, id_key().alias(key)).join(drops, key, "left")
-    return joined.select(*own, apply(F.col("text"), F.col("_drops")).alias(into))
+    return joined.select(*own, apply(F.col("text"), F.col(lost)).alias(into))

@@ -84,6 +84,29 @@ def test_suffix_dedup(docs, rows, none, group):
     assert suffix_dedup.drop_repeated_spans(none).count() == 0
 
 
+def test_texts_of_one_id_are_cut_on_their_own(spark):
+    shared, other = "x1 " * 30, "y2 " * 40
+    docs = spark.createDataFrame([(1, shared), (2, shared + other), (2, other + shared), (2, other + shared), (3, other)],
+                                 "doc_id long, text string")
+    got = suffix_dedup.drop_repeated_spans(docs).select("doc_id", "text", F.expr("cast(repeats.kept as string)")).collect()
+    assert all(kept in {1: [shared], 2: [other, other[:-1], other[1:]], 3: ["", "y2 "]}[i] for i, _, kept in got)
+    assert len(got) == 5
+
+
+@pytest.mark.parametrize("names", ["_key _tag _spans", "_KEY _Drops doc_key", "_key _matches matches"])
+def test_extra_columns_with_names_of_temporary_ones(spark, names):
+    line = "a line that stands in every one of the documents, thirteen words and more of it"
+    a, b, c = names.split()
+    docs = spark.createDataFrame([(i, f"{line}\nown {i}", i, i, i) for i in range(4)],
+                                 f"doc_id long, text string, {a} long, {b} long, {c} long")
+    items = spark.createDataFrame([("q", line)], "item_id string, text string")
+    for made in (suffix_dedup.drop_repeated_spans(docs), line_dedup.drop_repeated_lines(docs),
+                 decontamination.contamination(docs, items)):
+        got = made.collect()
+        assert sorted(r[a] for r in got) == [0, 1, 2, 3] and all(r[a] == r[b] == r[c] == r.doc_id for r in got)
+    assert {r.found.n_items for r in got} == {1}
+
+
 def test_prefixes():
     for percent in (50, 75, 90):
         for n in range(1, 200):
