@@ -110,6 +110,18 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+def slices(offsets: np.ndarray, overlap: int, limit: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first row, end row, first byte, end byte, place of the first byte in its row): ranges of rows as in chunks, but a
+    row above `limit` comes in slices of that many bytes, each with the next `overlap` bytes."""
+    for a, b in chunks(offsets, limit):
+        low, high = int(offsets[a]), int(offsets[b])
+        if high - low <= limit or b - a > 1:
+            yield a, b, low, high, 0
+        else:
+            for at in range(low, high - overlap, limit):
+                yield a, b, at, min(high, at + limit + overlap), at - low
+
+
 class Words:
     """Words of a range of texts: `start` and `end` in bytes, `hash`, and `first` word of each text (with the end)."""
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import byte_codes, chunks, flat, id_key, inverse_powers, mix, powers, unused
+from .common import byte_codes, flat, id_key, inverse_powers, mix, powers, slices, unused
 
 LENGTH = 50
 GRAM = 24
@@ -33,6 +33,8 @@ PIECE = 64
 GROUP = 20_000
 #: pieces that a task remembers with their smallest document so far; a forgotten one only travels again
 REMEMBERED = 1 << 20
+#: bytes that one numpy step cuts into pieces; longer texts are sliced with overlap
+STEP_BYTES = 1 << 18
 #: tells texts of one doc_id apart
 _TAG_BITS = 25
 _GRAM_BITS = np.uint64((1 << 48) - 1)
@@ -178,7 +180,7 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, co
     return value, mix(piece ^ mix(value.astype(np.uint64) + windows.astype(np.uint64))), text, place, windows
 
 
-def _deal(length: int, gram: int):
+def _deal(length: int, gram: int, step: int = STEP_BYTES):
     """Cuts texts into pieces. Rows: (gram, piece hash, doc_key, at) to be met by gram, or of runs that a smaller document
     of the same task has too, (below 0, end, doc_key, at); `at` holds tag, start and number of windows."""
     codes = byte_codes(lower=False)
@@ -188,11 +190,12 @@ def _deal(length: int, gram: int):
         for batch in batches:
             keys, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = flat(batch.column(2))
-            for a, b in chunks(offsets):
+            for a, b, low, high, before in slices(offsets, length - 1, step):
                 value, piece, text, start, windows = cut_pieces(
-                    data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], length, gram, codes)
+                    data[low:high], np.minimum(offsets[a:b + 1] - offsets[a], high - low), length, gram, codes)
                 if not len(value):
                     continue
+                start = start + before
                 doc, tag = keys[a:b][text], tags[a:b][text]
                 order = np.lexsort((doc, piece))
                 new = np.ones(len(order), bool)

@@ -84,6 +84,20 @@ def test_suffix_dedup(docs, rows, none, group):
     assert suffix_dedup.drop_repeated_spans(none).count() == 0
 
 
+def test_sliced_texts_give_all_windows():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc ") for _ in range(n)) for n in (700, 20, 49, 50, 0, 260, 256, 3000)]
+    batch = suffix_dedup.pa.RecordBatch.from_arrays(
+        [suffix_dedup.pa.array(c) for c in (list(range(8)), [0] * 8, texts)], ["doc_key", "tag", "text"])
+    seen = []
+    for made in suffix_dedup._deal(50, 24, step=256)([batch]):
+        for r in made.to_pylist():
+            start = r["at"] >> 6
+            end = start + (r["at"] & 63) + 1 if r["gram"] >= 0 else r["piece"] - 49
+            seen += [(r["doc_key"], s) for s in range(start, end)]
+    assert sorted(seen) == [(i, s) for i, t in enumerate(texts) for s in range(len(t) - 49)]
+
+
 def test_texts_of_one_id_are_cut_on_their_own(spark):
     shared, other = "x1 " * 30, "y2 " * 40
     docs = spark.createDataFrame([(1, shared), (2, shared + other), (2, other + shared), (2, other + shared), (3, other)],
