@@ -180,10 +180,8 @@ def _(spark, sf):
   FROM en WHERE temperature IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
     df = v.enriched(spark, sf)
-    config = {"window": "1 hour", "group_by": ["sensorId"]}
-    top = vt.vt_aggregate(df, "temperature", {**config, "function": "max"})
-    n = vt.vt_aggregate(df, "temperature", {**config, "function": "count"})
-    return v.ntz(top.join(n, ["window_start", "window_end", "sensorId"]))
+    config = {"window": "1 hour", "group_by": ["sensorId"], "function": ["max", "count"]}
+    return v.ntz(vt.vt_aggregate(df, "temperature", config))
 
 
 @query("vt_write_back", f"""WITH {v.ENRICHED} SELECT event_id, temperature * 2 AS temperature, humidity, CAST(3 AS BIGINT) AS n_keys FROM en""")

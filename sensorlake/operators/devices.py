@@ -79,21 +79,29 @@ def unseen_devices(df: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def diagnose_registration(df: DataFrame, devices: DataFrame) -> DataFrame:
-    """Findings ``(issue, ingestion_id, n)``: wildcards, mismatches both ways, shared sources."""
+    """Findings ``(issue, ingestion_id, n)``: wildcards, mismatches both ways, shared sources.
+
+    Readings are counted once by source and sensor; every finding starts from those counts.
+    """
     enabled = devices.where("enabled")
-    known = sensor_id(fallback=False)
-    by_source = sensors_per_source(df)
     wildcard = _wildcard(devices)
+    counted = (df.select("ingestion_id", sensor_id(fallback=False).alias("sensorId"))
+               .groupBy("ingestion_id", "sensorId").agg(F.count("*").alias("n")).where("n > 0"))
+    by_source = counted.groupBy("ingestion_id").agg(
+        F.sum("n").alias("readings"), F.count_if(F.col("sensorId") != "unknown").alias("sensors")).where("readings > 0")
+    named = enabled.select("ingestion_id")
+    unregistered = by_source.join(named, "ingestion_id", "left_anti")
+    unseen = named.where("ingestion_id is not null").distinct().join(by_source, "ingestion_id", "left_anti")
 
     def finding(frame: DataFrame, issue: str, n) -> DataFrame:
         return frame.select(F.lit(issue).alias("issue"), "ingestion_id", n.cast("long").alias("n"))
 
-    total = df.select(known.alias("s")).where("s <> 'unknown'").agg(F.count_distinct("s").alias("sensors"))
+    total = counted.where("sensorId <> 'unknown'").groupBy("sensorId").agg(F.sum("n").alias("n")).agg(F.count("*").alias("sensors"))
     registered = enabled.agg(F.count("*")).scalar()
     mismatch = total.where((F.col("sensors") > registered) & ~wildcard) \
         .withColumn("ingestion_id", F.lit(None).cast("string"))
     return (finding(enabled.where("ingestion_id is null"), "wildcard", F.lit(1))
-            .unionByName(finding(unregistered_sources(df, devices), "unregistered", F.col("readings")))
-            .unionByName(finding(unseen_devices(df, devices), "unseen", F.lit(0)))
+            .unionByName(finding(unregistered, "unregistered", F.col("readings")))
+            .unionByName(finding(unseen, "unseen", F.lit(0)))
             .unionByName(finding(by_source.where("sensors > 1"), "several_sensors", F.col("sensors")))
             .unionByName(finding(mismatch, "fewer_devices_than_sensors", F.col("sensors"))))

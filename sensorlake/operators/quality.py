@@ -30,23 +30,23 @@ def bronze_totals(stats: DataFrame) -> DataFrame:
 
 def enrichment_summary(silver: DataFrame, gold: DataFrame, devices: DataFrame, minutes: int,
                        as_of: Column) -> DataFrame:
-    """One row: recent readings and sensors in silver and gold, five sample sensors, devices."""
+    """One row: recent readings and sensors in silver and gold, five sample sensors, devices. Each table is read once:
+    the sample takes the counts per sensor that the totals take, and figures of one table come as one struct."""
     since = as_of.cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes))
     recent = silver.where(F.col("ingest_ts") >= since).select(sensor_id().alias("sensorId"))
-    by_sensor = recent.groupBy("sensorId").agg(F.count("*").alias("n"))
+    by_sensor = recent.groupBy("sensorId").agg(F.count("*").alias("n")).where("n > 0")
     sample = by_sensor.orderBy("sensorId").limit(5).agg(
         F.array_join(F.array_sort(F.collect_list("sensorId")), ",").alias("sample")).scalar()
     averages = gold.where(F.col("time_start") >= since).agg(
-        F.count("*").alias("gold_rows"), F.count_distinct("sensorId").alias("gold_sensors"))
-    registered = devices.where("enabled")
+        F.count("*").alias("rows"), F.count_distinct("sensorId").alias("sensors")).select(F.struct("rows", "sensors")).scalar()
+    registered = devices.where("enabled").agg(
+        F.count("*").alias("total"), F.max(F.col("ingestion_id").isNull()).alias("any")).select(F.struct("total", "any")).scalar()
     return by_sensor.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("recent_rows"),
                          F.count("*").alias("recent_sensors")).select(
         "recent_rows", "recent_sensors", F.coalesce(sample, F.lit("")).alias("sample_sensors"),
-        averages.select("gold_rows").scalar().alias("gold_rows"),
-        averages.select("gold_sensors").scalar().alias("gold_sensors"),
-        registered.agg(F.count("*")).scalar().alias("registered_total"),
-        F.coalesce(registered.agg(F.max(F.col("ingestion_id").isNull())).scalar(), F.lit(False))
-        .alias("registered_any"))
+        averages["rows"].alias("gold_rows"), averages["sensors"].alias("gold_sensors"),
+        registered["total"].alias("registered_total"),
+        F.coalesce(registered["any"], F.lit(False)).alias("registered_any"))
 
 
 def processing_metrics(df: DataFrame, time: str = "ingest_ts") -> DataFrame:
@@ -81,16 +81,21 @@ def field_coverage(df: DataFrame) -> DataFrame:
 
 
 def data_quality(df: DataFrame) -> DataFrame:
-    """One row: sources, readings, fields seen, fields normalised, share of the two."""
-    fields = field_coverage(df).agg(
-        F.count("*").alias("fields_with_data"), F.count_if(F.col("normalized") > 0).alias("fields_normalized"))
-    counts = source_counts(df).agg(F.count("*").alias("unique_ingestion_ids"),
-                                   F.coalesce(F.sum("readings"), F.lit(0)).alias("readings"))
-    with_data, normalized = (fields.select(c).scalar() for c in ("fields_with_data", "fields_normalized"))
-    return counts.select(
-        "unique_ingestion_ids", "readings", with_data.alias("fields_with_data"),
-        normalized.alias("fields_normalized"),
-        F.round(F.try_divide(normalized, with_data) * 100, 2).alias("schema_compliance_rate"))
+    """One row: sources, readings, fields seen, fields normalised, share of the two.
+
+    One pass: a reading gives a row per field and one without, counted per source and field; the rest is counted over that.
+    """
+    keys = F.array_union(F.map_keys("sensor_data"), F.map_keys("normalized_data"))
+    fields = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(keys, F.array().cast("array<string>")))
+    number = F.col("normalized_data")[F.col("field")].isNotNull()
+    counted = (df.select("ingestion_id", F.explode(fields).alias("field"), "normalized_data")
+               .groupBy("ingestion_id", "field").agg(F.count("*").alias("n"), F.max(number).alias("number")))
+    source = F.col("field").isNull()
+    return counted.agg(
+        F.count_if(source).alias("unique_ingestion_ids"), F.coalesce(F.sum(F.when(source, F.col("n"))), F.lit(0)).alias("readings"),
+        F.count_distinct("field").alias("fields_with_data"),
+        F.count_distinct(F.when(F.col("number"), F.col("field"))).alias("fields_normalized")).withColumn(
+        "schema_compliance_rate", F.round(F.try_divide("fields_normalized", "fields_with_data") * 100, 2))
 
 
 def normalization_stats(rules: DataFrame) -> DataFrame:

@@ -329,7 +329,7 @@ _AGGREGATES = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count":
 
 
 def vt_aggregate(df: DataFrame, field: str, config: Mapping, time: str = "timestamp") -> DataFrame:
-    """``config['function']`` of a field per ``window`` and ``group_by`` keys.
+    """``config['function']``, a name or a list of names, of a field per ``window`` and ``group_by`` keys, in one pass.
 
     Works on a batch or a stream; put a watermark on ``time`` first to bound a stream's state.
     """
@@ -340,10 +340,11 @@ def vt_aggregate(df: DataFrame, field: str, config: Mapping, time: str = "timest
         return F.col(f"`{name}`") if name in df.columns else extract_field(name, prefer_normalized=False)
 
     keys = list(config.get("group_by", []))
+    names = [config["function"]] if isinstance(config["function"], str) else list(config["function"])
     rows = df.select(F.col(time), get(field).alias("_value"), *[key(k).alias(k) for k in keys])
     return (rows.where("_value is not null")
             .groupBy(F.window(time, config["window"]).alias("_window"), *keys)
-            .agg(_AGGREGATES[config["function"]]("_value").alias(f"{field}_{config['function']}"))
+            .agg(*[_AGGREGATES[n]("_value").alias(f"{field}_{n}") for n in names])
             .select(F.col("_window.start").alias("window_start"),
                     F.col("_window.end").alias("window_end"), *keys,
-                    f"{field}_{config['function']}"))
+                    *[f"{field}_{n}" for n in names]))

@@ -49,3 +49,11 @@ def test_runs(spark, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, scans", [("data_quality", 1), ("vt_aggregate", 1), ("diagnose_registration", 2)])
+def test_readings_are_read_once_for_several_figures(spark, name, scans):
+    df = entry.queries()[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert 1 <= plan.count("FileScan") <= scans
