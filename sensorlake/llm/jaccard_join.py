@@ -31,6 +31,8 @@ BLOCK = 1000
 LIST_BLOCK = 4000
 #: nodes that a task remembers so as not to list copies of a text again
 REMEMBERED = 1 << 20
+#: bytes of text that one numpy step works on; a longer text is a step of its own
+STEP_BYTES = 1 << 18
 _PIECE = 1 << 18
 
 
@@ -60,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, codes: np.ndarra
 
 def _sets(texts: pa.Array, k: int, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data, offsets = flat(texts)
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, STEP_BYTES):
         yield shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], k, codes)
 
 
@@ -322,7 +324,7 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             kind, node, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
             data, offsets = flat(batch.column(5))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, STEP_BYTES):
                 values, first = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], k, codes)
                 n, same = np.diff(first), _signatures(values, first) == node[a:b]
                 at = a
