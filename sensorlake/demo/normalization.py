@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import as_text, extract_field, numeric_or_null, parse_timestamp, sensor_id, valid_reading
 from ..operators import devices as dev
 from ..operators import normalize as nz
+from ..operators import wide
 from . import views as v
 from .registry import query
 
@@ -141,6 +142,26 @@ def _(spark, sf):
     return v.ntz(df.drop("sensor_data", "normalized_data"))
 
 
+@query("field_object", f"""WITH {v.ENRICHED} SELECT event_id, ingestion_id, ts AS timestamp, temperature, error_level, humidity, temp,
+  sensor_id AS "sensorId" FROM en""")
+def _(spark, sf):
+    df = wide.field_object(v.normalized(spark, sf))
+    return v.ntz(df.select("event_id", "ingestion_id", "timestamp", *[
+        wide.field_value(n).alias(n) for n in ("temperature", "error_level", "humidity", "temp")],
+        wide.field_value("sensorId", "string").alias("sensorId")))
+
+
+@query("field_dictionary", """SELECT 'part_' || l_partkey AS field, CASE WHEN bool_or(l_linenumber % 2 = 0) THEN 'string' ELSE 'double' END AS type,
+  CAST(count(*) AS BIGINT) AS uses, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY l_partkey""")
+def _(spark, sf):
+    # a field of its own for every part: names that nobody knows beforehand, as many as there are parts
+    field = F.concat(F.lit("part_"), F.col("l_partkey").cast("string"))
+    number = F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity").cast("double"))
+    items = v.table(spark, sf, "lineitem").select("l_shipdate", F.create_map(field, F.col("l_returnflag")).alias("sensor_data"),
+                                                  F.create_map(field, number).alias("normalized_data"))
+    return wide.field_dictionary(wide.field_object(items), F.col("l_shipdate"))
+
+
 @query("available_fields", """SELECT unnest(['sensor_id', 'sensorId', 'temp', 'temperature', 'error_level',
   'humidity', 'source_type']) AS field""")
 def _(spark, sf):

@@ -7,6 +7,7 @@ from ..operators import normalize as nz
 from ..operators import ontology as on
 from ..operators import profile as pf
 from ..operators import quality as ql
+from ..operators import wide
 from . import views as v
 from .normalization import last_time
 from .registry import query
@@ -94,6 +95,17 @@ def _(spark, sf):
     return pf.merged_fields(pf.field_profile(_payload(spark, sf)))
 
 
+@query("stored_object", f"""WITH {_MESSAGES} SELECT event_id, max(text) FILTER (WHERE field = 'sensor_id') AS sensor_id,
+    max(text) FILTER (WHERE field = 'temp') AS temp, max(text) FILTER (WHERE field = 'site') AS site, max(text) FILTER (WHERE field = 'tags') AS tags,
+    max(CASE WHEN type = 'boolean' THEN CASE WHEN text = 'true' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN field = 'ok' THEN CAST(text AS DOUBLE) END) FILTER (WHERE field = 'ok') AS ok
+  FROM fields GROUP BY 1""")
+def _(spark, sf):
+    objects = _payload(spark, sf).select("event_id", "ts", F.try_parse_json("value").alias("fields"))
+    stored = wide.stored_object(objects, wide.field_dictionary(objects, F.col("ts")), ["event_id"])
+    return stored.select("event_id", *[wide.field_value(n, "string").alias(n) for n in ("sensor_id", "temp", "site", "tags")],
+                         wide.field_value("ok").alias("ok"))
+
+
 @query("topics_summary", f"""WITH {_MESSAGES} SELECT topic, CAST(count(*) AS BIGINT) AS dataset_count, CAST(sum(record_count) AS BIGINT) AS total_records,
     CAST(sum(data_size_bytes) AS BIGINT) AS total_size_bytes, CAST(sum(unique_sensor_count) AS BIGINT) AS total_unique_sensors,
     min(first_seen) AS earliest_data, max(last_seen) AS latest_data FROM meta GROUP BY 1""")

@@ -338,7 +338,7 @@ def available_fields(df: DataFrame) -> DataFrame:
 def _column_names(df: DataFrame, limit: int) -> list[str]:
     found = available_fields(df).orderBy("field").limit(limit + 1).collect()
     if len(found) > limit:
-        raise ValueError(f"more than {limit} fields: name the columns to extract")
+        raise ValueError(f"more than {limit} fields: name the columns to extract, or use wide.field_object")
     return [r.field for r in found]
 
 

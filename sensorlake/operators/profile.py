@@ -107,7 +107,7 @@ def merged_schema(profile: DataFrame, max_fields: int = 10000) -> T.StructType:
     """``merged_fields`` as a read schema: sorted by name, always with ``ingestion_id``."""
     rows = merged_fields(profile).orderBy("name").limit(max_fields + 1).collect()
     if len(rows) > max_fields:
-        raise ValueError(f"more than {max_fields} fields; read the payload as a map instead")
+        raise ValueError(f"more than {max_fields} fields; use wide.stored_object instead")
     kinds = {r.name: r.type for r in rows}
     kinds.setdefault("ingestion_id", "string")
     return T.StructType([T.StructField(name, T._parse_datatype_string(kinds[name]))
