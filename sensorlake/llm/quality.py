@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, flat
@@ -17,8 +17,8 @@ from .common import chunks, flat
 PASSAGE = 1024
 PAIR_BINS = 240
 HIDDEN, ATTENTION = 32, 16
-#: labelled documents that training sees, and passages of each of them, evenly spaced
-SAMPLE, SAMPLE_PASSAGES = 4000, 16
+#: labelled documents that training sees, whole; bytes of text of all of them together
+SAMPLE, SAMPLE_BYTES = 4000, 1 << 25
 THRESHOLD = 0.3
 
 _CLASSES = np.zeros(256, np.int64)  # 0 control
@@ -41,6 +41,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     end = np.repeat(offsets[:-1], pieces) + (place + 1) * np.repeat(sizes, pieces) // np.repeat(pieces, pieces)
     length = end - start
     owner = np.repeat(np.arange(n, dtype=np.int64), length)
+    left = np.repeat(offsets[1:], sizes) - np.arange(len(data))  # bytes to the end of the text: no n-gram reaches into the next
     size = np.maximum(length, 1)[:, None].astype(np.float32)
     lower = data.astype(np.uint32)
     lower += 32 * ((data >= 65) & (data <= 90)).astype(np.uint32)
@@ -48,13 +49,15 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     made = [shares]
     pair = lower[:-1] * np.uint32(257) + lower[1:] if len(lower) > 1 else np.zeros(0, np.uint32)
     bins = (pair * np.uint32(0x9E3779B1) >> np.uint32(12)) % np.uint32(PAIR_BINS)
-    hashed = np.bincount(owner[:len(bins)] * PAIR_BINS + bins, minlength=n * PAIR_BINS).reshape(n, -1) / size
+    own = left[:len(bins)] > 1
+    hashed = np.bincount((owner[:len(bins)] * PAIR_BINS + bins)[own], minlength=n * PAIR_BINS).reshape(n, -1) / size
     gram = np.zeros(len(lower), np.uint32)
     for i, factor in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646C)):
         gram = gram[:max(0, len(lower) - i)] + lower[i:] * np.uint32(factor)
         if i in (2, 5):  # distinct n-grams of 3 and 6 bytes
             seen = np.zeros((n, 4096), bool)
-            seen.reshape(-1)[owner[:len(gram)] * 4096 + (gram * np.uint32(0x2C1B3C6D) >> np.uint32(20))] = True
+            places = owner[:len(gram)] * 4096 + (gram * np.uint32(0x2C1B3C6D) >> np.uint32(20))
+            seen.reshape(-1)[places[left[:len(gram)] > i]] = True
             made.append(seen.sum(axis=1)[:, None] / size)
     blanks = shares[:, 1:3].sum(axis=1)
     made += [np.log1p(length)[:, None] / 8, np.minimum(1 / np.maximum(blanks, 0.02), 50)[:, None] / 50,
@@ -117,33 +120,37 @@ def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray, epochs: int = 40,
     return {k: np.asarray(v, np.float32) for k, v in (m | fixed).items()}
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> dict | None:
-    """Fits on at most `sample` labelled documents where `learn` holds, by the hash of their ids; of each, at most
-    SAMPLE_PASSAGES passages' features reach the driver. None without labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> dict | None:
+    """Fits on at most `sample` labelled documents where `learn` holds, in the order of the hash of their ids, as long as
+    their texts stay within `most` bytes; a single text beyond that is passed over. Each is learned from with all its
+    passages; of rows with one id, the one with the smallest hash of its text. What reaches the driver are features, about
+    as many bytes as the texts have. None without labelled documents."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("quality").alias("quality"))
-    rows = docs.where(learn).select("doc_id", "text").join(marked, "doc_id", "left_semi").select("doc_id")
-    rows = rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = rows.join(marked, "doc_id")
-
-    @F.arrow_udf("array<float>")
+    rows = docs.where(learn).select("doc_id", "text")
+    ids = rows.select("doc_id").join(marked, "doc_id", "left_semi").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).join(marked, "doc_id")
+    whole = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    in_order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over the sample
+
+    @F.arrow_udf("binary")
     def features(texts: pa.Array) -> pa.Array:
         data, offsets = flat(texts)
         made = []
         for a, b in chunks(offsets):
             x, first = passages(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-            for i in range(b - a):
-                n = first[i + 1] - first[i]
-                picked = first[i] + np.unique(np.linspace(0, n - 1, min(n, SAMPLE_PASSAGES)).astype(np.int64))
-                made.append(x[picked].ravel())
-        return pa.array(made, pa.list_(pa.float32()))
-
-    chosen = docs.where(learn).select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    chosen = chosen.select("doc_id", "quality", features("text").alias("x")).toArrow().to_pylist()
+            made += [x[first[i]:first[i + 1]].tobytes() for i in range(b - a)]
+        return pa.array(made, pa.binary())
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    held = (whole.withColumn("_bytes", size).where(F.col("_bytes") <= most)
+            .withColumn("_so_far", F.sum("_bytes").over(in_order)).where(F.col("_so_far") <= most))
+    chosen = held.select("doc_id", "quality", features("text").alias("x")).toArrow().to_pylist()
     if not chosen:
         return None
-    chosen.sort(key=lambda r: (r["doc_id"], r["x"]))
-    bags = [np.array(r["x"], np.float32).reshape(-1, FEATURES) for r in chosen]
+    chosen.sort(key=lambda r: r["doc_id"])
+    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in chosen]
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
     return fit(np.concatenate(bags), first, np.array([float(r["quality"] > 0) for r in chosen]))
 

@@ -295,6 +295,57 @@ def test_chat(spark):
             chat.compile_template(bad)
 
 
+def test_quality_learns_from_whole_texts_one_row_an_id(spark, monkeypatch):
+    seen = {}
+
+    def fit(x, first, labels):
+        seen.update(bags=np.diff(first).tolist(), labels=labels.tolist(), x=x)
+        return None
+    monkeypatch.setattr(quality, "fit", fit)
+    long = "plain words and more of them. " * 1700
+    rows = [(1, long), (2, "short"), (2, "other")] + [(2, "other")] * 300 + [(3, None), (4, "x" * 90_000), (None, "no id"), (5, "unlabelled")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    quality.train(table, labels, F.lit(True))
+    assert seen["bags"] == [-(-len(long) // quality.PASSAGE), 1, 1, 88] and seen["labels"] == [1, 0, 1, 0]
+    data, offsets = np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)])
+    assert np.array_equal(seen["x"][:seen["bags"][0]], quality.passages(data, offsets)[0])
+    quality.train(table, labels, F.lit(True), most=60_000)  # the text above the bound is passed over, the others stay
+    assert seen["bags"] == [-(-len(long) // quality.PASSAGE), 1, 1]
+
+
+def test_quality_features_do_not_depend_on_neighbours():
+    texts = ["", "ab", "héllo wörld " * 200, "x", "tail", ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    together, first = quality.passages(data, offsets)
+    for i, t in enumerate(texts):
+        alone, _ = quality.passages(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        assert np.array_equal(together[first[i]:first[i + 1]], alone)
+
+
+def test_quality_gradient():
+    """One step of training moves every weight against the numeric gradient of the loss."""
+    rng = np.random.default_rng(3)
+    x, first, labels = rng.normal(size=(7, quality.FEATURES)).astype(np.float32), np.array([0, 3, 4, 7]), np.array([1.0, 0.0, 1.0])
+
+    def loss(m):
+        p = quality._forward(m, x.astype(np.float64), first)["p"]
+        return -(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean() + 0.5e-4 * sum((m[k] ** 2).sum() for k in "EVUc")
+
+    before = {k: v.astype(np.float64) for k, v in quality.fit(x, first, labels, epochs=0).items()}
+    after = quality.fit(x, first, labels, epochs=1, rate=1e-3)
+    for k in ("E", "e", "V", "U", "w", "c"):
+        for at in rng.choice(before[k].size, 6):
+            shift = np.zeros(before[k].size)
+            shift[at] = 1e-5
+            shift = shift.reshape(before[k].shape)
+            slope = (loss(before | {k: before[k] + shift}) - loss(before | {k: before[k] - shift})) / 2e-5
+            moved = float(after[k].ravel()[at] - before[k].ravel()[at])
+            if abs(slope) > 1e-6:  # the first step of Adam has the size of the rate, against the gradient
+                assert np.sign(moved) == -np.sign(slope) and abs(abs(moved) - 1e-3) < 1e-4, (k, at, slope, moved)
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(6)
     made = [(i, prose(rng, 40) if i % 3 else "buy!! " * 60) for i in range(240)]
