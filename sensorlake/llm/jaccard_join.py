@@ -6,7 +6,8 @@ from a fixed-size table of counts over all documents; only the short lists are b
 at least 2s / (1 + s) of its own size, so a list must be one of even fewer of its lists: the sets it leads. A list that
 no set leads is dropped. Within a list one member is the pivot, and the others are first compared with it; components
 of the links so far then leave only pairs between components to compare, each leader with larger members, large lists
-in blocks. Comparing is DivideSkip again: a task holds the inverted lists of a block of members over the
+in blocks: each leader with its most alike partner only, again while that halves the components, which joins the edited
+copies of one text without all their pairs, then all pairs that are left between components. Comparing is DivideSkip again: a task holds the inverted lists of a block of members over the
 pivot's shingles, merges the short ones, and probes the long ones by binary search for members that are still within
 reach of the overlap. The result is exact; pivots only decide the order of work.
 """
@@ -123,16 +124,20 @@ def _parity(values: np.ndarray, n: int) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_link(n_a: int, a: bytes, n_b: int, b: bytes, percent: int) -> bool:
-    """False only if sets with these sizes and parity bits differ in too many values: each odd bit of both is one."""
+def differences(n_a: int, a: bytes, n_b: int, b: bytes) -> int:
+    """The least number of values that sets with these sizes and parity bits differ in: each odd bit of both is one."""
     x, y = sorted((a, b), key=len)
     low, high = int.from_bytes(x, "little"), int.from_bytes(y, "little")
     size = len(y) * 8
     while size > len(x) * 8:  # parities modulo half the size
         size //= 2
         high = (high & ((1 << size) - 1)) ^ (high >> size)
-    differ = max((low ^ high).bit_count(), abs(n_a - n_b))
-    return differ * (100 + percent) <= (n_a + n_b) * (100 - percent)
+    return max((low ^ high).bit_count(), abs(n_a - n_b))
+
+
+def may_link(n_a: int, a: bytes, n_b: int, b: bytes, percent: int) -> bool:
+    """False only if sets with these sizes and parity bits differ in too many values."""
+    return differences(n_a, a, n_b, b) * (100 + percent) <= (n_a + n_b) * (100 - percent)
 
 
 def features(docs: DataFrame, k: int, *more: Column) -> DataFrame:
@@ -314,6 +319,8 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
     def wanted(place: pa.Array) -> pa.Array:
         return pa.array(np.unpackbits(sent.value).view(bool)[place.to_numpy(zero_copy_only=False)])
 
+    # called nondeterministic, or Spark would ask it of every role on the other side of the join too
+    wanted = wanted.asNondeterministic()
     texts = docs.select(id_key().alias("doc_key"), "text")
     texts = texts.where(wanted(F.xxhash64("doc_key").bitwiseAND((1 << 22) - 1).cast("int")))
     codes = byte_codes()
@@ -388,9 +395,9 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
                        .select("list", "node", "lead", "label"), "open-lists")
 
 
-def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(lists: DataFrame, sets: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """(a, b): pairs of a leader and a larger or equal node of its list whose labels differ and whose sizes and parity
-    bits allow a link.
+    bits allow a link; with `nearest`, of each leader b only the pair in which fewest bits differ.
 
     Lists of one passage mostly begin with the same node and stay together, so that a pair is told once. Where they are
     large, leaders and nodes are dealt into blocks, and each task compares a block of the ones with a block of the others.
@@ -398,6 +405,7 @@ def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def pairs(batches):
         for pivot, l_block, block, list_, lead, n, node, label, parity in _groups(batches, 3):
             told, of = set(), None  # pairs given already from another list of the block
+            best = {}  # of a leader: (bits that differ, node)
             width = np.array([len(p) for p in parity])
             words = {w: np.frombuffer(b"".join(p for p in parity if len(p) == w), np.uint64).reshape(-1, w // 8)
                      for w in np.unique(width)}
@@ -418,14 +426,24 @@ def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     same = other[width[other] == width[i]]
                     table = words[width[i]]
                     odd = np.bitwise_count(table[row[same]] ^ table[row[i]]).sum(axis=1, dtype=np.int64)
-                    near = same[odd * (100 + percent) <= (n[i] + n[same]) * (100 - percent)].tolist()
-                    near += [j for j in other[width[other] != width[i]].tolist()
-                             if may_link(int(n[i]), parity[i], int(n[j]), parity[j], percent)]
+                    fits = odd * (100 + percent) <= (n[i] + n[same]) * (100 - percent)
+                    near, odd = same[fits].tolist(), odd[fits].tolist()
+                    for j in other[width[other] != width[i]].tolist():
+                        if may_link(int(n[i]), parity[i], int(n[j]), parity[j], percent):
+                            near.append(j)
+                            odd.append(differences(int(n[i]), parity[i], int(n[j]), parity[j]))
+                    if nearest:
+                        if near:
+                            best[node[i]] = min(best.get(node[i], (np.inf, 0)), min(zip(odd, node[near].tolist(), strict=True)))
+                        continue
                     found = {(min(node[i], node[j]), max(node[i], node[j])) for j in near} - told
                     told |= found
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array([p[at] for p in found], pa.int64()) for at in (0, 1)],
                                                          ["a", "b"])
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in best.values()], pa.int64()), pa.array(list(best), pa.int64()),
+                                                  pa.array([x[0] for x in best.values()], pa.int64())], ["a", "b", "far"])
 
     begin = lists.groupBy("list").agg(F.min("node").alias("pivot"))
     rows = materialize(lists.join(begin, "list").join(sets.select("node", "n", "parity"), "node"), "members")
@@ -441,10 +459,16 @@ def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = rows.join(blocks, "pivot").select(
         "pivot", "list", "n", "node", "label", "parity",
         F.explode(F.when(F.col("lead"), F.concat(as_node, as_leader)).otherwise(as_node)).alias("t"))
-    return (dealt.select("pivot", "t.l_block", "t.block", "list", "t.lead", "n", "node", "label", "parity")
-            .repartition("pivot", "l_block", "block")
-            .sortWithinPartitions("pivot", "l_block", "block", "list", "lead", "n", "node")
-            .mapInArrow(pairs, "a long, b long").distinct())
+    found = (dealt.select("pivot", "t.l_block", "t.block", "list", "t.lead", "n", "node", "label", "parity")
+             .repartition("pivot", "l_block", "block")
+             .sortWithinPartitions("pivot", "l_block", "block", "list", "lead", "n", "node")
+             .mapInArrow(pairs, "a long, b long" + (", far long" if nearest else "")))
+    return _most_alike(found) if nearest else found.distinct()
+
+
+def _most_alike(near: DataFrame) -> DataFrame:
+    """Of (a, b, far), each b with its most alike a only."""
+    return near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
 
 
 def _stars(lists: DataFrame, turn: int) -> DataFrame:
@@ -467,19 +491,25 @@ def _grouped(docs: DataFrame, own: DataFrame, k: int, percent: int, turns: int)
                                                   F.first("parity").alias("parity"))
     sets = materialize(sets, "sets")
     lists = inverted_lists(docs, k, percent)
-    spark = docs.sparkSession
-    labels = spark.createDataFrame([], "node long, label long")
-    links = None
-    for turn in range(turns + 1):
+    labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    links, turn, before, whole = None, 0, None, False
+    while not whole:
         open_ = _labelled(lists, labels)
         if turn < turns:  # each node against its most alike pivot only
-            near = plausible(_stars(open_, turn), sets, percent)
-            tried = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
+            tried = _most_alike(plausible(_stars(open_, turn), sets, percent))
         else:  # what components have not settled
-            tried = _across(open_, sets, percent)
+            tried = materialize(_across(open_, sets, percent, nearest=True), "most-alike")
+            found = tried.join(labels.withColumnRenamed("node", "b"), "b", "left").select(F.coalesce("label", "b"))
+            n = found.distinct().count()  # components; where all these pairs link, half of them at most are left
+            if n == 0:
+                break
+            if whole := before is not None and 2 * n > before:
+                tried = _across(open_, sets, percent)
+            before = n
         new = materialize(verify(tried, sets, docs, k, percent, labels), "verified")
         links = new if links is None else materialize(links.unionByName(new), "all-links")
         labels = components(links)
+        turn += 1
     return sets.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
 
 

@@ -148,6 +148,21 @@ def test_lists_in_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in made.collect()) == [(i, len(sets[i]), label[i]) for i in range(len(texts))]
 
 
+def test_edited_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """All copies of one text but a few words link with each other: a pair for each joins them, not one for every two."""
+    rng, words = random.Random(5), [f"p{i}" for i in range(150)]
+    texts = [" ".join(words[:i] + ["x%d" % rng.randint(0, 10 ** 6)] + words[i + 1:]) for i in rng.choices(range(150), k=120)]
+    tried, verify = [], jaccard_join.verify
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return verify(pairs, *rest)
+    monkeypatch.setattr(jaccard_join, "verify", counted)
+    made = jaccard_join.similar_components(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), turns=0)
+    assert {r.component for r in made.collect()} == {0}
+    assert sum(tried) <= 3 * len(texts)
+
+
 def test_jaccard_join(docs, rows, none):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").encode().lower().decode())
