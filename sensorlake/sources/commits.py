@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from ..schema import empty_frame
 from ..storage import materialize
 
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 ENTRY = "kind string, batch_id long, last_id long, folder string, counts map<string,long>"
 
 
@@ -74,6 +76,21 @@ class Folder:
         return self._fs.delete(self._path(name), True)
 
 
+@contextmanager
+def unsorted_writes(spark: SparkSession) -> Iterator[None]:
+    """Partitioned writes inside take rows as they come, for tasks that hold one partition each: Spark would sort a task's
+    rows by partition first, in memory that grows with the file. A task that does hold more is sorted from there on."""
+    before = spark.conf.get(_WRITERS, None)
+    spark.conf.set(_WRITERS, "1")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_WRITERS)
+        else:
+            spark.conf.set(_WRITERS, before)
+
+
 class CommittedTable:
     """A table of batches under ``path``, partitioned by ``partitions`` within a batch."""
 
@@ -176,7 +193,8 @@ class CommittedTable:
         dealt = rows.join(shares, same).withColumn("_number", number.cast("int"))
         total = shares.agg(F.sum("_files")).first()[0] or 1
         aside = f"packed/pack={batches[0]}-{batches[-1]}-{uuid.uuid4().hex}"
-        (dealt.repartitionById(int(total), "_number").drop("_number", "_files", "_start", *[f"_{p}" for p in self.partitions])
-         .write.partitionBy(*self.partitions).parquet(f"{self.path}/{aside}"))
+        packed = dealt.repartitionById(int(total), "_number").drop("_number", "_files", "_start", *[f"_{p}" for p in self.partitions])
+        with unsorted_writes(self.spark):
+            packed.write.partitionBy(*self.partitions).parquet(f"{self.path}/{aside}")
         self._enter(f"packed-{batches[0]}-{batches[-1]}", kind="packed", batch_id=batches[0], last_id=batches[-1], folder=aside, counts={})
         return len(batches)

@@ -249,6 +249,25 @@ def test_small_files_are_packed_under_a_running_stream(spark, raw):
     assert table.read(ENRICHED).count() == 300 and spark.read.parquet(path).count() == 300
 
 
+def test_packing_does_not_sort(spark, raw):
+    """Each task writes one file of one source, as the rows come: no sort whose memory grows with the file."""
+    table = CommittedTable(spark, fresh_path(spark, "silver"))
+    batch = enrich(raw, rules_frame(spark, RULES))
+    for i in range(2):
+        table.write(batch, i)
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    sc.setJobGroup(group := table.path, "packing")
+    try:
+        assert table.compact() == 2
+    finally:
+        sc._jsc.clearJobGroup()
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    stages = [store.lastStageAttempt(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    writing = [s for s in stages if s.outputRecords() == 120]
+    assert writing and max(s.peakExecutionMemory() for s in writing) == 0
+    assert table.read(ENRICHED).count() == 120 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
 def test_value_rules_are_counted_by_the_write(spark, raw):
     rules = [{"id": 7, "field_name": "temperature", "transformation_type": "filter", "order_priority": 1,
               "config": {"operator": ">", "value": 20}},
