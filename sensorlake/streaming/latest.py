@@ -23,6 +23,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+#: rows that a task gathers before it cuts them, and rows of many sources that it holds on to
+HELD = 10_000
 CHANGES = "status string, held int, newest timestamp"
 
 
@@ -46,17 +48,31 @@ def _nested(field: T.StructField) -> bool:
 
 
 def _trim(source: str, order: list[str], n: int):
-    """Keeps the newest n rows of every source of each Arrow batch: a busy source sends few rows to its state."""
+    """Keeps the newest n rows of every source of each task: a busy source sends few rows to its state. Sources that together
+    fill more than HELD rows are let go and begin anew, so that a task's memory is bounded."""
+    def newest(table: pa.Table) -> pa.Table:
+        codes = pc.dictionary_encode(table[source].combine_chunks(), null_encoding="encode").indices
+        by = pc.sort_indices(pa.table({"_source": codes, **{c: table[c] for c in order}}),
+                             sort_keys=[("_source", "ascending"), *[(c, "descending") for c in order]], null_placement="at_end")
+        sorted_codes = codes.to_numpy(zero_copy_only=False)[by.to_numpy()]
+        first = np.searchsorted(sorted_codes, sorted_codes)
+        keep = np.flatnonzero(np.arange(len(sorted_codes)) - first < n)
+        return table.take(by.take(pa.array(keep))).combine_chunks()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more, rows = None, [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            codes = pc.dictionary_encode(table[source].combine_chunks(), null_encoding="encode").indices
-            by = pc.sort_indices(pa.table({"_source": codes, **{c: table[c] for c in order}}),
-                                 sort_keys=[("_source", "ascending"), *[(c, "descending") for c in order]], null_placement="at_end")
-            sorted_codes = codes.to_numpy(zero_copy_only=False)[by.to_numpy()]
-            first = np.searchsorted(sorted_codes, sorted_codes)
-            keep = np.flatnonzero(np.arange(len(sorted_codes)) - first < n)
-            yield batch.take(by.take(pa.array(keep)))
+            more.append(batch)
+            rows += batch.num_rows
+            if rows < HELD:
+                continue
+            held = newest(pa.Table.from_batches([*(held.to_batches() if held is not None else []), *more]))
+            more, rows = [], 0
+            if held.num_rows >= HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None or more:
+            yield from newest(pa.Table.from_batches([*(held.to_batches() if held is not None else []), *more])).to_batches()
     return run
 
 
@@ -120,7 +136,7 @@ def newest_per_source(stream: DataFrame, time: str, n: int = 100, source: str =
                       tie_break: Iterable[str] = (), silent: str = "5 minutes") -> DataFrame:
     """A stream of changes (source, status, held, newest): its state holds the newest n rows of every source.
 
-    Rows are first cut to n per source in each task's Arrow batches. A source leaves once its newest row is older than the newest
+    Rows are first cut to n per source in each task. A source leaves once its newest row is older than the newest
     of all by more than ``silent``; rows older than that when they arrive are dropped, as are rows without a time.
     Write the changes in update mode; read the rows with ``newest_rows``. Structs, lists and maps
     are held as JSON.

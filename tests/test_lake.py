@@ -1,6 +1,7 @@
 import datetime as dt
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +336,16 @@ def test_busy_source_is_cut_in_its_tasks(spark):
     assert cut.count() <= 3 * 8 and cut.agg(F.max("ts")).collect() == rows.agg(F.max("ts")).collect()
 
 
+def test_small_batches_are_cut_by_task(spark):
+    rows = pa.table({"s": ["a"] * 60 + ["b", None, None, None], "ts": [*range(60), 7, 1, 2, None]})
+    for held in (5, 1000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(latest, "HELD", held)
+            made = list(latest._trim("s", ["ts"], 2)(iter(rows.to_batches(max_chunksize=4))))
+        found = sorted((r["s"] or "", -1 if r["ts"] is None else r["ts"]) for b in made for r in b.to_pylist())
+        assert {("", 1), ("", 2), ("a", 58), ("a", 59), ("b", 7)} <= set(found) and len(found) <= 6
+
+
 def test_generated_stream(spark):
     path = fresh_path(spark, "rate")
     counts = rate_source(spark, 50).groupBy().count()
