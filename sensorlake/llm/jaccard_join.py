@@ -319,7 +319,7 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
     def wanted(place: pa.Array) -> pa.Array:
         return pa.array(np.unpackbits(sent.value).view(bool)[place.to_numpy(zero_copy_only=False)])
 
-    # called nondeterministic, or Spark would ask it of every role on the other side of the join too
+    # called nondeterministic, so that Spark cannot infer it for the roles on the other side of the join too
     wanted = wanted.asNondeterministic()
     texts = docs.select(id_key().alias("doc_key"), "text")
     texts = texts.where(wanted(F.xxhash64("doc_key").bitwiseAND((1 << 22) - 1).cast("int")))
