@@ -120,6 +120,8 @@ def candidate_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, gra
         values, text = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
         return _distinct(values.astype(np.uint64), text, len(texts))
 
+    # called nondeterministic, so that the filter below does not have it called a second time, by workers of its own
+    prints = prints.asNondeterministic()
     hits = (docs.select(id_key().alias("doc_key"), prints("text").alias("prints"))
             .where(F.size("prints") > 0).select("doc_key", F.explode("prints").alias("print")))
     return hits.join(exploded, "print").select("doc_key", F.col("text").alias("item_text")).distinct()

@@ -257,6 +257,8 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.array([abs(na - nb) + (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
                          if may_link(na, x, nb, y, percent) else None for na, x, nb, y in rows], pa.int32())
 
+    # called nondeterministic, so that the filter below does not have it called a second time, by workers of its own
+    distance = distance.asNondeterministic()
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("parity_a"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"))
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")

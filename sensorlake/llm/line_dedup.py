@@ -114,6 +114,8 @@ def repeated_lines(docs: DataFrame, least: int, in_documents: int, bits: int = F
                 made.append([xxhash.xxh3_128_digest(k) for k, h in zip(keys, hit, strict=True) if h])
         return pa.array(made, pa.list_(pa.binary()))
 
+    # called nondeterministic, so that the filter below does not have it called a second time, by workers of its own
+    suspects = suspects.asNondeterministic()
     lines = (docs.select(id_key().alias("doc_key"), suspects("text").alias("keys"))
              .where(F.size("keys") > 0).select("doc_key", F.explode("keys").alias("key")).distinct())
     lines = materialize(lines, "suspect-lines")

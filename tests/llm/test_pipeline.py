@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sensorlake.llm import decontamination, language_id
+from sensorlake import storage
+from sensorlake.llm import decontamination, jaccard_join, language_id, line_dedup
 
 
 def prose(rng, n):
@@ -184,3 +185,21 @@ def test_run(spark, corpus):
             loose.append(r)
     want = after_tokens(after_benchmark([*first.values(), *loose], items))
     assert shown(corpus_pipeline.run(spark, folder).collect()) == shown(want)
+
+
+def test_a_text_is_fingerprinted_once(spark, corpus, monkeypatch):
+    """A filter on what a Python function gives must not call it again, in a second worker of the same task."""
+    made, write = {}, storage.materialize
+
+    def watched(df, name):
+        made.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython ["))
+        return write(df, name)
+    for module in (jaccard_join, line_dedup):
+        monkeypatch.setattr(module, "materialize", watched)
+    folder = corpus[2]
+    docs, items = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    corpus_pipeline.lines(spark, docs, folder)
+    corpus_pipeline.near_duplicates(spark, docs, folder)
+    hits = decontamination.candidate_items(docs, items, 13, 5)
+    made["hits"] = [hits._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython [prints")]
+    assert max(made["suspect-lines"]) == 1 and max(made["pairs"]) == 1 and made["hits"] == [1]
